@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_decontaminate
+from .quality import op6_quality
+from .sharding import op3_sharding
 from .simhash import op7_simhash
+from .toxicity import op8_toxicity
+from .urls import op5_urls
 
-QUERIES = {"op7_simhash": op7_simhash}
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_decontaminate, op5_urls, op6_quality, op7_simhash, op8_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

@@ -73,3 +73,36 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if rows:
         first[1:] = ended[row_end]
     return normal, starts, ends, first
+
+
+# An odd multiplier, its inverse modulo 2 ** 64, and the odd factors of the finishing steps.
+_R = 0x9E3779B97F4A7C15
+_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+_powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Well spread bits of h."""
+    h = (h ^ h >> np.uint64(30)) * np.uint64(_MIX[0])
+    h = (h ^ h >> np.uint64(27)) * np.uint64(_MIX[1])
+    return h ^ h >> np.uint64(31)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier, and of its inverse."""
+    if len(_powers[0]) < n:
+        size = max(n, 1 << 20)
+        for k, base in enumerate((_R, pow(_R, -1, 1 << 64))):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _powers[k] = np.cumprod(p)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span values[starts[i]:ends[i]], equal for equal contents; values: bytes, or hashes of units."""
+    up, down = powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((_BYTE[values] if values.dtype == np.uint8 else values) * up[:-1], out=total[1:])
+    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
