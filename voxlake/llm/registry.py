@@ -6,8 +6,10 @@ from .decontaminate import op4_decontaminate
 from .quality import op6_quality
 from .sharding import op3_sharding
 from .simhash import op7_simhash
+from .suffix_array import op9_suffix_array
+from .suffix_trees import op1_substring_dedup
 from .toxicity import op8_toxicity
 from .urls import op5_urls
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_decontaminate, op5_urls, op6_quality, op7_simhash, op8_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_sharding, op4_decontaminate, op5_urls, op6_quality, op7_simhash, op8_toxicity, op9_suffix_array)}
 ORACLE_SQL: dict[str, str] = {}
