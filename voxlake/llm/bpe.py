@@ -171,9 +171,11 @@ def tokenizer(spark: SparkSession, path: str | None = None, pattern: str | None
     return Tokenizer(spark, read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")), pattern or public_tokenizers.PATTERN, frequent)
 
 
-def encoded(docs: DataFrame, t: Tokenizer) -> DataFrame:
-    """docs with a column tokens (array<int>); an own column of that name is replaced."""
-    return docs.withColumn("tokens", t.encode(docs))
+def checked(docs: DataFrame, t: Tokenizer) -> DataFrame:
+    """docs with tokens (array<int>), n_tokens and round_trip (the tokens decode to the text's bytes); columns of docs
+    with these names are replaced. Null texts have no tokens and count as empty."""
+    ids = docs.withColumn("tokens", t.encode(docs)).withColumn("n_tokens", F.size("tokens").cast("long"))
+    return ids.withColumn("round_trip", t.decode(F.col("tokens")) == F.coalesce("text", F.lit("")).cast("binary"))
 
 
 def digests(docs: DataFrame, t: Tokenizer) -> DataFrame:

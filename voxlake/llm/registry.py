@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op10_bpe
 from .decontaminate import op4_decontaminate
+from .media import op2_media
 from .quality import op6_quality
 from .sharding import op3_sharding
 from .simhash import op7_simhash
@@ -12,5 +13,5 @@ from .suffix_trees import op1_substring_dedup
 from .toxicity import op8_toxicity
 from .urls import op5_urls
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_sharding, op4_decontaminate, op5_urls, op6_quality, op7_simhash, op8_toxicity, op9_suffix_array, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_media, op3_sharding, op4_decontaminate, op5_urls, op6_quality, op7_simhash, op8_toxicity, op9_suffix_array, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
