@@ -44,8 +44,14 @@ def unit(*names: str) -> tuple:
     return tuple(F.col(n) for n in names)
 
 
-RGB = unit("r", "g", "b")
-BYTES = tuple(colour.to_byte(c) for c in RGB)
+def rgb() -> tuple:
+    return unit("r", "g", "b")
+
+
+def rgb8() -> tuple:
+    return tuple(colour.to_byte(c) for c in rgb())
+
+
 B8 = "least(255, greatest(0, CAST(round_even({c} * 255.0::DOUBLE, 0) AS INT)))"
 LIN = "(CASE WHEN {c} <= 0.04045 THEN {c} / 12.92::DOUBLE ELSE pow(({c} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END)"
 
@@ -120,12 +126,12 @@ def c01_srgb_to_linear(cells):
 
 @query(f"+ {LAB_SQL} SELECT t, y, x, round(ll, 6) AS l, round(la, 6) AS a, round(lb, 6) AS b FROM lab")
 def c04_oklab(cells):
-    return rounded(cells.select("t", "y", "x", *[v.alias(n) for v, n in zip(colour.oklab(RGB), "lab")]))
+    return rounded(cells.select("t", "y", "x", *[v.alias(n) for v, n in zip(colour.oklab(rgb()), "lab")]))
 
 
 @query(f"SELECT t, y, x, {', '.join(f'{B8.format(c=c)} AS {c}' for c in 'rgb')} FROM cube")
 def c28_float_to_byte(cells):
-    return cells.select("t", "y", "x", *[v.alias(n) for v, n in zip(BYTES, "rgb")])
+    return cells.select("t", "y", "x", *[v.alias(n) for v, n in zip(rgb8(), "rgb")])
 
 
 _back = _m(colour.OKLAB_LMS_BACK, ("ll", "la", "lb"))
@@ -135,7 +141,7 @@ WIDE_SQL = LAB_SQL + ", wide AS (SELECT t, y, x, ll, la * 1.3::DOUBLE AS la, lb
 
 
 def wide(cells):
-    light, a, b = colour.oklab(RGB)
+    light, a, b = colour.oklab(rgb())
     return cells.select("t", "y", "x", light.alias("l"), (a * 1.3).alias("a"), (b * 1.3).alias("b"))
 
 
@@ -161,7 +167,7 @@ cie AS (SELECT t, y, x, idx, 116 * fy - 16 AS l, 500 * (fx - fy) AS a, 200 * (fy
 
 @query(f"+ {CIE_SQL} SELECT t, y, x, round(l, 6) AS l, round(a, 6) AS a, round(b, 6) AS b FROM cie")
 def c19_cielab(cells):
-    return rounded(cells.select("t", "y", "x", *[v.alias(n) for v, n in zip(colour.cielab(BYTES), "lab")]))
+    return rounded(cells.select("t", "y", "x", *[v.alias(n) for v, n in zip(colour.cielab(rgb8()), "lab")]))
 
 
 _hue = """(0.5 + 0.5 * tanh(-2 + 0.5 * sqrt({p}a * {p}a + {p}b * {p}b))) * (-0.08 - 0.14 * sin(radians({p}h + 50)) - 0.07 * sin(radians(2 * {p}h + 90))
@@ -175,14 +181,14 @@ hues AS (SELECT *, (CASE WHEN atan2(pb, pa) < 0 THEN degrees(atan2(pb, pa)) + 36
 SELECT t, round(avg(0.04 + 0.53 * tanh(0.8 - 0.045 * sqrt(greatest(0, pow(pa - qa, 2) + pow(pb - qb, 2) - dc * dc) + pow(dc / 1.46, 2)))
   + 0.28 + 0.54 * tanh(-3.88 + 0.029 * (pl + ql)) + 0.14 + 0.15 * tanh(-2 + 0.2 * abs(pl - ql)) + {_hue.format(p='p')} + {_hue.format(p='q')}), 5) AS harmony FROM hues GROUP BY t""")
 def c20_neighbour_harmony(cells):
-    lab = cells.select("t", "y", "x", F.struct(*[v.alias(n) for v, n in zip(colour.cielab(BYTES), "lab")]).alias("c"))
+    lab = cells.select("t", "y", "x", F.struct(*[v.alias(n) for v, n in zip(colour.cielab(rgb8()), "lab")]).alias("c"))
     pairs = bonds.bonds(lab, "c", ("x",))
     return rounded(pairs.groupBy("t").agg(F.avg(colour.harmony(unit("p.l", "p.a", "p.b"), unit("q.l", "q.a", "q.b"))).alias("harmony")), 5)
 
 
 @query("SELECT t, y, x, least(15, CAST(floor(16 * (0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b)) AS INT)) AS stratum FROM cube")
 def c24_luma_stratum(cells):
-    return cells.select("t", "y", "x", F.least(F.lit(15), F.floor(colour.luma(RGB) * 16).cast("int")).alias("stratum"))
+    return cells.select("t", "y", "x", F.least(F.lit(15), F.floor(colour.luma(rgb()) * 16).cast("int")).alias("stratum"))
 
 
 @query("SELECT t, y, x, round(1 / (2 - least(1, greatest(0, s))), 6) AS gain FROM cube")
@@ -225,7 +231,7 @@ _book = ", ".join(f"({i}, {r}::DOUBLE, {g}::DOUBLE, {b}::DOUBLE)" for i, r, g, b
 
 @query(f"+ book(i, cr, cg, cb) AS (VALUES {_book}), d AS (SELECT t, y, x, i, pow(r - cr, 2) + pow(g - cg, 2) + pow(b - cb, 2) AS d FROM cube, book WHERE t < 4) SELECT t, y, x, i AS code, round(d, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY t, y, x ORDER BY d, i) AS n FROM d) WHERE n = 1")
 def e01_nearest_codeword(cells):
-    near = codebook.nearest(codebook.lattice_book(), *RGB)
+    near = codebook.nearest(codebook.lattice_book(), *rgb())
     return rounded(cells.where("t < 4").select("t", "y", "x", near.alias("n")).select("t", "y", "x", F.col("n.i").alias("code"), F.col("n.d").alias("d2")))
 
 
