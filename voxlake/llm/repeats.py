@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import durable, tasks_for
-from .text import hash_spans, pieces, utf8, words
+from .text import hash_grams, hash_spans, pieces, utf8, words
 
+PIECE = 1 << 20  # bytes of text handled at a time: numpy needs a hundredfold
 LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
 
 
@@ -76,11 +77,10 @@ def runs(w: Windows, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     none = np.zeros(0, np.int64)
     if n < w.length:
         return none, none, none, none, np.zeros(0, np.uint64)
-    at = np.arange(n - w.gram + 1)
-    gram = hash_spans(rows.values, at, at + w.gram)
+    gram = hash_grams(rows.values, w.gram)
     bits = np.uint64(max(1, int(n).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
-    packed = (gram & ~low) | at.astype(np.uint64)
+    packed = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
     # Sliding minimum over `width` grams from running minima of blocks, forwards and backwards.
     blocks = -(-len(packed) // width)
     grid = np.full(blocks * width, ~np.uint64(0))
@@ -110,7 +110,7 @@ def _bytes(parts: list[np.ndarray], cuts: np.ndarray) -> list[pa.Array]:
 def _repeated_anchors(texts: DataFrame, w: Windows, tasks: int) -> DataFrame:
     """(key, at, crowded): for texts(key, text), packed longs of the positions in each distinct text of the anchors that
     occur elsewhere too; and, where crowded is 1, the hashes (as key) of anchors with more runs than w.crowded."""
-    flush = 1 << 21
+    flush = 1 << 18
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -134,7 +134,7 @@ def _repeated_anchors(texts: DataFrame, w: Windows, tasks: int) -> DataFrame:
             cols = _bytes([h[first][take], key[first][take], at[first][take], many[take]], cuts) + _bytes([key[rider], at[rider]], rider_cuts)
             return pa.RecordBatch.from_arrays([pa.array(np.arange(tasks), pa.int32()), *cols], ["part", "h", "key", "at", "count", "rider_key", "rider_at"])
 
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", PIECE):
             rows = Rows.of(w, batch.column(1))
             row, _, _, anchor, h = runs(w, rows)
             held.append((batch.column(0).to_numpy()[row], anchor - rows.offsets[row], h))
@@ -202,7 +202,7 @@ def _content_runs(texts: DataFrame, w: Windows, crowded) -> DataFrame:
     their anchor and their content, by two 64-bit hashes. crowded: a broadcast of the crowded anchors in order."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", PIECE):
             rows = Rows.of(w, batch.column(2))
             row, first, many, anchor, h = runs(w, rows)
             owner, ask = unpacked(batch.column(3))
@@ -236,7 +236,7 @@ def _content_runs(texts: DataFrame, w: Windows, crowded) -> DataFrame:
     return texts.mapInArrow(scan, "h long, doc long, key long, at long, n long, content binary")
 
 
-def _not_first(sent: DataFrame, w: Windows, tasks: int, batch_bytes: int = 8 << 20) -> DataFrame:
+def _not_first(sent: DataFrame, w: Windows, tasks: int, batch_bytes: int = 3 << 20) -> DataFrame:
     """(doc_id, key, spans): packed pairs of longs (unit, windows) of the windows that are not first."""
 
     def decide(h, doc, key, at, n, content) -> Iterator[tuple[np.ndarray, ...]]:

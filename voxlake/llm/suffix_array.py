@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import LAST, Rows, Windows, covered, mark
+from .repeats import LAST, PIECE, Rows, Windows, covered, mark
 from .text import pieces, utf8
 
 LENGTH = 100
@@ -48,15 +48,22 @@ class Queues:
             self.held = 0
 
     def take(self, sign: int) -> Iterator[np.ndarray]:
-        """All chunks that have arrived, oldest first."""
+        """What has arrived, oldest first, in chunks of about in_memory tuples."""
         queue, self.chunks[sign] = self.chunks[sign], []
+        batch, size = [], 0
         for c in queue:
             if isinstance(c, tuple):
                 self.file.seek(c[0])
                 c = np.frombuffer(self.file.read(8 * c[1]), np.int32).reshape(2, -1)
             else:
                 self.held -= c.shape[1]
-            yield c
+            batch.append(c)
+            size += c.shape[1]
+            if size >= self.in_memory:
+                yield np.concatenate(batch, axis=1)
+                batch, size = [], 0
+        if batch:
+            yield np.concatenate(batch, axis=1)
 
     def induce(self, target: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
         """Sources in order, with the common prefix of each with the one before; target: the sign of the suffix that
@@ -255,7 +262,7 @@ def _cut(docs: DataFrame, w: Windows, whole_characters: bool) -> DataFrame:
     kept_type = "string" if whole_characters else "binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", PIECE):
             rows = Rows.of(w, batch.column(1))
             n = np.diff(rows.offsets)
             gone = covered(rows, batch.column(2), w.length)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import LAST, Rows, Windows, covered, mark
+from .repeats import LAST, PIECE, Rows, Windows, covered, mark
 from .text import pieces, utf8, words
 
 LENGTH = 13
@@ -84,7 +84,7 @@ def without_repeats(docs: DataFrame, w: Windows = WORDS) -> DataFrame:
     joined = texts.join(found.spans, ["doc_id", "key"], "left").join(copies, ["doc_id", "key"], "left").select("doc_id", "text", "spans", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", PIECE):
             rows = Rows.of(w, batch.column(1))
             n = np.diff(rows.offsets)
             gone = covered(rows, batch.column(2), w.length)

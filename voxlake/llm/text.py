@@ -100,6 +100,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def hash_grams(values: np.ndarray, k: int) -> np.ndarray:
+    """hash_spans of the k values from each position that has them, in little memory."""
+    up, down = powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((_BYTE[values] if values.dtype == np.uint8 else values) * up[:-1], out=total[1:])
+    h = total[k:] - total[:-k]
+    del total
+    h *= down[: len(h)]
+    h += np.uint64(k)
+    return mixed(h)
+
+
 def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each span values[starts[i]:ends[i]], equal for equal contents; values: bytes, or hashes of units."""
     up, down = powers(len(values) + 1)
