@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .bpe import op10_bpe
 from .decontaminate import op4_decontaminate
 from .media import op2_media
@@ -14,4 +15,4 @@ from .toxicity import op8_toxicity
 from .urls import op5_urls
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_media, op3_sharding, op4_decontaminate, op5_urls, op6_quality, op7_simhash, op8_toxicity, op9_suffix_array, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_substring_dedup": oracles.OP1, "op5_urls": oracles.OP5}
