@@ -108,7 +108,7 @@ def _bytes(parts: list[np.ndarray], cuts: np.ndarray) -> list[pa.Array]:
 
 
 def _repeated_anchors(texts: DataFrame, w: Windows, tasks: int) -> DataFrame:
-    """(key, at, crowded): for texts(key, text), packed longs of the positions in each distinct text of the anchors that
+    """(key, at, crowded): for texts(key, text), packed positions in each distinct text of the anchors that
     occur elsewhere too; and, where crowded is 1, the hashes (as key) of anchors with more runs than w.crowded."""
     flush = 1 << 18
 
@@ -147,7 +147,7 @@ def _repeated_anchors(texts: DataFrame, w: Windows, tasks: int) -> DataFrame:
 
     def by_text(key: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(key, kind="stable")
-        key, value = key[order], at[order].astype(np.int64)
+        key, value = key[order], at[order].astype(np.uint32)
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         for lo in range(0, len(starts), 1 << 15):
             some = starts[lo : lo + (1 << 15)]
@@ -226,18 +226,26 @@ def _content_runs(texts: DataFrame, w: Windows, crowded) -> DataFrame:
             group = np.cumsum(np.append(True, (h[order][1:] != h[order][:-1]) | (same[order][1:] != same[order][:-1])))
             keep, other = _first_and_other(w, doc[order], group[: len(order)])
             keep, other = order[keep], order[other]
+            other = other[np.argsort(first[other], kind="stable")]
+            total = many.copy()
+            if len(other):  # known runs that follow one another in a row of text are one
+                f, m, r = first[other], many[other], row[other]
+                start = np.append(True, (f[1:] != f[:-1] + m[:-1]) | (r[1:] != r[:-1]))
+                begin = np.flatnonzero(start)
+                total[other[begin]] = np.add.reduceat(m, begin)
+                other = other[begin]
             raw = rows.raw.tobytes()
             text = pa.array([raw[a:b] for a, b in zip(lo[keep].tolist(), hi[keep].tolist())] + [None] * len(other), pa.binary())
             take = np.append(keep, other)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[take].view(np.int64)), pa.array(doc[take]), pa.array(key[take]), pa.array(at[take]), pa.array(many[take]), text], ["h", "doc", "key", "at", "n", "content"]
+                [pa.array(h[take].view(np.int64)), pa.array(doc[take]), pa.array(key[take]), pa.array(at[take]), pa.array(total[take]), text], ["h", "doc", "key", "at", "n", "content"]
             )
 
     return texts.mapInArrow(scan, "h long, doc long, key long, at long, n long, content binary")
 
 
 def _not_first(sent: DataFrame, w: Windows, tasks: int, batch_bytes: int = 3 << 20) -> DataFrame:
-    """(doc_id, key, spans): packed pairs of longs (unit, windows) of the windows that are not first."""
+    """(doc_id, key, spans): packed pairs (unit, windows) of the windows that are not first."""
 
     def decide(h, doc, key, at, n, content) -> Iterator[tuple[np.ndarray, ...]]:
         """For whole anchors: (doc, key, at, n) of windows that are not first."""
@@ -286,7 +294,7 @@ def _not_first(sent: DataFrame, w: Windows, tasks: int, batch_bytes: int = 3 <<
 
     def packed(doc, key, at, n) -> pa.RecordBatch:
         order = np.lexsort((key, doc))
-        doc, key, pair = doc[order], key[order], np.column_stack([at, n])[order]
+        doc, key, pair = doc[order], key[order], np.column_stack([at, n])[order].astype(np.uint32)
         s = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))[: len(doc)])
         return pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(key[s]), _bytes([pair.ravel()], np.append(s, len(doc)) * 2)[0]], ["doc_id", "key", "spans"])
 
@@ -358,14 +366,15 @@ def mark(docs: DataFrame, w: Windows) -> Marked:
 
 
 def unpacked(lists: pa.Array, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(row, longs) of a column of arrays of binary values that hold groups of width longs; a null is an empty array."""
+    """(row, numbers) of a column of arrays of binary values that hold groups of width 32-bit numbers; a null is an empty
+    array."""
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     data, cut = utf8(lists.flatten())
     elements = np.diff(np.asarray(lists.offsets))
     if lists.null_count:
         elements[np.asarray(lists.is_null())] = 0
-    values = np.frombuffer(data.tobytes(), np.int64)
-    row = np.repeat(np.repeat(np.arange(len(lists)), elements), np.diff(cut) // (8 * width))
+    values = np.frombuffer(data.tobytes(), np.uint32).astype(np.int64)
+    row = np.repeat(np.repeat(np.arange(len(lists)), elements), np.diff(cut) // (4 * width))
     return row, values if width == 1 else values.reshape(-1, width)
 
 
