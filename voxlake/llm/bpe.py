@@ -10,6 +10,7 @@ where it stands, so that no row of text is ever shuffled. Decoding looks up each
 from __future__ import annotations
 
 import base64
+import functools
 import json
 import zlib
 from collections.abc import Callable
@@ -22,7 +23,7 @@ from .durable import tasks_for
 
 NONE = 2**31 - 1  # rank of a pair that does not merge
 WIDTH = 1 << 20  # ids are below it
-PAIR_BUCKETS, WORD_BUCKETS = 65_537, 65_537
+PAIR_BUCKETS, WORD_BUCKETS = 16_381, 32_749
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,12 +64,13 @@ class Tokenizer:
     spark: SparkSession
     ranks: dict[bytes, int]
     pattern: str
-    frequent: int = 200_000
+    frequent: int = 60_000
 
     def words(self, text: Column) -> Column:
         """The matches of the pattern, in order; none for null or empty texts."""
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + self.pattern), F.lit(0))  # (?U): \s is Unicode white space
 
+    @functools.cached_property
     def rank_map(self) -> list[Column]:
         """The literal rank map: from a pair of neighbouring ids to the id of what they join to, which is its rank."""
         pairs = []
@@ -102,14 +104,14 @@ class Tokenizer:
             counts = docs.select(F.explode(F.array_distinct(self.words(F.col("text")))).alias("word")).groupBy("word").count()
             top = counts.where("count > 1").orderBy(F.desc("count"), "word").limit(self.frequent).select("word")
             bucket = F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).cast("int")
-            tables = F.struct(*self.rank_map())
+            tables = F.struct(*self.rank_map)
             rows = top.repartition(tasks_for(self.spark)).select(bucket, "word", _then(tables, lambda t: fold(F.col("word"), t))).collect()
         words, ids = _buckets([tuple(r) for r in rows], WORD_BUCKETS)
         return [_literal(words, "array<array<string>>").alias("words"), _literal(ids, "array<array<array<int>>>").alias("ids")]
 
     def encode(self, docs: DataFrame) -> Column:
         """Token ids of docs' column text: array<int>, empty for null and empty texts."""
-        tables = F.struct(*self.rank_map(), *self.frequent_words(docs))
+        tables = F.struct(*self.rank_map, *self.frequent_words(docs))
 
         def word(w: Column, t: Column) -> Column:
             known = _found(t["words"], t["ids"], F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int"), w)
@@ -118,12 +120,10 @@ class Tokenizer:
         return _then(tables, lambda t: F.flatten(F.transform(self.words(F.col("text")), lambda w: word(w, t))))
 
     def decode(self, ids: Column) -> Column:
-        """The bytes of the ids, one after another."""
-        return _then(self.id_tables(), lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t["pieces"], i)), "")))
-
-    def packed(self, ids: Column) -> Column:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return _then(self.id_tables(), lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t["packed"], i)), "")))
+        """struct(bytes, packed): the bytes of the ids, one after another, and the ids themselves as little-endian unsigned
+        32-bit integers."""
+        joined = lambda table: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+        return _then(self.id_tables(), lambda t: F.struct(joined(t["pieces"]).alias("bytes"), joined(t["packed"]).alias("packed")))
 
 
 def _rank(a: Column, b: Column, t: Column) -> Column:
@@ -135,7 +135,7 @@ def _rank(a: Column, b: Column, t: Column) -> Column:
 
 
 def fold(word: Column, t: Column) -> Column:
-    """Token ids of one match of the pattern: ranked merges over its bytes; t: rank_map()."""
+    """Token ids of one match of the pattern: ranked merges over its bytes; t: rank_map."""
     raw, none = word.cast("binary"), F.array().cast("array<int>")
 
     def start(ids: Column) -> Column:
@@ -164,7 +164,7 @@ def fold(word: Column, t: Column) -> Column:
     return _then(_then(ids, start), lambda s: F.aggregate(F.sequence(F.lit(1), F.size(s["ids"])), s, step, lambda s: s["ids"]))
 
 
-def tokenizer(spark: SparkSession, path: str | None = None, pattern: str | None = None, frequent: int = 200_000) -> Tokenizer:
+def tokenizer(spark: SparkSession, path: str | None = None, pattern: str | None = None, frequent: int = 60_000) -> Tokenizer:
     """By default the installed public 50k byte-level vocabulary and its pattern."""
     import public_tokenizers
 
@@ -175,19 +175,15 @@ def checked(docs: DataFrame, t: Tokenizer) -> DataFrame:
     """docs with tokens (array<int>), n_tokens and round_trip (the tokens decode to the text's bytes); columns of docs
     with these names are replaced. Null texts have no tokens and count as empty."""
     ids = docs.withColumn("tokens", t.encode(docs)).withColumn("n_tokens", F.size("tokens").cast("long"))
-    return ids.withColumn("round_trip", t.decode(F.col("tokens")) == F.coalesce("text", F.lit("")).cast("binary"))
+    return ids.withColumn("round_trip", t.decode(F.col("tokens"))["bytes"] == F.coalesce("text", F.lit("")).cast("binary"))
 
 
 def digests(docs: DataFrame, t: Tokenizer) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs(doc_id, text, ...): digests of the encoded ids
     and of the bytes that they decode to. Null texts count as empty; rows may repeat; extra columns are ignored."""
     ids = docs.select("doc_id", t.encode(docs).alias("ids"))
-    return ids.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(t.packed(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(t.decode(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+    back = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), t.decode(F.col("ids")).alias("d"))
+    return back.select("doc_id", "n_tokens", F.sha2("d.packed", 256).alias("ids_sha256"), F.sha2("d.bytes", 256).alias("decoded_sha256"))
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
