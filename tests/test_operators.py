@@ -81,6 +81,20 @@ def test_planted_mixture(spark):
     assert fits.mixture(spark.createDataFrame([], "s double"), "s").count() == 0
 
 
+def test_mixture_splits_at_the_median_by_ranges(spark, monkeypatch):
+    """The same first split as by sorting everything, with no window over all values, which one task would read."""
+
+    def one_task(*_):
+        raise AssertionError("a window without a partition")
+
+    monkeypatch.setattr(fits.Window, "orderBy", one_task)
+    values = [round(next(d), 2) for d in [draws(7)] for _ in range(401)] + [0.5] * 60
+    for some in (values, values[:1], values[:2], [0.25] * 5):
+        n, s = len(some), sorted(some)
+        fit = fits.mixture(spark.createDataFrame([(v,) for v in some], "s double").repartition(3), "s", steps=0).first()
+        assert fit.mb == pytest.approx(sum(s[: n // 2]) / max(1, n // 2)) and fit.mf == pytest.approx(sum(s[n // 2 :]) / (n - n // 2))
+
+
 def test_quotas_and_fronts(spark):
     rows = spark.createDataFrame([(g, e, w) for g in (1, 2) for e, w in enumerate((0.4, 0.3, 0.2, 0.1 * g))], "g int, e int, w double")
     q = codebook.largest_remainder(rows, ["g"], "e", "w", F.lit(17)).groupBy("g").agg(F.sum("quota").alias("n")).collect()

@@ -15,6 +15,26 @@ def weighted_moments(rows: DataFrame, by: list[str], dims: list[str], weight: st
     return means.join(rows.join(means, by).groupBy(*by).agg(*spread), by)
 
 
+def _split(x: DataFrame, half: int) -> tuple[float, int]:
+    """(s, below): the least value of x(s, c) up to which half rows or more lie, and the number of rows below it.
+
+    Values are dealt out by range; the running count is taken in the one range that holds the place.
+    """
+    ranged = x.repartitionByRange("s").withColumn("_p", F.spark_partition_id()).persist()
+    try:
+        before = 0
+        for p, c in sorted(tuple(r) for r in ranged.groupBy("_p").agg(F.sum("c")).collect()):
+            if before + c >= half:
+                break
+            before += c
+        up = Window.partitionBy("_p").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+        here = ranged.where(F.col("_p") == p).withColumn("_u", F.sum("c").over(up) + before).where(F.col("_u") >= half)
+        at = here.orderBy("s").select("s", F.col("_u") - F.col("c")).first()
+        return at[0], at[1]
+    finally:
+        ranged.unpersist()
+
+
 def mixture(rows: DataFrame, value: str, steps: int = 64) -> DataFrame:
     """(mf, mb, pb, sd): two normal components of one width by expectation-maximisation, split at the median to begin.
 
@@ -27,8 +47,8 @@ def mixture(rows: DataFrame, value: str, steps: int = 64) -> DataFrame:
         if not n:
             return rows.sparkSession.createDataFrame([], "mf double, mb double, pb double, sd double")
         half = n // 2
-        up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-        low = F.greatest(F.lit(0), F.least(F.col("c"), F.lit(half) - (F.sum("c").over(up) - F.col("c"))))
+        split, below = _split(x, half)
+        low = F.when(F.col("s") < split, F.col("c")).when(F.col("s") == split, F.lit(half - below)).otherwise(0)
         first = x.withColumn("l", low).agg(
             F.sum(F.col("l") * F.col("s")).alias("lo"), F.sum((F.col("c") - F.col("l")) * F.col("s")).alias("hi"),
             F.sum(F.col("c") * F.col("s")).alias("one"), F.sum(F.col("c") * F.col("s") * F.col("s")).alias("two"),
