@@ -1,29 +1,42 @@
-"""Byte-level BPE encoding and decoding in Spark's own functions.
+"""Byte-level BPE: higher-order functions fold ranked merges over the distinct words of a corpus.
 
-A text is cut by the tokenizer's pattern; a higher-order function folds the ranked merges over the bytes of a word:
-aggregate() carries the word's token ids and the rank of every neighbouring pair, and each step joins the leftmost pair
-of lowest rank. Ranks come from a literal map, dealt into small buckets because a lookup reads a map from end to end. A
-bounded table of the corpus's most frequent distinct words, folded once, serves most words; any other word is folded
-where it stands, so that no row of text is ever shuffled. Decoding looks up each id's bytes and concatenates them.
+A text is cut by the tokenizer's pattern. Rows are numbered in blocks: a block keeps a code for each word and lists its
+distinct words once. The lists meet by word, so that every distinct word is folded once (once for each band of blocks, when
+there are very many), and go back to their blocks, where codes become ids. Only distinct words are shuffled with content.
+
+The fold carries two strings: the word's symbols, and for each neighbouring pair the symbol that it merges to. A symbol is
+one character: a byte's own, or one that stands for a token's rank, in order of rank; a pair that does not merge has a
+character above all of these. So array_min finds the merge of least rank, and instr its leftmost place. Ranks come from a
+literal map: an array of small buckets, as a lookup in a map literal reads the map from end to end. Decoding concatenates
+the tokens' binary pieces.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
-import json
-import zlib
-from collections.abc import Callable
+import hashlib
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .durable import tasks_for
+from .durable import ensure_checkpoint_dir, tasks_for
+from .text import utf8
 
-NONE = 2**31 - 1  # rank of a pair that does not merge
-WIDTH = 1 << 20  # ids are below it
-PAIR_BUCKETS, WORD_BUCKETS = 16_381, 32_749
+#: Characters: FIRST is that of rank 0, the next ranks follow without the surrogates; from NONE on, pairs that do not merge.
+FIRST, SURROGATES, NONE = 0x800, range(0xD800, 0xE000), 0x90000
+SEP, CUT = "\U0010ffff", "\U0010fffe"
+BUCKETS = 1 << 16
+BLOCK_WORDS = 4_000_000  # words of a block at most, or one row
+BAND_BLOCKS = 4096  # blocks whose lists of one word meet in one group
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -32,159 +45,231 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _literal(value: list, kind: str) -> Column:
-    """A large nested value as one literal: the optimizer folds the constant expression before any row is read."""
-    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
+def rank_char(rank: int) -> str:
+    """The character of a token of that rank."""
+    c = FIRST + rank
+    return chr(c if c < SURROGATES.start else c + len(SURROGATES))
+
 
+class RankMap:
+    """The literal rank map and the fold."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        if ord(rank_char(max(ranks.values(), default=0))) >= NONE:
+            raise ValueError("more ranks than characters for them")
+        symbol = lambda t: chr(t[0]) if len(t) == 1 else rank_char(ranks[t])
+        buckets = [chr(NONE)] * BUCKETS
+        bytes_, merged = [], []
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                bytes_.append(chr(NONE + token[0] * 256 + token[1]))
+                merged.append(rank_char(rank))
+            for cut in range(1, len(token)):
+                a, b = token[:cut], token[cut:]
+                if a in ranks and b in ranks:
+                    key = SEP + symbol(a) + symbol(b)
+                    buckets[xxhash.xxh64_intdigest(key.encode(), seed=42) % BUCKETS] += key + rank_char(rank)
+        self.buckets = F.split(F.lit(CUT.join(buckets)), F.lit(CUT))  # becomes one literal array when the plan is made
+        self.bytes, self.merged = "".join(bytes_), "".join(merged)
+
+    def merge(self, a: Column, b: Column) -> Column:
+        """The symbol that two neighbours merge to: what follows the pair in its bucket, else the bucket's first character."""
+        key = F.concat(F.lit(SEP), a, b)
+        bucket = F.get(self.buckets, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return F.substring(F.call_function("substring_index", bucket, key, F.lit(-1)), 1, 1)
+
+    def pairs_of_bytes(self, symbols: Column, n: Column) -> Column:
+        """What each pair of neighbouring bytes merges to: pairs become characters from NONE on, then the known ones ranks."""
+        spread = F.regexp_replace(symbols, F.lit("(?s)(.)(?=(.))"), F.lit("\x00" + chr(NONE >> 16) + "$1$2"))
+        pairs = F.decode(F.encode(F.substring(spread, F.lit(1), 4 * (n - 1)), "ISO-8859-1"), "UTF-32")
+        return F.translate(pairs, self.bytes, self.merged)
+
+    def fold(self, word: Column) -> Column:
+        """The word's tokens as symbols, after all ranked merges."""
+        one, rest = F.lit(1), F.lit(1 << 30)
+        n = F.octet_length(word)
+        symbols = F.decode(word.cast("binary"), "ISO-8859-1")
+
+        def step(state: Column, look: Column) -> Column:
+            s, r, m, i = state["s"], state["r"], state["m"], state["i"]
+            least = F.array_min(F.split(r, F.lit("")))
+            found = F.struct(s.alias("s"), r.alias("r"), least.alias("m"), F.instr(r, least).alias("i"))
+            left = F.when(i > 1, self.merge(F.substring(s, i - 1, one), m)).otherwise("")
+            right = F.when(i < F.length(r), self.merge(m, F.substring(s, i + 2, one))).otherwise("")
+            joined = F.struct(
+                F.concat(F.substring(s, one, i - 1), m, F.substring(s, i + 2, rest)).alias("s"),
+                F.concat(F.substring(r, one, F.greatest(i - 2, F.lit(0))), left, right, F.substring(r, i + 2, rest)).alias("r"),
+                F.lit("").alias("m"), F.lit(0).alias("i"),
+            )
+            return F.when(m >= chr(NONE), state).when(look, found).otherwise(joined)
+
+        start = F.struct(symbols.alias("s"), self.pairs_of_bytes(symbols, n).alias("r"), F.when(n < 2, chr(NONE)).otherwise("").alias("m"), F.lit(0).alias("i"))
+        # Steps find the least merge and carry it out by turns; a word has one merge fewer than bytes at most.
+        turns = F.sequence(F.lit(0), F.greatest(2 * n - 3, F.lit(0)))
+        return F.aggregate(turns, start, lambda state, k: step(state, k.bitwiseAND(F.lit(1)) == 0), lambda state: state["s"])
+
+
+@dataclass
+class Vocabulary:
+    """Ranks and pieces as arrays, for tasks."""
 
-def _buckets(entries: list[tuple], n: int) -> tuple[list[list], list[list]]:
-    """Keys and values of entries (bucket, key, value) in n small buckets."""
-    keys: list[list] = [[] for _ in range(n)]
-    values: list[list] = [[] for _ in range(n)]
-    for b, key, value in entries:
-        keys[b].append(key)
-        values[b].append(value)
-    return keys, values
+    byte_rank: np.ndarray
+    data: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
 
+    @classmethod
+    def of(cls, ranks: dict[bytes, int]) -> Vocabulary:
+        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            pieces[rank] = token
+        size = np.array([len(p) for p in pieces], np.int64)
+        byte_rank = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        return cls(byte_rank, np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size, size)
 
-def _found(keys: Column, values: Column, bucket: Column, key: Column) -> Column:
-    """The value of key in a literal map of buckets, null without one."""
-    return F.get(F.get(values, bucket), F.array_position(F.get(keys, bucket), key).cast("int") - 1)
+    def ids(self, symbols: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all values one after another, number of ids of each value)."""
+        raw, at = utf8(symbols)
+        chars = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int32)
+        count = np.diff(np.append(0, np.cumsum((raw & 0xC0) != 0x80))[at])
+        skip = np.where(chars < SURROGATES.start, FIRST, FIRST + len(SURROGATES))
+        return np.where(chars < 256, self.byte_rank[np.minimum(chars, 255)], chars - skip).astype(np.int32), count
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The pieces of ids, one after another."""
+        return self.data[_ranges(self.start[ids], self.size[ids])].tobytes()
 
-def _then(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with value computed once."""
-    return F.transform(F.array(value), f)[0]
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of size[0] numbers, then those of start[1], and so on."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 @dataclass
 class Tokenizer:
-    """A rank file and a pattern, as literals for Spark's functions. Unicode classes follow the JVM's tables."""
+    """A rank file and a pattern. Unicode classes follow the JVM's tables."""
 
     spark: SparkSession
     ranks: dict[bytes, int]
     pattern: str
-    frequent: int = 60_000
+    block_words: int = BLOCK_WORDS
 
     def words(self, text: Column) -> Column:
         """The matches of the pattern, in order; none for null or empty texts."""
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + self.pattern), F.lit(0))  # (?U): \s is Unicode white space
 
-    @functools.cached_property
-    def rank_map(self) -> list[Column]:
-        """The literal rank map: from a pair of neighbouring ids to the id of what they join to, which is its rank."""
-        pairs = []
-        for token, rank in self.ranks.items():
-            for cut in range(1, len(token)):
-                a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
-                if a is not None and b is not None:
-                    key = a * WIDTH + b
-                    pairs.append((key % PAIR_BUCKETS, key, rank))
-        keys, ranks = _buckets(pairs, PAIR_BUCKETS)
-        # Ids of single bytes, in order of the top byte of the byte's CRC-32, which is another for each byte.
-        single = [r for _, r in sorted((zlib.crc32(bytes([b])) >> 24, self.ranks[bytes([b])]) for b in range(256))]
-        return [
-            _literal(keys, "array<array<bigint>>").alias("pairs"), _literal(ranks, "array<array<int>>").alias("ranks"), _literal(single, "array<int>").alias("bytes")
-        ]
-
-    def id_tables(self) -> Column:
-        """By id: the bytes of the token and the id's four bytes, in hexadecimal."""
-        pieces = [""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            pieces[rank] = token.hex()
-        return F.struct(
-            _literal(pieces, "array<string>").alias("pieces"), _literal([i.to_bytes(4, "little").hex() for i in range(len(pieces))], "array<string>").alias("packed")
-        )
-
-    def frequent_words(self, docs: DataFrame) -> list[Column]:
-        """A literal map from the distinct words that most rows of docs hold to their ids. The ids are the fold's, so the
-        table's bound (the parameter frequent) changes the cost only."""
-        rows = []
-        if self.frequent:
-            counts = docs.select(F.explode(F.array_distinct(self.words(F.col("text")))).alias("word")).groupBy("word").count()
-            top = counts.where("count > 1").orderBy(F.desc("count"), "word").limit(self.frequent).select("word")
-            bucket = F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).cast("int")
-            tables = F.struct(*self.rank_map)
-            rows = top.repartition(tasks_for(self.spark)).select(bucket, "word", _then(tables, lambda t: fold(F.col("word"), t))).collect()
-        words, ids = _buckets([tuple(r) for r in rows], WORD_BUCKETS)
-        return [_literal(words, "array<array<string>>").alias("words"), _literal(ids, "array<array<array<int>>>").alias("ids")]
-
-    def encode(self, docs: DataFrame) -> Column:
-        """Token ids of docs' column text: array<int>, empty for null and empty texts."""
-        tables = F.struct(*self.rank_map, *self.frequent_words(docs))
-
-        def word(w: Column, t: Column) -> Column:
-            known = _found(t["words"], t["ids"], F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int"), w)
-            return F.coalesce(known, fold(w, t))
-
-        return _then(tables, lambda t: F.flatten(F.transform(self.words(F.col("text")), lambda w: word(w, t))))
-
-    def decode(self, ids: Column) -> Column:
-        """struct(bytes, packed): the bytes of the ids, one after another, and the ids themselves as little-endian unsigned
-        32-bit integers."""
-        joined = lambda table: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
-        return _then(self.id_tables(), lambda t: F.struct(joined(t["pieces"]).alias("bytes"), joined(t["packed"]).alias("packed")))
-
-
-def _rank(a: Column, b: Column, t: Column) -> Column:
-    """Rank of the pair of ids a and b, NONE if it does not join."""
-    return _then(
-        a.cast("long") * WIDTH + b,
-        lambda key: F.coalesce(_found(t["pairs"], t["ranks"], F.pmod(key, F.lit(PAIR_BUCKETS)).cast("int"), key), F.lit(NONE)),
-    )
-
-
-def fold(word: Column, t: Column) -> Column:
-    """Token ids of one match of the pattern: ranked merges over its bytes; t: rank_map."""
-    raw, none = word.cast("binary"), F.array().cast("array<int>")
-
-    def start(ids: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: _rank(F.get(ids, i), F.get(ids, i + 1), t))
-        return F.struct(ids.alias("ids"), F.when(F.size(ids) < 2, none).otherwise(pairs).alias("ranks"))
-
-    def join(state: Column, at: Column) -> Column:
-        ids, ranks, m, i = state["ids"], state["ranks"], at["m"], at["i"]
-        n = F.size(ids)
-        left = F.when(i > 1, F.array(_rank(F.get(ids, i - 2), m, t))).otherwise(none)
-        right = F.when(i < n - 1, F.array(_rank(m, F.get(ids, i + 1), t))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(ids, F.lit(1), i - 1), F.array(m), F.slice(ids, i + 2, n)).alias("ids"),
-            F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(ranks, i + 2, n)).alias("ranks"),
-        )
-
-    def step(state: Column, _: Column) -> Column:
-        def least(m: Column) -> Column:
-            at = F.struct(m.alias("m"), F.array_position(state["ranks"], m).cast("int").alias("i"))
-            return F.when(F.coalesce(m, F.lit(NONE)) == NONE, state).otherwise(_then(at, lambda a: join(state, a)))
-
-        return _then(F.array_min(state["ranks"]), least)
-
-    places = F.sequence(F.lit(1), F.octet_length(raw))
-    ids = F.transform(places, lambda i: F.get(t["bytes"], F.shiftright(F.crc32(F.substring(raw, i, F.lit(1))), 24).cast("int")))
-    return _then(_then(ids, start), lambda s: F.aggregate(F.sequence(F.lit(1), F.size(s["ids"])), s, step, lambda s: s["ids"]))
-
-
-def tokenizer(spark: SparkSession, path: str | None = None, pattern: str | None = None, frequent: int = 60_000) -> Tokenizer:
+    def blocks(self, docs: DataFrame) -> DataFrame:
+        """The rows of docs in blocks, written to the shared folder. One row for each block: rows (docs' columns but text),
+        counts (words of each row) and codes (packed, of every word in order); one for each distinct word of a block: code,
+        word."""
+        others = [c for c in docs.columns if c != "text"]
+        row = T.StructType([docs.schema[c] for c in others])
+        schema = T.StructType([
+            T.StructField("block", T.LongType()), T.StructField("code", T.IntegerType()), T.StructField("word", T.StringType()),
+            T.StructField("rows", T.ArrayType(row)), T.StructField("counts", T.BinaryType()), T.StructField("codes", T.BinaryType()),
+        ])
+        limit = self.block_words
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = TaskContext.get().partitionId() << 32
+            squeeze = zstandard.ZstdCompressor(level=1)
+            for batch in batches:
+                upto = np.asarray(batch.column(1).offsets).astype(np.int64)
+                lo = 0
+                while lo < batch.num_rows:
+                    hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + limit, "right")) - 1)
+                    coded = batch.column(1).slice(lo, hi - lo).flatten().dictionary_encode()
+                    n, words = len(coded.dictionary), coded.dictionary
+                    codes = squeeze.compress(np.asarray(coded.indices).astype(np.uint32).tobytes())
+                    counts = np.diff(upto[lo : hi + 1]).astype(np.uint32).tobytes()
+                    rows = batch.column(0).slice(lo, hi - lo)
+                    rows = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), rows, pa.array([counts]), pa.array([codes])], names)
+                    if n:
+                        empty = [pa.nulls(n, rows.type), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), words, *empty], names)
+                    number += 1
+                    lo = hi
+
+        names = schema.names
+        ensure_checkpoint_dir(self.spark)
+        folder = f"{self.spark.sparkContext.getCheckpointDir()}/bpe-{uuid.uuid4().hex}"
+        row_column = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
+        docs.select(row_column.alias("row"), self.words(F.col("text")).alias("words")).mapInArrow(pack, schema).write.parquet(folder)
+        return self.spark.read.schema(schema).parquet(folder)
+
+    def encoded(self, docs: DataFrame, finish: Callable[..., Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+        """finish(rows: struct array, ids: of all rows one after another, ends: offsets of the rows' ids) for every block."""
+        tasks = tasks_for(self.spark)
+        blocks = self.blocks(docs)
+        packed = blocks.where("codes is not null").select("block", "rows", "counts", "codes")
+        bands = -(-packed.count() // BAND_BLOCKS) or 1
+        listed = blocks.where("word is not null").select("block", "code", "word")
+        # A word is once in a block, so a group holds BAND_BLOCKS places at most on the average.
+        band = F.pmod(F.xxhash64("block"), F.lit(bands)).alias("band")
+        places = listed.groupBy("word", band).agg(F.collect_list(F.struct("block", "code")).alias("places"))
+        folded = places.select(RankMap(self.ranks).fold(F.col("word")).alias("symbols"), "places")
+        back = folded.select("symbols", F.inline("places")).groupBy("block").agg(F.collect_list(F.struct("code", "symbols")).alias("list"))
+        vocabulary = self.spark.sparkContext.broadcast(Vocabulary.of(self.ranks))  # as large as the rank file
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            v = vocabulary.value
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    rows, entries = batch.column(0).slice(k, 1).flatten(), batch.column(3).slice(k, 1).flatten()
+                    counts = np.frombuffer(batch.column(1)[k].as_py(), np.uint32).astype(np.int64)
+                    codes = np.frombuffer(zstandard.decompress(batch.column(2)[k].as_py()), np.uint32)
+                    ids, size = v.ids(entries.field("symbols"))
+                    order = np.argsort(np.asarray(entries.field("code")))
+                    start, size = (np.cumsum(size) - size)[order], size[order]
+                    ends = np.append(0, np.cumsum(size[codes]))[np.append(0, np.cumsum(counts))]
+                    yield from finish(v, rows, ids[_ranges(start[codes], size[codes])], ends)
+
+        joined = packed.join(back, "block", "left").select("rows", "counts", "codes", F.coalesce("list", F.array().cast("array<struct<code:int,symbols:string>>")).alias("list"))
+        return joined.mapInArrow(run, schema)
+
+
+def tokenizer(spark: SparkSession, path: str | None = None, pattern: str | None = None, **options) -> Tokenizer:
     """By default the installed public 50k byte-level vocabulary and its pattern."""
     import public_tokenizers
 
-    return Tokenizer(spark, read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")), pattern or public_tokenizers.PATTERN, frequent)
+    return Tokenizer(spark, read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")), pattern or public_tokenizers.PATTERN, **options)
 
 
 def checked(docs: DataFrame, t: Tokenizer) -> DataFrame:
-    """docs with tokens (array<int>), n_tokens and round_trip (the tokens decode to the text's bytes); columns of docs
-    with these names are replaced. Null texts have no tokens and count as empty."""
-    ids = docs.withColumn("tokens", t.encode(docs)).withColumn("n_tokens", F.size("tokens").cast("long"))
-    return ids.withColumn("round_trip", t.decode(F.col("tokens"))["bytes"] == F.coalesce("text", F.lit("")).cast("binary"))
+    """docs' columns other than text, with n_tokens, tokens (array<int>) and decoded (the text that the tokens decode to);
+    columns of docs with these names are replaced. Null texts have no tokens and count as empty; repeated rows stay."""
+    own = ["n_tokens", "tokens", "decoded"]
+    docs = docs.select(*[c for c in docs.columns if c not in own])
+    others = [c for c in docs.columns if c != "text"]
+
+    def finish(v: Vocabulary, rows: pa.Array, ids: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        text = [v.decode(ids[a:b]).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+        tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+        yield pa.RecordBatch.from_arrays([*(rows.field(c) for c in others), pa.array(np.diff(ends)), tokens, pa.array(text, pa.string())], [*others, *own])
+
+    fields = [docs.schema[c] for c in others] + [T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return t.encoded(docs, finish, T.StructType(fields))
 
 
 def digests(docs: DataFrame, t: Tokenizer) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs(doc_id, text, ...): digests of the encoded ids
     and of the bytes that they decode to. Null texts count as empty; rows may repeat; extra columns are ignored."""
-    ids = docs.select("doc_id", t.encode(docs).alias("ids"))
-    back = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), t.decode(F.col("ids")).alias("d"))
-    return back.select("doc_id", "n_tokens", F.sha2("d.packed", 256).alias("ids_sha256"), F.sha2("d.bytes", 256).alias("decoded_sha256"))
+
+    def finish(v: Vocabulary, rows: pa.Array, ids: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        packed, text = ids.astype("<u4"), []
+        out = []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            out.append(hashlib.sha256(packed[a:b].tobytes()).hexdigest())
+            text.append(hashlib.sha256(v.decode(ids[a:b])).hexdigest())
+        yield pa.RecordBatch.from_arrays([rows.field("doc_id"), pa.array(np.diff(ends)), pa.array(out, pa.string()), pa.array(text, pa.string())], names)
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    fields = [docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return t.encoded(docs.select("doc_id", "text"), finish, T.StructType(fields))
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
+    """digests() of every row of documents, by the installed 50k byte-level vocabulary. Null and empty texts have 0 tokens;
+    repeated rows give repeated rows; an empty table gives none."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), tokenizer(spark))
