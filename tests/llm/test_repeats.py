@@ -116,3 +116,27 @@ def test_groups(in_memory):
     for i, j, k in zip(*suffix_array.group_bytes(contents, in_memory=in_memory * 1000)):
         out[k].add((i, j))
     assert sorted(map(sorted, out.values())) == sorted(sorted(v) for v in w.values() if len(v) > 1)
+
+
+def thue_morse(n):
+    """Two words of n letters whose polynomial hashes modulo 2 ** 64 are equal for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_contents_decide_and_not_their_hashes(spark):
+    one, other = thue_morse(4096)
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{one} {tail}"), (2, f"{other} {tail}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id, r.n_removed) for r in suffix_trees.without_repeats(docs).collect()) == [(1, 0), (2, 0)]
+    got = suffix_array.without_repeats(docs).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got) == Counter(brute_bytes(rows))
+
+
+def test_a_line_repeated_in_one_document_and_others(spark):
+    line = " ".join(f"w{i}" for i in range(16)) + "\n"
+    rows = [(5, line * 40), (3, "x " + line * 30), (9, line * 3 + "y"), (3, "z " + line * 2), (4, line[5:] + line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_trees.without_repeats(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got) == Counter(brute_words(rows))

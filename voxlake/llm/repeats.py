@@ -7,11 +7,12 @@ A window is `length` consecutive units (bytes, or words) of one document. Docume
    percent of the units; packed per task and shuffled by hash, they tell which are repeated. An anchor that repeats inside
    a task is settled there and sent once, so a hot passage costs a few entries per task.
 3. Runs of windows that share a repeated anchor are shuffled by it with their content, again one entry per task and
-   content. A shard gets all runs of its anchors and hands those that differ to the operator's own sorter, which groups
-   equal windows. Anchors with very many runs are dealt out window by window.
+   content (and document, where its runs share their fate: the row lists their positions). A shard gets all runs of its
+   anchors and hands those that differ to the operator's own sorter, which groups equal windows. Anchors with very many runs are dealt out window by window.
 4. Windows that are not first go back by doc_id and are cut from the texts.
 
-Nothing is capped; hashes only bring together, contents decide.
+Nothing is capped. Hashes bring runs together, contents decide: runs of one hash are compared byte by byte. Copies of a whole
+text are told by SHA-256.
 """
 
 from __future__ import annotations
@@ -196,10 +197,37 @@ def _first_and_other(w: Windows, doc: np.ndarray, group: np.ndarray) -> tuple[np
     return np.flatnonzero(doc == lead), np.flatnonzero(doc != lead)
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of size[0] numbers, then those of start[1], and so on."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _grouped(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, h: np.ndarray, by: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group): rows in order of h, content raw[lo:hi] and by, and the number of each one's group of equal h and
+    content. Contents are told apart by a hash first, and byte by byte then."""
+    same = hash_spans(raw, lo, hi)
+    while True:
+        order = np.lexsort((*reversed(by), same, h))
+        new = np.append(True, (h[order][1:] != h[order][:-1]) | (same[order][1:] != same[order][:-1]))[: len(order)]
+        group = np.cumsum(new) - 1
+        lead = order[np.flatnonzero(new)][group]
+        size = hi[order] - lo[order]
+        again = np.flatnonzero(~new & (size == hi[lead] - lo[lead]))
+        differs = ~new & (size != hi[lead] - lo[lead])
+        if len(again):
+            unlike = raw[ranges(lo[order[again]], size[again])] != raw[ranges(lo[lead[again]], size[again])]
+            differs[again] = np.logical_or.reduceat(unlike, np.cumsum(size[again]) - size[again])
+        if not differs.any():
+            return order, group
+        mixed = order[np.isin(group, group[differs])]
+        ids: dict[bytes, int] = {}
+        same[mixed] = [ids.setdefault(raw[a:b].tobytes(), len(ids)) for a, b in zip(lo[mixed].tolist(), hi[mixed].tolist())]
+
+
 def _content_runs(texts: DataFrame, w: Windows, crowded) -> DataFrame:
     """Rows (h, doc, key, at, n, content) for the runs of texts(doc_id, key, text, at: array of packed positions of
-    anchors): n windows from unit at. Rows without content are known not to be first: an earlier row of this task has
-    their anchor and their content, by two 64-bit hashes. crowded: a broadcast of the crowded anchors in order."""
+    anchors): n windows from each unit of at, packed. Rows without content are known not to be first: an earlier row of this
+    task has their anchor and their content. crowded: a broadcast of the crowded anchors in order."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
@@ -219,13 +247,14 @@ def _content_runs(texts: DataFrame, w: Windows, crowded) -> DataFrame:
                 first, many = np.repeat(first, each) + step, np.where(crowd, 1, np.repeat(many, each))
                 h = np.where(crowd, hash_spans(rows.values, first, first + w.length), h)
             lo, hi = rows.content(first, first + many + w.length - 1)
-            same = hash_spans(rows.raw, lo, hi)
             doc, key = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
             at = first - rows.offsets[row]
-            order = np.lexsort((at, key, doc, same, h))
-            group = np.cumsum(np.append(True, (h[order][1:] != h[order][:-1]) | (same[order][1:] != same[order][:-1])))
-            keep, other = _first_and_other(w, doc[order], group[: len(order)])
-            keep, other = order[keep], order[other]
+            order, group = _grouped(rows.raw, lo, hi, h, [doc, key, at])
+            keep, other = _first_and_other(w, doc[order], group)
+            new = np.append(True, (group[keep][1:] != group[keep][:-1]) | (key[order[keep]][1:] != key[order[keep]][:-1]))[: len(keep)]
+            listed = at[order[keep]]  # runs of one content in the first document go or stay together
+            cuts = np.append(np.flatnonzero(new), len(keep))
+            keep, other = order[keep[new]], order[other]
             other = other[np.argsort(first[other], kind="stable")]
             total = many.copy()
             if len(other):  # known runs that follow one another in a row of text are one
@@ -237,24 +266,25 @@ def _content_runs(texts: DataFrame, w: Windows, crowded) -> DataFrame:
             raw = rows.raw.tobytes()
             text = pa.array([raw[a:b] for a, b in zip(lo[keep].tolist(), hi[keep].tolist())] + [None] * len(other), pa.binary())
             take = np.append(keep, other)
+            places = _bytes([np.append(listed, at[other]).astype(np.uint32)], np.append(cuts, cuts[-1] + 1 + np.arange(len(other))))[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[take].view(np.int64)), pa.array(doc[take]), pa.array(key[take]), pa.array(at[take]), pa.array(total[take]), text], ["h", "doc", "key", "at", "n", "content"]
+                [pa.array(h[take].view(np.int64)), pa.array(doc[take]), pa.array(key[take]), places, pa.array(total[take]), text], ["h", "doc", "key", "at", "n", "content"]
             )
 
-    return texts.mapInArrow(scan, "h long, doc long, key long, at long, n long, content binary")
+    return texts.mapInArrow(scan, "h long, doc long, key long, at binary, n long, content binary")
 
 
 def _not_first(sent: DataFrame, w: Windows, tasks: int, batch_bytes: int = 3 << 20) -> DataFrame:
     """(doc_id, key, spans): packed pairs (unit, windows) of the windows that are not first."""
 
     def decide(h, doc, key, at, n, content) -> Iterator[tuple[np.ndarray, ...]]:
-        """For whole anchors: (doc, key, at, n) of windows that are not first."""
+        """For whole anchors: (row, offset, n) of windows that are not first; at: the row's least position."""
         ids: dict[bytes, int] = {}
         which = np.fromiter((ids.setdefault(c, len(ids)) for c in content), np.int64, len(content))
         order = np.lexsort((at, key, doc, which))
         new = np.append(True, which[order][1:] != which[order][:-1])
         keep, other = _first_and_other(w, doc[order], np.cumsum(new))
-        yield tuple(x[order[other]] for x in (doc, key, at, n))
+        yield order[other], np.zeros(len(other), np.int64), n[order[other]]
         rows = order[keep]
         lead = order[np.flatnonzero(new)]  # by content id: its earliest row
         texts = list(ids)
@@ -289,8 +319,12 @@ def _not_first(sent: DataFrame, w: Windows, tasks: int, batch_bytes: int = 3 <<
         rows = rows[own]
         lo, hi = np.searchsorted(which[rows], c), np.searchsorted(which[rows], c, "right")
         rep = hi - lo
-        pick = np.repeat(lo - (np.cumsum(rep) - rep), rep) + np.arange(int(rep.sum()))
-        yield doc[rows[pick]], key[rows[pick]], at[rows[pick]] + np.repeat(off, rep), np.repeat(length, rep)
+        yield rows[ranges(lo, rep)], np.repeat(off, rep), np.repeat(length, rep)
+
+    def places(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions of all rows, first of each row, number of each row) of packed positions."""
+        data, cut = utf8(column)
+        return np.frombuffer(data.tobytes(), np.uint32).astype(np.int64), cut[:-1] // 4, np.diff(cut) // 4
 
     def packed(doc, key, at, n) -> pa.RecordBatch:
         order = np.lexsort((key, doc))
@@ -303,14 +337,18 @@ def _not_first(sent: DataFrame, w: Windows, tasks: int, batch_bytes: int = 3 <<
         size = 0
 
         def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            for found in decide(*(table.column(i).to_numpy() for i in range(5)), table.column(5).to_pylist()):
-                if len(found[0]):
-                    yield packed(*found)
+            h, doc, key, n = (table.column(i).to_numpy() for i in (0, 1, 2, 4))
+            at, start, many = places(table.column(3))
+            for row, off, length in decide(h, doc, key, at[start], n, table.column(5).to_pylist()):
+                if len(row):
+                    rep = many[row]
+                    row, off, length, which = np.repeat(row, rep), np.repeat(off, rep), np.repeat(length, rep), ranges(start[row], rep)
+                    yield packed(doc[row], key[row], at[which] + off, length)
 
         for batch in batches:
             known = batch.filter(batch.column(5).is_null())
             if known.num_rows:
-                yield packed(*(known.column(i).to_numpy() for i in (1, 2, 3, 4)))
+                yield packed(known.column(1).to_numpy(), known.column(2).to_numpy(), places(known.column(3))[0], known.column(4).to_numpy())
             batch = batch.filter(batch.column(5).is_valid())
             if not batch.num_rows:
                 continue
@@ -328,7 +366,7 @@ def _not_first(sent: DataFrame, w: Windows, tasks: int, batch_bytes: int = 3 <<
             yield from settle(pa.Table.from_batches(held))
 
     # Rows that are already decided go anywhere; they follow their document's hash to spread.
-    dealt = sent.withColumn("h", F.when(F.col("content").isNull(), F.xxhash64("doc", "at")).otherwise(F.col("h")))
+    dealt = sent.withColumn("h", F.when(F.col("content").isNull(), F.xxhash64("doc", "at", "key")).otherwise(F.col("h")))
     return dealt.repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(shard, "doc_id long, key long, spans binary")
 
 
