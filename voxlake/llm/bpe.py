@@ -1,8 +1,9 @@
 """Byte-level BPE: higher-order functions fold ranked merges over the distinct words of a corpus.
 
-A text is cut by the tokenizer's pattern. Rows are numbered in blocks: a block keeps a code for each word and lists its
-distinct words once. The lists meet by word, so that every distinct word is folded once (once for each band of blocks, when
-there are very many), and go back to their blocks, where codes become ids. Only distinct words are shuffled with content.
+A text is cut by the tokenizer's pattern. Rows are taken in blocks: a block keeps a code for each word and lists its distinct
+words once, packed by shares of the words' hashes. The lists of a share meet in one task, where every distinct word is folded
+once; its ids go back to the blocks that have it, and there codes become ids. Texts are not shuffled, only packed lists of
+distinct words and ids, and packed codes.
 
 The fold carries two strings: the word's symbols, and for each neighbouring pair the symbol that it merges to. A symbol is
 one character: a byte's own, or one that stands for a token's rank, in order of rank; a pair that does not merge has a
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,8 +37,10 @@ from .text import utf8
 FIRST, SURROGATES, NONE = 0x800, range(0xD800, 0xE000), 0x90000
 SEP, CUT = "\U0010ffff", "\U0010fffe"
 BUCKETS = 1 << 16
-BLOCK_WORDS = 4_000_000  # words of a block at most, or one row
-BAND_BLOCKS = 4096  # blocks whose lists of one word meet in one group
+BLOCK_WORDS = 3_000_000  # a block ends with the batch of rows that reaches so many words
+BATCH_ROWS = 1000
+PART_WORDS = 1 << 18  # words decoded at a time
+CHUNK = 1 << 14  # words folded as one row
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -145,6 +149,29 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def _pack(*parts: np.ndarray) -> bytes:
+    """Arrays of bytes or of numbers below 2 ** 32, compressed; numbers byte by byte of their places."""
+    planes = [p if p.dtype == np.uint8 else np.ascontiguousarray(p.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel() for p in parts]
+    head = np.array([[len(p), p.dtype == np.uint8] for p in parts], np.int64)
+    return zstandard.compress(b"".join([head.tobytes(), *(p.tobytes() for p in planes)]), 3)
+
+
+def _unpack(data: bytes, parts: int) -> list[np.ndarray]:
+    """The arrays of _pack, numbers as 32 unsigned bits."""
+    raw, out = np.frombuffer(zstandard.decompress(data), np.uint8), []
+    at = 16 * parts
+    for n, plain in raw[:at].view(np.int64).reshape(-1, 2):
+        size = int(n) if plain else 4 * int(n)
+        part, at = raw[at : at + size], at + size
+        out.append(part if plain else np.ascontiguousarray(part.reshape(4, -1).T).ravel().view("<u4"))
+    return out
+
+
+def _take(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The elements of data from start on, size of each, one after another."""
+    return data[_ranges(start, size)]
+
+
 @dataclass
 class Tokenizer:
     """A rank file and a pattern. Unicode classes follow the JVM's tables."""
@@ -158,75 +185,140 @@ class Tokenizer:
         """The matches of the pattern, in order; none for null or empty texts."""
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + self.pattern), F.lit(0))  # (?U): \s is Unicode white space
 
-    def blocks(self, docs: DataFrame) -> DataFrame:
-        """The rows of docs in blocks, written to the shared folder. One row for each block: rows (docs' columns but text),
-        counts (words of each row) and codes (packed, of every word in order); one for each distinct word of a block: code,
-        word."""
+    def blocks(self, docs: DataFrame, shares: int) -> DataFrame:
+        """The rows of docs in blocks, written to the shared folder as a table in buckets of blocks, so that what comes back to
+        a block needs no shuffle of the block. One row for each block: rows (docs' columns but text) and
+        packed (number of words of each row, code of every word in order); one for each share of a block's distinct words:
+        share, packed (codes, sizes, bytes)."""
         others = [c for c in docs.columns if c != "text"]
-        row = T.StructType([docs.schema[c] for c in others])
+        row = T.StructType([docs.schema[c] for c in others]) if others else T.StructType([T.StructField("none", T.IntegerType())])
         schema = T.StructType([
-            T.StructField("block", T.LongType()), T.StructField("code", T.IntegerType()), T.StructField("word", T.StringType()),
-            T.StructField("rows", T.ArrayType(row)), T.StructField("counts", T.BinaryType()), T.StructField("codes", T.BinaryType()),
+            T.StructField("block", T.LongType()), T.StructField("share", T.IntegerType()), T.StructField("rows", T.ArrayType(row)), T.StructField("packed", T.BinaryType()),
         ])
         limit = self.block_words
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number = TaskContext.get().partitionId() << 32
-            squeeze = zstandard.ZstdCompressor(level=1)
+            held: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
+            size = 0
+
+            def block() -> pa.RecordBatch:
+                coded = pa.chunked_array([words for words, _, _ in held]).unify_dictionaries().combine_chunks()
+                rows = pa.concat_arrays([r for _, r, _ in held])
+                # Codes in order of frequency are small numbers.
+                index = np.asarray(coded.indices)
+                order = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")
+                code = np.empty(len(order), np.uint32)
+                code[order] = np.arange(len(order), dtype=np.uint32)
+                data, at = utf8(coded.dictionary)
+                share = np.array([zlib.crc32(w) % shares for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+                by = np.lexsort((code, share))
+                cuts = np.searchsorted(share[by], np.arange(shares + 1))
+                packed, length = [_pack(np.concatenate([c for _, _, c in held]), code[index])], np.diff(at)
+                used = np.flatnonzero(np.diff(cuts))
+                for k in used:
+                    some = by[cuts[k] : cuts[k + 1]]
+                    packed.append(_pack(code[some], length[some], _take(data, at[some], length[some])))
+                rows = pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.nulls(len(used), pa.list_(rows.type))])
+                columns = [pa.array(np.full(len(used) + 1, number)), pa.array([None, *used.tolist()], pa.int32()), rows, pa.array(packed, pa.binary())]
+                return pa.RecordBatch.from_arrays(columns, names)
+
             for batch in batches:
-                upto = np.asarray(batch.column(1).offsets).astype(np.int64)
-                lo = 0
-                while lo < batch.num_rows:
-                    hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + limit, "right")) - 1)
-                    coded = batch.column(1).slice(lo, hi - lo).flatten().dictionary_encode()
-                    n, words = len(coded.dictionary), coded.dictionary
-                    codes = squeeze.compress(np.asarray(coded.indices).astype(np.uint32).tobytes())
-                    counts = np.diff(upto[lo : hi + 1]).astype(np.uint32).tobytes()
-                    rows = batch.column(0).slice(lo, hi - lo)
-                    rows = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), rows, pa.array([counts]), pa.array([codes])], names)
-                    if n:
-                        empty = [pa.nulls(n, rows.type), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), words, *empty], names)
-                    number += 1
-                    lo = hi
+                if not batch.num_rows:
+                    continue
+                held.append((batch.column(1).flatten().dictionary_encode(), batch.column(0), np.diff(np.asarray(batch.column(1).offsets))))
+                size += len(held[-1][0])
+                if size >= limit:
+                    yield block()
+                    held, size, number = [], 0, number + 1
+            if held:
+                yield block()
 
         names = schema.names
         ensure_checkpoint_dir(self.spark)
-        folder = f"{self.spark.sparkContext.getCheckpointDir()}/bpe-{uuid.uuid4().hex}"
+        name = f"bpe_{uuid.uuid4().hex}"
         row_column = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
-        docs.select(row_column.alias("row"), self.words(F.col("text")).alias("words")).mapInArrow(pack, schema).write.parquet(folder)
-        return self.spark.read.schema(schema).parquet(folder)
+        packed = docs.select(row_column.alias("row"), self.words(F.col("text")).alias("words")).mapInArrow(pack, schema)
+        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"  # words take more room than texts
+        before = self.spark.conf.get(rows)
+        self.spark.conf.set(rows, str(BATCH_ROWS))
+        try:
+            packed.write.bucketBy(shares, "block").option("path", f"{self.spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name)
+        finally:
+            self.spark.conf.set(rows, before)
+        return self.spark.table(name)
 
     def encoded(self, docs: DataFrame, finish: Callable[..., Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-        """finish(rows: struct array, ids: of all rows one after another, ends: offsets of the rows' ids) for every block."""
-        tasks = tasks_for(self.spark)
-        blocks = self.blocks(docs)
-        packed = blocks.where("codes is not null").select("block", "rows", "counts", "codes")
-        bands = -(-packed.count() // BAND_BLOCKS) or 1
-        listed = blocks.where("word is not null").select("block", "code", "word")
-        # A word is once in a block, so a group holds BAND_BLOCKS places at most on the average.
-        band = F.pmod(F.xxhash64("block"), F.lit(bands)).alias("band")
-        places = listed.groupBy("word", band).agg(F.collect_list(F.struct("block", "code")).alias("places"))
-        folded = places.select(RankMap(self.ranks).fold(F.col("word")).alias("symbols"), "places")
-        back = folded.select("symbols", F.inline("places")).groupBy("block").agg(F.collect_list(F.struct("code", "symbols")).alias("list"))
+        """finish(vocabulary, rows: struct array, ids: of all rows one after another, ends: offsets of the rows' ids) for
+        every block."""
+        shares = tasks_for(self.spark)
+        blocks = self.blocks(docs, shares)
         vocabulary = self.spark.sparkContext.broadcast(Vocabulary.of(self.ranks))  # as large as the rank file
 
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Distinct words of a task's shares in rows of CHUNK words, and their places: word, block's number, code."""
+            blocks, lists, codes, at = [], [], [], []
+            for batch in batches:
+                for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    code, size, data = _unpack(packed, 3)
+                    offsets = np.append(0, np.cumsum(size.astype(np.int64))).astype(np.int32)
+                    lists.append(pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]))
+                    codes.append(code)
+                    at.append(np.full(len(code), len(blocks)))
+                    blocks.append(block)
+            if not blocks:
+                return
+            coded = pa.chunked_array(lists).combine_chunks().dictionary_encode()
+            word, code, at, block = np.asarray(coded.indices), np.concatenate(codes), np.concatenate(at), np.array(blocks)
+            order = np.argsort(word, kind="stable")
+            word, code, at = word[order], code[order], at[order]
+            for lo in range(0, len(coded.dictionary), CHUNK):
+                words = coded.dictionary.slice(lo, CHUNK)
+                a, b = np.searchsorted(word, [lo, lo + CHUNK])
+                columns = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([block.tolist()], pa.list_(pa.int64()))]
+                places = pa.array([_pack(word[a:b] - lo, at[a:b], code[a:b])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, places], ["words", "blocks", "places"])
+
+        def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """For each block: codes, number of ids and ids of its words."""
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    ids, size = vocabulary.value.ids(batch.column(0)[k].values)
+                    start = np.cumsum(size) - size
+                    word, at, code = _unpack(batch.column(2)[k].as_py(), 3)
+                    order = np.lexsort((code, at))
+                    word, at, code = word[order], at[order], code[order]
+                    cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                    lists = [_pack(code[s], size[word[s]], _take(ids, start[word[s]], size[word[s]])) for s in (slice(*x) for x in zip(cuts, np.append(cuts[1:], len(at))))]
+                    blocks = np.asarray(batch.column(1)[k].values)[at[cuts]]
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(lists, pa.binary())], ["block", "list"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v = vocabulary.value
             for batch in batches:
                 for k in range(batch.num_rows):
-                    rows, entries = batch.column(0).slice(k, 1).flatten(), batch.column(3).slice(k, 1).flatten()
-                    counts = np.frombuffer(batch.column(1)[k].as_py(), np.uint32).astype(np.int64)
-                    codes = np.frombuffer(zstandard.decompress(batch.column(2)[k].as_py()), np.uint32)
-                    ids, size = v.ids(entries.field("symbols"))
-                    order = np.argsort(np.asarray(entries.field("code")))
+                    counts, codes = _unpack(batch.column(1)[k].as_py(), 2)
+                    lists = [_unpack(x, 3) for x in batch.column(2)[k].as_py() or []]
+                    none = np.zeros(0, np.uint32)
+                    code, size, ids = (np.concatenate([none, *x]).astype(np.int64) for x in (zip(*lists) if lists else [()] * 3))
+                    order = np.argsort(code)
                     start, size = (np.cumsum(size) - size)[order], size[order]
-                    ends = np.append(0, np.cumsum(size[codes]))[np.append(0, np.cumsum(counts))]
-                    yield from finish(v, rows, ids[_ranges(start[codes], size[codes])], ends)
-
-        joined = packed.join(back, "block", "left").select("rows", "counts", "codes", F.coalesce("list", F.array().cast("array<struct<code:int,symbols:string>>")).alias("list"))
-        return joined.mapInArrow(run, schema)
+                    ids, rows, upto = ids.astype(np.int32), batch.column(0)[k].values, np.append(0, np.cumsum(counts.astype(np.int64)))
+                    lo = 0
+                    while lo < len(rows):  # a part of the block at a time, or one row
+                        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PART_WORDS, "right")) - 1)
+                        some = codes[upto[lo] : upto[hi]]
+                        ends = np.append(0, np.cumsum(size[some]))[upto[lo : hi + 1] - upto[lo]]
+                        yield from finish(vocabulary.value, rows.slice(lo, hi - lo), _take(ids, start[some], size[some]), ends)
+                        lo = hi
+                pa.default_memory_pool().release_unused()
+
+        shared = blocks.where("share is not null").select("block", "packed", "share").repartition(shares, "share")
+        met = shared.select("block", "packed").mapInArrow(meet, "words array<string>, blocks array<long>, places binary")
+        ranks = RankMap(self.ranks)
+        folded = met.select(F.transform("words", ranks.fold).alias("symbols"), "blocks", "places")
+        lists = folded.mapInArrow(back, "block long, list binary").groupBy("block").agg(F.collect_list("list").alias("lists"))
+        packed = blocks.where("share is null").select("block", "rows", "packed")
+        return packed.join(lists, "block", "left").select("rows", "packed", "lists").mapInArrow(run, schema)
 
 
 def tokenizer(spark: SparkSession, path: str | None = None, pattern: str | None = None, **options) -> Tokenizer:
