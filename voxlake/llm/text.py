@@ -31,7 +31,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", target: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", target: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in runs of about target bytes of the text column, at least one row each."""
     for batch in batches:
         if batch.num_rows == 0:
