@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import durable
@@ -83,14 +83,23 @@ def labelled_sample(docs: DataFrame, grades: DataFrame, bits: int, rows: int, ce
         .select("doc_id", "grade", "text")
         .mapInArrow(run, "doc_id long, grade int, term array<int>, count array<int>")
     )
-    found = durable(found)
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").rowsBetween(Window.unboundedPreceding, 0)
-    within = found.select("*", F.sum(F.size("term")).over(order).alias("cells")).where(F.col("cells") <= cells).drop("cells")
-    got = within.collect()
-    have: dict[int, int] = {}
-    for r in got:
-        have[r.grade] = have.get(r.grade, 0) + 1
-    return [(r.doc_id, r.grade, counts[r.grade] / have[r.grade], np.array(r.term, np.int64), np.array(r["count"], np.float64)) for r in got]
+    key = [F.xxhash64("doc_id").alias("hash"), F.col("doc_id"), F.col("grade")]
+    found = durable(found.select(*key, "term", "count"))
+    sizes = found.groupBy("hash", "doc_id", "grade").agg(F.sum(F.size("term")).alias("cells")).orderBy("hash", "doc_id", "grade").collect()  # rows at most
+    taken = int((np.cumsum([r.cells for r in sizes]) <= cells).sum())
+    if not taken:
+        return []
+    last = sizes[taken - 1]
+    upto = F.struct(F.lit(last["hash"]).cast("long"), F.lit(last.doc_id).cast("long"), F.lit(last.grade).cast("int"))
+    got = found.where(F.struct("hash", "doc_id", "grade") <= upto).orderBy("hash", "doc_id", "grade").select("doc_id", "grade", "term", "count").toArrow()
+    doc, grade = (got.column(c).to_numpy() for c in ("doc_id", "grade"))
+    lists = [got.column(c).combine_chunks() for c in ("term", "count")]
+    cuts = np.append(0, np.cumsum(np.asarray(lists[0].value_lengths())))
+    term, count = np.asarray(lists[0].flatten()).astype(np.int64), np.asarray(lists[1].flatten()).astype(np.float64)
+    have = dict(zip(*(x.tolist() for x in np.unique(grade, return_counts=True))))
+    return [
+        (d, g, counts[g] / have[g], term[a:b], count[a:b]) for d, g, a, b in zip(doc.tolist(), grade.tolist(), cuts[:-1].tolist(), cuts[1:].tolist())
+    ]
 
 
 def packed(sample: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
