@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .durable import ensure_checkpoint_dir, tasks_for
-from .text import utf8
+from .text import release, utf8
 
 #: Characters: FIRST is that of rank 0, the next ranks follow without the surrogates; from NONE on, pairs that do not merge.
 FIRST, SURROGATES, NONE = 0x800, range(0xD800, 0xE000), 0x90000
@@ -233,6 +233,8 @@ class Tokenizer:
                     held, size, number = [], 0, number + 1
             if held:
                 yield block()
+            held = []
+            release()
 
         names = schema.names
         ensure_checkpoint_dir(self.spark)
@@ -278,6 +280,8 @@ class Tokenizer:
                 columns = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([block.tolist()], pa.list_(pa.int64()))]
                 places = pa.array([_pack(word[a:b] - lo, at[a:b], code[a:b])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*columns, places], ["words", "blocks", "places"])
+            del lists, codes, coded, word, code, at
+            release()
 
         def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """For each block: codes, number of ids and ids of its words."""
@@ -292,6 +296,7 @@ class Tokenizer:
                     lists = [_pack(code[s], size[word[s]], _take(ids, start[word[s]], size[word[s]])) for s in (slice(*x) for x in zip(cuts, np.append(cuts[1:], len(at))))]
                     blocks = np.asarray(batch.column(1)[k].values)[at[cuts]]
                     yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(lists, pa.binary())], ["block", "list"])
+            release()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -310,7 +315,7 @@ class Tokenizer:
                         ends = np.append(0, np.cumsum(size[some]))[upto[lo : hi + 1] - upto[lo]]
                         yield from finish(vocabulary.value, rows.slice(lo, hi - lo), _take(ids, start[some], size[some]), ends)
                         lo = hi
-                pa.default_memory_pool().release_unused()
+                release()
 
         shared = blocks.where("share is not null").select("block", "packed", "share").repartition(shares, "share")
         met = shared.select("block", "packed").mapInArrow(meet, "words array<string>, blocks array<long>, places binary")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import durable, tasks_for
-from .text import hash_grams, hash_spans, pieces, utf8, words
+from .text import hash_grams, hash_spans, pieces, release, utf8, words
 
 PIECE = 1 << 20  # bytes of text handled at a time: numpy needs a hundredfold
 LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
@@ -181,7 +181,10 @@ def _repeated_anchors(texts: DataFrame, w: Windows, tasks: int) -> DataFrame:
         if len(crowd):
             yield pa.RecordBatch.from_arrays([pa.array(crowd.view(np.int64)), pa.array([b""] * len(crowd), pa.binary()), pa.array(np.ones(len(crowd), np.int8))], names)
         take = np.repeat(repeated, size) & fresh
-        yield from by_text(key[take], at[take])
+        key, at = key[take], at[take]
+        del h, count, order, fresh, new, size, total, places, repeated, take, parts
+        release()
+        yield from by_text(key, at)
 
     names = ["key", "at", "crowded"]
     sent = texts.mapInArrow(scan, "part int, h binary, key binary, at binary, count binary, rider_key binary, rider_at binary")
@@ -364,6 +367,8 @@ def _not_first(sent: DataFrame, w: Windows, tasks: int, batch_bytes: int = 3 <<
                     size = sum(b.nbytes for b in held)
         if held:
             yield from settle(pa.Table.from_batches(held))
+        held = []
+        release()
 
     # Rows that are already decided go anywhere; they follow their document's hash to spread.
     dealt = sent.withColumn("h", F.when(F.col("content").isNull(), F.xxhash64("doc", "at", "key")).otherwise(F.col("h")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker stays for later tasks, and those of an executor share its bound."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", target: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in runs of about target bytes of the text column, at least one row each."""
     for batch in batches:
@@ -43,6 +57,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", target: int
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
