@@ -45,7 +45,7 @@ def release() -> None:
         _trim(0)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", target: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", target: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in runs of about target bytes of the text column, at least one row each."""
     for batch in batches:
         if batch.num_rows == 0:
