@@ -38,13 +38,13 @@ def split_by_tile(cells: DataFrame, value: str, k: int, weight: Weight = DIFFERS
 
 
 def plane_walls(cells: DataFrame, value: str) -> DataFrame:
-    """(t, walls): differing bonds in each frame's plane, open."""
-    return bonds(cells, value, ("y", "x")).groupBy("t").agg(F.sum(DIFFERS(F.col("p"), F.col("q"))).alias("walls"))
+    """(t, walls, bonds): differing bonds, and all, in each frame's plane, open."""
+    return bonds(cells, value, ("y", "x")).groupBy("t").agg(F.sum(DIFFERS(F.col("p"), F.col("q"))).alias("walls"), F.count("*").alias("bonds"))
 
 
 def cyclic_walls(cells: DataFrame, value: str, frames: int) -> DataFrame:
-    """Differing bonds along t, the last frame bonded to the first."""
-    after = cells.select(F.pmod(F.col("t") - 1, F.lit(frames)).alias("t"), "y", "x", F.col(value).alias("_q"))
+    """Differing bonds along t, the last frame of each capture of so many frames bonded to its first."""
+    after = cells.select((F.col("t") - F.col("t") % frames + F.pmod(F.col("t") % frames - 1, F.lit(frames))).alias("t"), "y", "x", F.col(value).alias("_q"))
     joined = cells.select(*AXES, F.col(value).alias("_p")).join(after, list(AXES))
     return joined.agg(F.sum(DIFFERS(F.col("_p"), F.col("_q"))).alias("walls"), F.count("*").alias("bonds"))
 

@@ -100,10 +100,10 @@ def a12_cube_feed_fill(cells):
 # Sinks: index planes
 
 
-@query("SELECT t, y * 2 + dy AS y, x * 2 + dx AS x, idx FROM cube, (SELECT range AS dy FROM range(2)), (SELECT range AS dx FROM range(2)) WHERE t < 2")
+@query("SELECT t, y * 2 + dy AS y, x * 2 + dx AS x, idx FROM cube, (SELECT range AS dy FROM range(2)), (SELECT range AS dx FROM range(2))")
 def b05_index_upscale(cells):
     steps = F.array(*[F.struct(F.lit(i).cast("long").alias("dy"), F.lit(j).cast("long").alias("dx")) for i in (0, 1) for j in (0, 1)])
-    return cells.where("t < 2").select("t", "y", "x", "idx", F.explode(steps).alias("d")).select("t", (F.col("y") * 2 + F.col("d.dy")).alias("y"), (F.col("x") * 2 + F.col("d.dx")).alias("x"), "idx")
+    return cells.select("t", "y", "x", "idx", F.explode(steps).alias("d")).select("t", (F.col("y") * 2 + F.col("d.dy")).alias("y"), (F.col("x") * 2 + F.col("d.dx")).alias("x"), "idx")
 
 
 @query("SELECT t, y // 4 AS y, x // 4 AS x, idx FROM cube WHERE y % 4 = 0 AND x % 4 = 0")
@@ -204,12 +204,12 @@ def c204_index_to_coordinate(cells):
     return cells.select("t", "y", "x", *lattice.split_index(F.col("idx")))
 
 
-_p = "exp(-pow(t - {k} * (side - 1) / 8.0::DOUBLE, 2) / (2 * pow((side - 1) / 8.0::DOUBLE * (2 - s), 2)))"
+_p = "exp(-pow(t % side - {k} * (side - 1) / 8.0::DOUBLE, 2) / (2 * pow((side - 1) / 8.0::DOUBLE * (2 - s), 2)))"
 
 
 @query(f"+ p AS (SELECT t, y, x, {', '.join(f'{_p.format(k=k)} AS p{i}' for i, k in enumerate((1, 3, 5, 7)))} FROM cube) SELECT t, y, x, {', '.join(f'round(p{i} / greatest(p0 + p1 + p2 + p3, 1e-10), 6) AS p{i}' for i in range(4))} FROM p")
 def c211_epoch_probabilities(cells):
-    p = lattice.epoch_probabilities(F.col("t"), F.col("s"), side_of(cells))
+    p = lattice.epoch_probabilities(F.col("t") % F.col("side"), F.col("s"), side_of(cells))
     return rounded(cells.select("t", "y", "x", *[v.alias(f"p{i}") for i, v in enumerate(p)]))
 
 
@@ -229,10 +229,10 @@ def f60_resolution_budget(cells):
 _book = ", ".join(f"({i}, {r}::DOUBLE, {g}::DOUBLE, {b}::DOUBLE)" for i, r, g, b in codebook.lattice_book())
 
 
-@query(f"+ book(i, cr, cg, cb) AS (VALUES {_book}), d AS (SELECT t, y, x, i, pow(r - cr, 2) + pow(g - cg, 2) + pow(b - cb, 2) AS d FROM cube, book WHERE t < 4) SELECT t, y, x, i AS code, round(d, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY t, y, x ORDER BY d, i) AS n FROM d) WHERE n = 1")
+@query(f"+ book(i, cr, cg, cb) AS (VALUES {_book}), d AS (SELECT t, y, x, i, pow(r - cr, 2) + pow(g - cg, 2) + pow(b - cb, 2) AS d FROM cube, book) SELECT t, y, x, i AS code, round(d, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY t, y, x ORDER BY d, i) AS n FROM d) WHERE n = 1")
 def e01_nearest_codeword(cells):
     near = codebook.nearest(codebook.lattice_book(), *rgb())
-    return rounded(cells.where("t < 4").select("t", "y", "x", near.alias("n")).select("t", "y", "x", F.col("n.i").alias("code"), F.col("n.d").alias("d2")))
+    return rounded(cells.select("t", "y", "x", near.alias("n")).select("t", "y", "x", F.col("n.i").alias("code"), F.col("n.d").alias("d2")))
 
 
 @query("""WITH store AS (SELECT p_partkey, p_size / 50.0::DOUBLE AS a, (p_retailprice - 900) / 100 AS b FROM part), d AS (
@@ -301,10 +301,10 @@ def mixed_spins(cells):
 
 @query(f"+ {SPIN_SQL} SELECT t, sum(CASE WHEN p <> q THEN 1 ELSE 0 END)::BIGINT AS walls FROM ({_plane}) WHERE q IS NOT NULL GROUP BY t")
 def e14_plane_walls(cells):
-    return bonds.plane_walls(mixed_spins(cells), "spin")
+    return bonds.plane_walls(mixed_spins(cells), "spin").select("t", "walls")
 
 
-@query(f"+ {SPIN_SQL} SELECT sum(CASE WHEN ({_spin.replace('idx', 'a.idx')}) <> ({_spin.replace('idx', 'b.idx')}) THEN 1 ELSE 0 END)::BIGINT AS walls, count(*) AS bonds FROM k a JOIN k b ON b.t = (a.t + 1) % a.side AND a.y = b.y AND a.x = b.x")
+@query(f"+ {SPIN_SQL} SELECT sum(CASE WHEN ({_spin.replace('idx', 'a.idx')}) <> ({_spin.replace('idx', 'b.idx')}) THEN 1 ELSE 0 END)::BIGINT AS walls, count(*) AS bonds FROM k a JOIN k b ON b.t = a.t - a.t % a.side + (a.t + 1) % a.side AND a.y = b.y AND a.x = b.x")
 def e15_time_walls_cyclic(cells):
     return bonds.cyclic_walls(mixed_spins(cells), "spin", side_of(cells))
 
@@ -314,18 +314,17 @@ _h = "CASE WHEN {a} > 0 AND {b} > 0 THEN -({a} / ({a} + {b})::DOUBLE * log2({a}
 
 @query(f"+ {SPIN_SQL}, w AS (SELECT t, sum(CASE WHEN p <> q THEN 1 ELSE 0 END) AS a, sum(CASE WHEN p <> q THEN 0 ELSE 1 END) AS b FROM ({_plane}) WHERE q IS NOT NULL GROUP BY t) SELECT t, round((a + b) * (1 - ({_h.format(a='a', b='b')})), 5) AS bits FROM w")
 def f14_wall_energy(cells):
-    side = side_of(cells)
     walls = bonds.plane_walls(mixed_spins(cells), "spin")
-    return rounded(walls.select("t", energy.wall_bits(F.col("walls"), F.lit(2 * side * (side - 1))).alias("bits")), 5)
+    return rounded(walls.select("t", energy.wall_bits(F.col("walls"), F.col("bonds")).alias("bits")), 5)
 
 
 _stone = lambda a, b: f"CASE WHEN {a} - {b} > 0.08::DOUBLE THEN 0 WHEN {b} - {a} > 0.08::DOUBLE THEN 1 ELSE 2 END"
-BOARD_SQL = "board AS (" + " UNION ALL ".join(f"SELECT '{a}{b}' AS board, y, x, {_stone(a, b)} AS stone FROM cube WHERE t = 0 AND y < 19 AND x < 19" for a, b in ("rg", "gb", "br")) + ")"
+BOARD_SQL = "board AS (" + " UNION ALL ".join(f"SELECT t || '{a}{b}' AS board, y, x, {_stone(a, b)} AS stone FROM cube WHERE y < 19 AND x < 19" for a, b in ("rg", "gb", "br")) + ")"
 
 
 def boards(cells):
     three = F.array(*[F.struct(F.lit(a + b).alias("board"), lattice.stone(F.col(a), F.col(b)).alias("stone")) for a, b in ("rg", "gb", "br")])
-    return cells.where("t = 0 and y < 19 and x < 19").select("y", "x", F.explode(three).alias("b")).select("b.board", "y", "x", "b.stone")
+    return cells.where("y < 19 and x < 19").select("t", "y", "x", F.explode(three).alias("b")).select(F.concat("t", "b.board").alias("board"), "y", "x", "b.stone")
 
 
 @query(f"+ {BOARD_SQL} SELECT board, y, x, stone FROM board")
@@ -480,7 +479,8 @@ def f38_pool(cells):
 
 @query("+ p AS (SELECT t // 2 AS t, y // 2 AS y, x // 2 AS x, avg(s) AS s FROM cube GROUP BY t // 2, y // 2, x // 2) SELECT c.t, c.y, c.x, round(p.s, 6) AS s FROM cube c JOIN p ON p.t = c.t // 2 AND p.y = c.y // 2 AND p.x = c.x // 2")
 def f35_lift(cells):
-    return rounded(pool.lift(pool.pool(cells, ["s"])))
+    lifted = pool.lift(pool.pool(cells, ["s"]))
+    return rounded(lifted.join(cells.select("t", "y", "x"), ["t", "y", "x"], "left_semi"))  # the last frame can be part-filled
 
 
 @query("SELECT round(avg(greatest(0, v)), 6) AS within FROM (SELECT avg(s * s) - avg(s) * avg(s) AS v FROM cube GROUP BY t // 4, y // 4, x // 4)")

@@ -129,12 +129,14 @@ def c231_block_address(spark, sf_dir):
     return rounded(e.select("vec_id", F.expr("i div 16").alias("t"), F.expr("(i div 4) % 4").cast("long").alias("y"), (F.col("i") % 4).cast("long").alias("x"), F.col("v").cast("double").alias("v")))
 
 
-@query("SELECT k, t, CASE WHEN k % 4 = 0 THEN y WHEN k % 4 = 1 THEN x WHEN k % 4 = 2 THEN side - 1 - y ELSE side - 1 - x END AS y, CASE WHEN k % 4 = 0 THEN m WHEN k % 4 = 1 THEN side - 1 - y WHEN k % 4 = 2 THEN side - 1 - m ELSE y END AS x, idx FROM (SELECT *, CASE WHEN k >= 4 THEN side - 1 - x ELSE x END AS m FROM cube, (SELECT CAST(range AS INT) AS k FROM range(8)) WHERE t = 0 AND k IN (0, 2, 4, 6))")
+@query("SELECT k, t, CASE WHEN k % 4 = 0 THEN y WHEN k % 4 = 1 THEN m WHEN k % 4 = 2 THEN side - 1 - y ELSE side - 1 - m END AS y, CASE WHEN k % 4 = 0 THEN m WHEN k % 4 = 1 THEN side - 1 - y WHEN k % 4 = 2 THEN side - 1 - m ELSE y END AS x, idx FROM (SELECT *, CASE WHEN k >= 4 THEN side - 1 - x ELSE x END AS m FROM cube, (SELECT CAST(range AS INT) AS k FROM range(8)) )")
 def c232_dihedral(cells):
-    out = cells.where("t = 0").select("*", F.explode(F.array(*map(F.lit, (0, 2, 4, 6)))).alias("k"))
+    out = cells.select("*", F.explode(F.array(*map(F.lit, range(8)))).alias("k"))
     m = F.when(F.col("k") >= 4, F.col("side") - 1 - F.col("x")).otherwise(F.col("x"))
-    half = F.col("k") % 4 == 2
-    return out.select("k", "t", F.when(half, F.col("side") - 1 - F.col("y")).otherwise(F.col("y")).alias("y"), F.when(half, F.col("side") - 1 - m).otherwise(m).alias("x"), "idx")
+    turn, last = F.col("k") % 4, F.col("side") - 1
+    y = F.when(turn == 0, F.col("y")).when(turn == 1, m).when(turn == 2, last - F.col("y")).otherwise(last - m)
+    x = F.when(turn == 0, m).when(turn == 1, last - F.col("y")).when(turn == 2, last - m).otherwise(F.col("y"))
+    return out.select("k", "t", y.alias("y"), x.alias("x"), "idx")
 
 
 @query("SELECT t, y // 2 AS y, x // 2 AS x, idx FROM cube WHERE (y + 1) % 2 = 0 AND x % 2 = 0")
@@ -189,11 +191,11 @@ def d11_capture_completeness(spark, sf_dir):
 
 # Graphs of colours
 
-_pair = "c AS (SELECT idx % 64 AS c, t, y, x FROM cube WHERE t < 4)"
+_pair = "c AS (SELECT idx % 64 AS c, t, y, x FROM cube)"
 
 
 def graphs(cells):
-    return cells.where("t < 4").select((F.col("idx") % 64).alias("c"), "t", "y", "x")
+    return cells.select((F.col("idx") % 64).alias("c"), "t", "y", "x")
 
 
 @query(f"+ {_pair}, n AS (SELECT c, t, count(*) AS n FROM c GROUP BY 1, 2) SELECT coalesce(a.c, b.c) AS c, coalesce(a.t, b.t - 1) AS t, coalesce(a.n, 0) AS n, coalesce(b.n, 0) AS m FROM n a FULL JOIN n b ON a.c = b.c AND b.t = a.t + 1")
@@ -278,10 +280,10 @@ def f76_centre_and_edge_stability(cells):
     return rounded(s.groupBy("t").agg(F.avg(F.when(F.col("inner"), F.col("same"))).alias("centre"), F.avg(F.when(~F.col("inner"), F.col("same"))).alias("edge")))
 
 
-@query("SELECT bt, by_, bx, channel, bin, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT t // 4 AS bt, y // 4 AS by_, x // 4 AS bx, '{c}' AS channel, least(13, greatest(0, CAST(floor({c} * 14) AS INT))) AS bin FROM cube WHERE t < 4" for c in "rgb") + ") GROUP BY ALL")
+@query("SELECT bt, by_, bx, channel, bin, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT t // 4 AS bt, y // 4 AS by_, x // 4 AS bx, '{c}' AS channel, least(13, greatest(0, CAST(floor({c} * 14) AS INT))) AS bin FROM cube" for c in "rgb") + ") GROUP BY ALL")
 def f77_block_histograms(cells):
     three = F.array(*[F.struct(F.lit(c).alias("channel"), lattice.value_to_bin(F.col(c)).alias("bin")) for c in "rgb"])
-    u = cells.where("t < 4").select(*[b.alias(n) for b, n in zip(pool.block(4), ("bt", "by_", "bx"))], F.explode(three).alias("u"))
+    u = cells.select(*[b.alias(n) for b, n in zip(pool.block(4), ("bt", "by_", "bx"))], F.explode(three).alias("u"))
     return u.groupBy("bt", "by_", "bx", "u.channel", "u.bin").agg(F.count("*").alias("n"))
 
 
@@ -338,7 +340,7 @@ def h02_top_candidates(cells):
     return n.withColumn("rank", rank).where("rank <= 8").select("t", "bt", "code", "rank")
 
 
-_prob = [f"exp(-pow(t - {k} * (side - 1) / 8.0::DOUBLE, 2) / (2 * pow((side - 1) / 8.0::DOUBLE * (2 - 0.5), 2)))" for k in (1, 3, 5, 7)]
+_prob = [f"exp(-pow(t % side - {k} * (side - 1) / 8.0::DOUBLE, 2) / (2 * pow((side - 1) / 8.0::DOUBLE * (2 - 0.5), 2)))" for k in (1, 3, 5, 7)]
 
 
 @query(f"""+ g AS (SELECT t, side, idx % 64 AS c, y, x, s, row_number() OVER (PARTITION BY t, idx % 64 ORDER BY s DESC, y, x) AS k, count(*) OVER (PARTITION BY t, idx % 64) AS n FROM cube),
@@ -354,7 +356,7 @@ def g12_epoch_quotas(cells):
     side = side_of(cells)
     c = (F.col("idx") % 64).alias("c")
     g = cells.select("t", c, "y", "x", F.row_number().over(Window.partitionBy("t", F.col("idx") % 64).orderBy(F.desc("s"), "y", "x")).alias("k"))
-    chance = F.array(*[F.struct(F.lit(e).alias("e"), p.alias("p")) for e, p in enumerate(lattice.epoch_probabilities(F.col("t"), F.lit(0.5), side))])
+    chance = F.array(*[F.struct(F.lit(e).alias("e"), p.alias("p")) for e, p in enumerate(lattice.epoch_probabilities(F.col("t") % side, F.lit(0.5), side))])
     sizes = g.groupBy("t", "c").agg(F.count("*").alias("n")).select("*", F.explode(chance).alias("w")).select("t", "c", "n", "w.e", "w.p")
     quota = largest_remainder(sizes, ["t", "c"], "e", "p", F.col("n"))
     upto = F.sum("quota").over(Window.partitionBy("t", "c").orderBy(F.desc("quota"), "e"))
@@ -439,14 +441,16 @@ def n77_psnr(cells):
     return rounded(m.select("t", F.when(F.col("mse") < 1e-12, F.lit(99.0)).otherwise(F.log10(1 / F.col("mse")) * 10).alias("psnr")), 5)
 
 
-@query("SELECT c.t, c.y, c.x, round(sum(k.s), 6) AS s FROM cube c, (SELECT range // 4 AS dt, (range // 2) % 2 AS dy, range % 2 AS dx FROM range(8)) d, cube k WHERE k.t = (c.t + d.dt) % c.side AND k.y = (c.y + d.dy) % c.side AND k.x = (c.x + d.dx) % c.side AND c.t < 2 GROUP BY 1, 2, 3")
+@query("SELECT c.t, c.y, c.x, round(sum(k.s), 6) AS s FROM cube c, (SELECT range // 4 AS dt, (range // 2) % 2 AS dy, range % 2 AS dx FROM range(8)) d, cube k WHERE k.t = c.t - c.t % c.side + (c.t + d.dt) % c.side AND k.y = (c.y + d.dy) % c.side AND k.x = (c.x + d.dx) % c.side GROUP BY 1, 2, 3")
 def n69_sliding_sum(cells):
-    """2 x 2 x 2 sums from every cell of a torus: each cell is sent to the eight cells that it counts for."""
+    """2 x 2 x 2 sums from every cell of each capture as a torus: each cell is sent to the eight cells that it counts for."""
     side = F.lit(side_of(cells))
     d = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("d")
     sent = cells.select("t", "y", "x", "s", d)
-    at = [F.pmod(F.col(c) - F.expr(f"cast((d div {k}) % 2 as int)"), side).cast("int").alias(c) for c, k in (("t", 4), ("y", 2), ("x", 1))]
-    return rounded(sent.select(*at, "s").where("t < 2").groupBy("t", "y", "x").agg(F.sum("s").alias("s")))
+    first = F.col("t") - F.col("t") % side  # of the capture
+    at = [(F.pmod(F.col(c) - F.expr(f"cast((d div {k}) % 2 as int)"), side) + (first if c == "t" else 0)).cast("int").alias(c) for c, k in (("t", 4), ("y", 2), ("x", 1))]
+    sums = sent.select(*at, "s", "d").groupBy("t", "y", "x").agg(F.sum("s").alias("s"), F.min("d").alias("d"))
+    return rounded(sums.where("d = 0").drop("d"))  # a cell that is not there counts for none
 
 
 @query(f"+ {CIE_SQL} SELECT t, round(avg(l), 5) AS l, round(avg(sqrt(a * a + b * b)), 5) AS chroma FROM cie GROUP BY t")

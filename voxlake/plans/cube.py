@@ -29,17 +29,20 @@ def numbered(df: DataFrame, order: tuple[str, ...], name: str = "v") -> DataFram
 
 
 def side_for(cells: int) -> int:
-    """Side of the largest cube of the ladder 64, 32, 16 that so many rows fill."""
+    """Side of a frame: that of the largest cube of the ladder 64, 32, 16 that so many rows fill."""
     return next((s for s in (64, 32) if cells >= s**3), 16)
 
 
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as a cube: cell v of the order is (v div side^2, v div side mod side, v mod side)."""
+    """lineitem as frames of side x side cells: cell v of the order is (v div side^2, v div side mod side, v mod side).
+
+    All rows are used: side frames make a capture, captures follow one another along t, and the last frame can be part-filled.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _cubes:
         lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINE_ORDER, "l_quantity", "l_discount", "l_tax")
         side = side_for(lines.count())
-        cells = numbered(lines, LINE_ORDER).where(F.col("v") < side**3)
+        cells = numbered(lines, LINE_ORDER)
         n = F.lit(side)
         cells = cells.select(
             F.expr(f"v div {side * side}").cast("int").alias("t"),
@@ -52,7 +55,7 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
             n.alias("side"),
         )
         level = lambda c: lattice.bin_to_level(lattice.value_to_bin(F.col(c)))
-        idx = lattice.compose_index(lattice.nearest_epoch(F.col("t"), side), level("r"), level("g"), level("b"))
+        idx = lattice.compose_index(lattice.nearest_epoch(F.col("t") % side, side), level("r"), level("g"), level("b"))
         _cubes[key] = cells.withColumn("idx", idx).persist(StorageLevel.MEMORY_AND_DISK)
     return _cubes[key]
 
@@ -68,9 +71,9 @@ side AS (SELECT CASE WHEN count(*) >= 262144 THEN 64 WHEN count(*) >= 32768 THEN
 numbered AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1 AS v,
   l_quantity / 50 AS r, least(1.0, l_extendedprice / 105000) AS g, l_discount / 0.1::DOUBLE AS b, l_tax / 0.08::DOUBLE AS s FROM lineitem),
 cells AS (SELECT CAST(v // (n * n) AS INT) AS t, CAST((v // n) % n AS INT) AS y, CAST(v % n AS INT) AS x, r, g, b, s, n AS side
-  FROM numbered, side WHERE v < n * n * n),
+  FROM numbered, side),
 binned AS (SELECT *, least(13, greatest(0, CAST(floor(r * 14) AS INT))) AS br, least(13, greatest(0, CAST(floor(g * 14) AS INT))) AS bg,
-  least(13, greatest(0, CAST(floor(b * 14) AS INT))) AS bb, 8.0 * t / (side - 1) AS u FROM cells),
+  least(13, greatest(0, CAST(floor(b * 14) AS INT))) AS bb, 8.0 * (t % side) / (side - 1) AS u FROM cells),
 cube AS (SELECT t, y, x, r, g, b, s, side, (CASE WHEN u <= 2 THEN 0 WHEN u <= 4 THEN 64 WHEN u <= 6 THEN 128 ELSE 192 END)
   + 16 * (CASE WHEN br <= 3 THEN 0 WHEN br <= 6 THEN 1 WHEN br <= 10 THEN 2 ELSE 3 END)
   + 4 * (CASE WHEN bg <= 3 THEN 0 WHEN bg <= 6 THEN 1 WHEN bg <= 10 THEN 2 ELSE 3 END)
