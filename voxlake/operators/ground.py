@@ -71,13 +71,22 @@ def fitted_ground(lab: colour.Colour) -> colour.Colour:
 
 
 def chroma_clamp(colours: DataFrame, steps: int = 40) -> DataFrame:
-    """colours(ll, la, lb, ...), their chroma scaled down to the gamut's edge by bisection where they lie outside."""
-    light, a, b = F.col("ll"), F.col("la"), F.col("lb")
+    """colours(ll, la, lb, ...), their chroma scaled down to the gamut's edge by bisection where they lie outside.
+
+    Each linear channel is a cubic in the share of chroma that is kept; its coefficients are found once a row, so that a
+    step costs three short polynomials. Columns that begin with _clamp are taken.
+    """
+    base = [F.col("ll") * m[0] for m in colour.OKLAB_LMS_BACK]
+    slope = [F.col("la") * m[1] + F.col("lb") * m[2] for m in colour.OKLAB_LMS_BACK]
+    terms = [[b * b * b, b * b * s * 3, b * s * s * 3, s * s * s] for b, s in zip(base, slope)]
+    cubics = {f"_clamp{c}{k}": sum((terms[i][k] * row[i] for i in range(3)), F.lit(0.0)) for c, row in enumerate(colour.OKLAB_RGB_BACK) for k in range(4)}
 
     def fits(share: Column) -> Column:
-        return colour.in_gamut((light, a * share, b * share))
+        p = [[F.col(f"_clamp{c}{k}") for k in range(4)] for c in range(3)]
+        r, g, b = ((((q[3] * share + q[2]) * share + q[1]) * share + q[0]).between(-1e-6, 1 + 1e-6) for q in p)
+        return r & g & b
 
     halves = F.array(*[F.lit(0.5**k) for k in range(1, steps + 1)])
     found = F.aggregate(halves, F.lit(0.0), lambda low, half: F.when(fits(low + half), low + half).otherwise(low))
-    share = F.when(fits(F.lit(1.0)), F.lit(1.0)).otherwise(found)
-    return colours.withColumn("_share", share).withColumns({"la": a * F.col("_share"), "lb": b * F.col("_share")}).drop("_share")
+    shares = colours.withColumns(cubics).withColumn("_clamp", F.when(fits(F.lit(1.0)), F.lit(1.0)).otherwise(found))
+    return shares.withColumns({c: F.col(c) * F.col("_clamp") for c in ("la", "lb")}).drop("_clamp", *cubics)
