@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import held_out_remainder, labelled_sample, packed, row_sums, terms
-from .text import pieces, utf8
+from .text import pieces, release, utf8
 
 PREFIXES = (5, 7)
 
@@ -101,7 +101,10 @@ def learn(docs: DataFrame, labels: DataFrame, bits: int = 17, rows: int = 8000,
         .agg(F.max("toxic").alias("grade"))
     )
     grade, weight, start, term, _ = packed(labelled_sample(docs, grades, bits, rows, cells, prefixes=PREFIXES))
-    return fit(np.minimum(grade, 1), weight, start, term, bits)
+    model = fit(np.minimum(grade, 1), weight, start, term, bits)
+    del grade, weight, start, term
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: FactorizationMachine, bits: int = 17) -> DataFrame:
