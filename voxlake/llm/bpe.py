@@ -41,6 +41,7 @@ BLOCK_WORDS = 3_000_000  # a block ends with the batch of rows that reaches so m
 BATCH_ROWS = 1000
 PART_WORDS = 1 << 18  # words decoded at a time
 CHUNK = 1 << 14  # words folded as one row
+PLAN_CONF, PLAN_TEXT = "spark.sql.maxPlanStringLength", 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,10 +77,10 @@ class RankMap:
         self.buckets = F.split(F.lit(CUT.join(buckets)), F.lit(CUT))  # becomes one literal array when the plan is made
         self.bytes, self.merged = "".join(bytes_), "".join(merged)
 
-    def merge(self, a: Column, b: Column) -> Column:
+    def merge(self, buckets: Column, a: Column, b: Column) -> Column:
         """The symbol that two neighbours merge to: what follows the pair in its bucket, else the bucket's first character."""
         key = F.concat(F.lit(SEP), a, b)
-        bucket = F.get(self.buckets, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        bucket = F.get(buckets, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
         return F.substring(F.call_function("substring_index", bucket, key, F.lit(-1)), 1, 1)
 
     def pairs_of_bytes(self, symbols: Column, n: Column) -> Column:
@@ -88,8 +89,13 @@ class RankMap:
         pairs = F.decode(F.encode(F.substring(spread, F.lit(1), 4 * (n - 1)), "ISO-8859-1"), "UTF-32")
         return F.translate(pairs, self.bytes, self.merged)
 
-    def fold(self, word: Column) -> Column:
+    def fold_all(self, words: Column) -> Column:
+        """The tokens of each of an array of words. The map is bound once, so that a plan and its text hold it once."""
+        return F.transform(F.array(self.buckets), lambda buckets: F.transform(words, lambda word: self.fold(word, buckets)))[0]
+
+    def fold(self, word: Column, buckets: Column | None = None) -> Column:
         """The word's tokens as symbols, after all ranked merges."""
+        buckets = self.buckets if buckets is None else buckets
         one, rest = F.lit(1), F.lit(1 << 30)
         n = F.octet_length(word)
         symbols = F.decode(word.cast("binary"), "ISO-8859-1")
@@ -98,8 +104,8 @@ class RankMap:
             s, r, m, i = state["s"], state["r"], state["m"], state["i"]
             least = F.array_min(F.split(r, F.lit("")))
             found = F.struct(s.alias("s"), r.alias("r"), least.alias("m"), F.instr(r, least).alias("i"))
-            left = F.when(i > 1, self.merge(F.substring(s, i - 1, one), m)).otherwise("")
-            right = F.when(i < F.length(r), self.merge(m, F.substring(s, i + 2, one))).otherwise("")
+            left = F.when(i > 1, self.merge(buckets, F.substring(s, i - 1, one), m)).otherwise("")
+            right = F.when(i < F.length(r), self.merge(buckets, m, F.substring(s, i + 2, one))).otherwise("")
             joined = F.struct(
                 F.concat(F.substring(s, one, i - 1), m, F.substring(s, i + 2, rest)).alias("s"),
                 F.concat(F.substring(r, one, F.greatest(i - 2, F.lit(0))), left, right, F.substring(r, i + 2, rest)).alias("r"),
@@ -320,16 +326,22 @@ class Tokenizer:
         shared = blocks.where("share is not null").select("block", "packed", "share").repartition(shares, "share")
         met = shared.select("block", "packed").mapInArrow(meet, "words array<string>, blocks array<long>, places binary")
         ranks = RankMap(self.ranks)
-        folded = met.select(F.transform("words", ranks.fold).alias("symbols"), "blocks", "places")
+        folded = met.select(ranks.fold_all(F.col("words")).alias("symbols"), "blocks", "places")
         lists = folded.mapInArrow(back, "block long, list binary").groupBy("block").agg(F.collect_list("list").alias("lists"))
         packed = blocks.where("share is null").select("block", "rows", "packed")
         return packed.join(lists, "block", "left").select("rows", "packed", "lists").mapInArrow(run, schema)
 
 
 def tokenizer(spark: SparkSession, path: str | None = None, pattern: str | None = None, **options) -> Tokenizer:
-    """By default the installed public 50k byte-level vocabulary and its pattern."""
+    """By default the installed public 50k byte-level vocabulary and its pattern.
+
+    Unless the session sets spark.sql.maxPlanStringLength, it becomes PLAN_TEXT: the driver keeps the text of a query's plan
+    for each change that adaptive execution makes, and the literal rank map alone takes megabytes of it.
+    """
     import public_tokenizers
 
+    if spark.conf.get(PLAN_CONF, None) is None:
+        spark.conf.set(PLAN_CONF, str(PLAN_TEXT))
     return Tokenizer(spark, read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")), pattern or public_tokenizers.PATTERN, **options)
 
 
