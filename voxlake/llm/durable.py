@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -23,3 +24,8 @@ def durable(df: DataFrame) -> DataFrame:
 def tasks_for(spark: SparkSession, least: int = 1) -> int:
     """Number of shuffle partitions of the session."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def broadcast_few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, which is read twice, marked for broadcast if it has no more rows than most (of a few numbers each)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
