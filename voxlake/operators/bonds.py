@@ -15,11 +15,15 @@ DIFFERS: Weight = lambda p, q: F.when(p != q, 1).otherwise(0)
 SPREAD: Weight = lambda p, q: (p - q) * (p - q)
 
 
-def bonds(cells: DataFrame, value: str, axes=AXES) -> DataFrame:
-    """(t, y, x, axis, p, q): each cell's value and its next neighbour's along each axis, inside the cube."""
+def bonds(cells: DataFrame, value: str, axes=AXES, frames: int = 16) -> DataFrame:
+    """(t, y, x, axis, p, q): each cell's value and its next neighbour's along each axis, inside its capture of so many frames.
+
+    No window is longer than a capture's side, and none holds the history of a place over captures.
+    """
     out = None
     for axis in axes:
-        line = Window.partitionBy(*[c for c in AXES if c != axis]).orderBy(axis)
+        own = [F.expr(f"t div {frames}")] if axis == "t" else []
+        line = Window.partitionBy(*own, *[c for c in AXES if c != axis]).orderBy(axis)
         part = cells.select(*AXES, F.lit(axis).alias("axis"), F.col(value).alias("p"), F.lead(value).over(line).alias("q")).where("q is not null")
         out = part if out is None else out.unionByName(part)
     return out

@@ -73,34 +73,40 @@ def mixture(rows: DataFrame, value: str, steps: int = 64) -> DataFrame:
         x.unpersist()
 
 
-def differences(series: DataFrame, order: str, value: str) -> DataFrame:
-    """(order, d) of consecutive values; series is one row a tick."""
-    return series.select(order, (F.col(value) - F.lag(value).over(Window.orderBy(order))).alias("d")).where("d is not null")
+def differences(series: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
+    """(by, order, d) of consecutive values of each series; series has one row a tick."""
+    return series.select(*by, order, (F.col(value) - F.lag(value).over(Window.partitionBy(*by).orderBy(order))).alias("d")).where("d is not null")
 
 
-def lag_autocorrelation(series: DataFrame, order: str, value: str) -> DataFrame:
-    """(rho): lag-1 autocorrelation about the mean, covariance over n - 1 and variance over n; null if constant."""
-    e = series.select(order, (F.col(value) - series.agg(F.avg(value)).scalar()).alias("e"))
-    e = e.withColumn("p", F.lag("e").over(Window.orderBy(order)))
+def lag_autocorrelation(series: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
+    """(by, rho): lag-1 autocorrelation about the mean of each series, covariance over n - 1 and variance over n.
+
+    Series of fewer than two values, and constant ones, have none.
+    """
+    own = Window.partitionBy(*by)
+    e = series.select(*by, order, (F.col(value) - F.avg(value).over(own)).alias("e"))
+    e = e.withColumn("p", F.lag("e").over(own.orderBy(order)))
     var = F.sum(F.col("e") * F.col("e")) / F.count("*")
-    return e.agg(F.when(var > 0, F.sum(F.col("e") * F.col("p")) / (F.count("*") - 1) / var).alias("rho"))
+    rho = F.when((var > 0) & (F.count("*") > 1), F.sum(F.col("e") * F.col("p")) / F.nullif(F.count("*") - 1, F.lit(0)) / var)
+    return e.groupBy(*by).agg(rho.alias("rho")).where("rho is not null")
 
 
-def ring_churn(series: DataFrame, order: str, value: str) -> DataFrame:
-    """(churn): mean absolute difference of neighbours on a ring of ticks 0 to n - 1."""
-    n = series.agg(F.count("*")).scalar()
-    after = series.select(F.pmod(F.col(order) - 1 + n, n).alias(order), F.col(value).alias("_q"))
-    return series.join(after, order).agg(F.avg(F.abs(F.col(value) - F.col("_q"))).alias("churn"))
+def ring_churn(series: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
+    """(by, churn): mean absolute difference of neighbours on each series' ring, whose last tick is followed by its first."""
+    ring = Window.partitionBy(*by).orderBy(order)
+    after = F.coalesce(F.lead(value).over(ring), F.first(value).over(ring))
+    return series.select(*by, F.abs(F.col(value) - after).alias("_d")).groupBy(*by).agg(F.avg("_d").alias("churn"))
 
 
-def moving_average(series: DataFrame, order: str, value: str, alpha: float) -> DataFrame:
-    """(order, ema): e_0 = v_0, e_t = alpha v_t + (1 - alpha) e_{t-1}, folded in order; series is one row a tick."""
+def moving_average(series: DataFrame, order: str, value: str, alpha: float, by: list[str]) -> DataFrame:
+    """(by, order, ema): e_0 = v_0, e_t = alpha v_t + (1 - alpha) e_{t-1}, folded in order over each series, which is as
+    short as a capture; series has one row a tick."""
     row = F.struct(F.col(order).alias("k"), F.col(value).alias("v"))
-    ticks = series.agg(F.array_sort(F.collect_list(row)).alias("a"))
+    ticks = series.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("a"))
     fold = F.aggregate(
         "a", F.array().cast("array<struct<k:int,e:double>>"),
         lambda acc, x: F.concat(acc, F.array(F.struct(
             x["k"].alias("k"), F.when(F.size(acc) == 0, x["v"]).otherwise(x["v"] * alpha + F.element_at(acc, -1)["e"] * (1 - alpha)).alias("e")
         ))),
     )
-    return ticks.select(F.explode(fold).alias("r")).select(F.col("r.k").alias(order), F.col("r.e").alias("ema"))
+    return ticks.select(*by, F.explode(fold).alias("r")).select(*by, F.col("r.k").alias(order), F.col("r.e").alias("ema"))

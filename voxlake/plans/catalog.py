@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxlake.functions import colour, lattice
 from voxlake.operators import bonds, codebook, energy, fits, pool, ranks
 
-from .cube import CUBE_SQL, cube
+from .cube import CUBE_SQL, SIDE, capture, cube
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,10 +36,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def side_of(cells: DataFrame) -> int:
-    return cells.select("side").first()[0]
-
-
 def unit(*names: str) -> tuple:
     return tuple(F.col(n) for n in names)
 
@@ -209,7 +205,7 @@ _p = "exp(-pow(t % side - {k} * (side - 1) / 8.0::DOUBLE, 2) / (2 * pow((side -
 
 @query(f"+ p AS (SELECT t, y, x, {', '.join(f'{_p.format(k=k)} AS p{i}' for i, k in enumerate((1, 3, 5, 7)))} FROM cube) SELECT t, y, x, {', '.join(f'round(p{i} / greatest(p0 + p1 + p2 + p3, 1e-10), 6) AS p{i}' for i in range(4))} FROM p")
 def c211_epoch_probabilities(cells):
-    p = lattice.epoch_probabilities(F.col("t") % F.col("side"), F.col("s"), side_of(cells))
+    p = lattice.epoch_probabilities(F.col("t") % F.col("side"), F.col("s"), SIDE)
     return rounded(cells.select("t", "y", "x", *[v.alias(f"p{i}") for i, v in enumerate(p)]))
 
 
@@ -267,7 +263,12 @@ def f27_read_distortion_bands(cells):
     return out.select(*[F.round(c, 6).alias(c) for c in ("d16", "d32", "d64")], *[F.round(c, 4).alias(c) for c in ("u4", "u2", "u1")])
 
 
-_open = lambda a, v, cond: f"SELECT '{a}' AS axis, count(*) AS bonds, sum({cond}) AS energy FROM (SELECT {v} AS p, lead({v}) OVER (PARTITION BY {', '.join(c for c in 'tyx' if c != a)} ORDER BY {a}) AS q FROM cube) WHERE q IS NOT NULL"
+def _others(axis: str, frames: int = SIDE) -> str:
+    """What tells apart the lines along an axis: the other axes, and the capture where time runs along the line."""
+    return ", ".join([f"t // {frames}"] * (axis == "t") + [c for c in "tyx" if c != axis])
+
+
+_open = lambda a, v, cond: f"SELECT '{a}' AS axis, count(*) AS bonds, sum({cond}) AS energy FROM (SELECT {v} AS p, lead({v}) OVER (PARTITION BY {_others(a)} ORDER BY {a}) AS q FROM cube) WHERE q IS NOT NULL"
 
 
 @query(" UNION ALL ".join(_open(a, "idx", "CASE WHEN p <> q THEN 1 ELSE 0 END::BIGINT").replace("::BIGINT", "") for a in "tyx").replace("AS energy", "::BIGINT AS energy"))
@@ -280,7 +281,7 @@ def n12_bond_spread(cells):
     return bonds.energy(cells, "idx", bonds.SPREAD)
 
 
-_all = " UNION ALL ".join(f"SELECT {a} AS own, idx AS p, lead(idx) OVER (PARTITION BY {', '.join(c for c in 'tyx' if c != a)} ORDER BY {a}) AS q FROM cube" for a in "tyx")
+_all = " UNION ALL ".join(f"SELECT {a} AS own, idx AS p, lead(idx) OVER (PARTITION BY {_others(a)} ORDER BY {a}) AS q FROM cube" for a in "tyx")
 
 
 @query(f"SELECT (own + 1) % 4 = 0 AS wall, count(*) AS bonds, sum(CASE WHEN p <> q THEN 1 ELSE 0 END)::BIGINT AS energy FROM ({_all}) WHERE q IS NOT NULL GROUP BY 1")
@@ -306,7 +307,7 @@ def e14_plane_walls(cells):
 
 @query(f"+ {SPIN_SQL} SELECT sum(CASE WHEN ({_spin.replace('idx', 'a.idx')}) <> ({_spin.replace('idx', 'b.idx')}) THEN 1 ELSE 0 END)::BIGINT AS walls, count(*) AS bonds FROM k a JOIN k b ON b.t = a.t - a.t % a.side + (a.t + 1) % a.side AND a.y = b.y AND a.x = b.x")
 def e15_time_walls_cyclic(cells):
-    return bonds.cyclic_walls(mixed_spins(cells), "spin", side_of(cells))
+    return bonds.cyclic_walls(mixed_spins(cells), "spin", SIDE)
 
 
 _h = "CASE WHEN {a} > 0 AND {b} > 0 THEN -({a} / ({a} + {b})::DOUBLE * log2({a} / ({a} + {b})::DOUBLE) + {b} / ({a} + {b})::DOUBLE * log2({b} / ({a} + {b})::DOUBLE)) ELSE 0 END"
@@ -558,42 +559,44 @@ def j01_mixture_fit(spark, sf_dir):
     return rounded(fits.mixture(x, "s"), 5)
 
 
-_series = "ser AS (SELECT t, avg(s) AS v FROM cube GROUP BY t)"
+_series = "ser AS (SELECT t // side AS capture, t, avg(s) AS v FROM cube GROUP BY t, side)"
+
+
+def depth_series(cells):
+    """(capture, t, v): each frame's mean depth."""
+    return cells.groupBy(capture(), "t").agg(F.avg("s").alias("v"))
 
 
-@query(f"+ {_series}, d AS (SELECT t, v - lag(v) OVER (ORDER BY t) AS d FROM ser), e AS (SELECT t, d - (SELECT avg(d) FROM d) AS e FROM d WHERE d IS NOT NULL), l AS (SELECT e, lag(e) OVER (ORDER BY t) AS p FROM e) SELECT round(sum(e * p) / (count(*) - 1) / (sum(e * e) / count(*)), 6) AS rho FROM l")
+@query(f"+ {_series}, d AS (SELECT capture, t, v - lag(v) OVER (PARTITION BY capture ORDER BY t) AS d FROM ser), e AS (SELECT capture, t, d - avg(d) OVER (PARTITION BY capture) AS e FROM d WHERE d IS NOT NULL), l AS (SELECT capture, e, lag(e) OVER (PARTITION BY capture ORDER BY t) AS p FROM e) SELECT capture, round(sum(e * p) / (count(*) - 1) / (sum(e * e) / count(*)), 6) AS rho FROM l GROUP BY capture HAVING count(*) > 1 AND sum(e * e) > 0")
 def g01_lag_autocorrelation(cells):
-    series = cells.groupBy("t").agg(F.avg("s").alias("v"))
-    return rounded(fits.lag_autocorrelation(fits.differences(series, "t", "v"), "t", "d"))
+    return rounded(fits.lag_autocorrelation(fits.differences(depth_series(cells), "t", "v", ["capture"]), "t", "d", ["capture"]))
 
 
-@query(f"+ {_series} SELECT round(sum(abs(v - p)), 6) AS tv FROM (SELECT v, lag(v) OVER (ORDER BY t) AS p FROM ser)")
+@query(f"+ {_series} SELECT capture, round(sum(abs(v - p)), 6) AS tv FROM (SELECT capture, v, lag(v) OVER (PARTITION BY capture ORDER BY t) AS p FROM ser) WHERE p IS NOT NULL GROUP BY capture")
 def n44_total_variation(cells):
-    series = cells.groupBy("t").agg(F.avg("s").alias("v"))
-    return rounded(fits.differences(series, "t", "v").agg(F.sum(F.abs("d")).alias("tv")))
+    return rounded(fits.differences(depth_series(cells), "t", "v", ["capture"]).groupBy("capture").agg(F.sum(F.abs("d")).alias("tv")))
 
 
-@query(f"+ {_series} SELECT round(avg(abs(a.v - b.v)), 6) AS churn FROM ser a JOIN ser b ON b.t = (a.t + 1) % (SELECT count(*) FROM ser)")
+@query(f"+ {_series}, k AS (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY capture) AS n FROM ser) SELECT a.capture, round(avg(abs(a.v - b.v)), 6) AS churn FROM k a JOIN k b ON a.capture = b.capture AND b.i = (a.i + 1) % a.n GROUP BY a.capture")
 def g07_ring_churn(cells):
-    return rounded(fits.ring_churn(cells.groupBy("t").agg(F.avg("s").alias("v")), "t", "v"))
+    return rounded(fits.ring_churn(depth_series(cells), "t", "v", ["capture"]))
 
 
-@query(f"+ {_series}, e AS (SELECT a.t, CASE WHEN min(b.t) = max(b.t) THEN first(a.v) ELSE sum(CASE WHEN b.t = 0 THEN pow(0.75::DOUBLE, a.t) ELSE 0.25 * pow(0.75::DOUBLE, a.t - b.t) END * b.v) END AS ema FROM ser a JOIN ser b ON b.t <= a.t GROUP BY a.t) SELECT t, round(ema, 6) AS ema FROM e")
+@query(f"+ {_series}, e AS (SELECT a.t, sum(CASE WHEN b.t % {SIDE} = 0 THEN pow(0.75::DOUBLE, a.t % {SIDE}) ELSE 0.25 * pow(0.75::DOUBLE, a.t - b.t) END * b.v) AS ema FROM ser a JOIN ser b ON a.capture = b.capture AND b.t <= a.t GROUP BY a.t) SELECT t, round(ema, 6) AS ema FROM e")
 def g05_moving_average(cells):
-    return rounded(fits.moving_average(cells.groupBy("t").agg(F.avg("s").alias("v")), "t", "v", 0.25))
+    return rounded(fits.moving_average(depth_series(cells), "t", "v", 0.25, ["capture"]).drop("capture"))
 
 
-@query(f"+ {_series} SELECT t, round((v - avg(v) OVER ()) / (stddev_pop(v) OVER () + 1e-12), 6) AS w FROM ser")
+@query(f"+ {_series} SELECT t, round((v - avg(v) OVER c) / (stddev_pop(v) OVER c + 1e-12), 6) AS w FROM ser WINDOW c AS (PARTITION BY capture)")
 def g06_whiten(cells):
-    s = cells.groupBy("t").agg(F.avg("s").alias("v"))
-    m = s.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("d"))
-    return rounded(s.select("t", ((F.col("v") - m.select("m").scalar()) / (m.select("d").scalar() + 1e-12)).alias("w")))
+    own = Window.partitionBy("capture")
+    return rounded(depth_series(cells).select("t", ((F.col("v") - F.avg("v").over(own)) / (F.stddev_pop("v").over(own) + 1e-12)).alias("w")))
 
 
-@query("+ h AS (SELECT t, idx, count(*) AS n FROM cube GROUP BY 1, 2) SELECT t, idx, n, sum(n) OVER (PARTITION BY idx ORDER BY t ROWS UNBOUNDED PRECEDING)::BIGINT AS pooled FROM h")
+@query(f"+ h AS (SELECT t, idx, count(*) AS n FROM cube GROUP BY 1, 2) SELECT t, idx, n, sum(n) OVER (PARTITION BY t // {SIDE}, idx ORDER BY t ROWS UNBOUNDED PRECEDING)::BIGINT AS pooled FROM h")
 def g20_running_trace(cells):
     h = cells.groupBy("t", "idx").agg(F.count("*").alias("n"))
-    return h.withColumn("pooled", F.sum("n").over(Window.partitionBy("idx").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    return h.withColumn("pooled", F.sum("n").over(Window.partitionBy(capture(), "idx").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
 
 
 # Ranks, quotas, fronts, enumeration
@@ -646,10 +649,10 @@ def f51_anchors(cells):
     return cells.groupBy("t").agg(F.min(F.when(c == 0, at)).alias("first_black"), F.min(F.when(c == 63, at)).alias("first_white"), F.count_if(c == 0).alias("black"), F.count_if(c == 63).alias("white"))
 
 
-@query("SELECT t, round(avg((idx % 64 = p)::INT), 6) AS same FROM (SELECT t, idx, lag(idx % 64) OVER (PARTITION BY y, x ORDER BY t) AS p FROM cube) WHERE p IS NOT NULL GROUP BY t")
+@query("SELECT t, round(avg((idx % 64 = p)::INT), 6) AS same FROM (SELECT t, idx, lag(idx % 64) OVER (PARTITION BY t // side, y, x ORDER BY t) AS p FROM cube) WHERE p IS NOT NULL GROUP BY t")
 def f75_frame_coherence(cells):
     now = F.col("idx") % 64
-    before = cells.select("t", now.alias("c"), F.lag(now).over(Window.partitionBy("y", "x").orderBy("t")).alias("p")).where("p is not null")
+    before = cells.select("t", now.alias("c"), F.lag(now).over(Window.partitionBy(capture(), "y", "x").orderBy("t")).alias("p")).where("p is not null")
     return rounded(before.groupBy("t").agg(F.avg((F.col("c") == F.col("p")).cast("int")).alias("same")))
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from voxlake.functions import colour, lattice
 from voxlake.operators import bonds, codebook, energy, ground
 
-from .catalog import B8, HIST_SQL, LAB_SQL, SPIN_SQL, WIDE_SQL, _book, _gamma, _h, _lv, _m, _p, _plane, frames, mixed_spins, query, rgb, rounded, side_of, unit
+from .catalog import B8, HIST_SQL, LAB_SQL, SPIN_SQL, WIDE_SQL, _book, _gamma, _h, _lv, _m, _others, _p, _plane, frames, mixed_spins, query, rgb, rounded, unit
 from .catalog_more import lab_cells
+from .cube import SIDE, capture
 
 
 def lab():
@@ -182,7 +183,7 @@ def c208_quantize_floor(cells):
 
 @query("+ p AS (SELECT t, y, x, " + ", ".join(f"{_p.format(k=k)} AS p{k}" for k in (1, 3, 5, 7)) + " FROM cube) SELECT t, y, x, CASE WHEN p1 >= greatest(p3, p5, p7) THEN 0 WHEN p3 >= greatest(p5, p7) THEN 1 WHEN p5 >= p7 THEN 2 ELSE 3 END AS epoch FROM p")
 def c210_dominant_epoch(cells):
-    p = F.array(*lattice.epoch_probabilities(F.col("t") % F.col("side"), F.col("s"), side_of(cells)))
+    p = F.array(*lattice.epoch_probabilities(F.col("t") % F.col("side"), F.col("s"), SIDE))
     return cells.select("t", "y", "x", (F.array_position(p, F.array_max(p)) - 1).cast("int").alias("epoch"))
 
 
@@ -233,9 +234,9 @@ def c236_metrics(cells):
     return rounded(n.select("t", "y", "x", F.sqrt(flat).alias("l2"), (F.abs("dx") + F.col("dy")).alias("l1"), F.greatest(F.abs("dx"), F.col("dy")).alias("linf"), F.sqrt(flat + t2).alias("voxel"), F.sqrt(flat + t2 * 0.5).alias("weighted")))
 
 
-@query("+ n AS (SELECT t, y, x, r, lead(r) OVER w AS r2, s, lead(s) OVER w AS s2 FROM cube WINDOW w AS (PARTITION BY y, x ORDER BY t)), b AS (SELECT *, 0.24::DOUBLE * ((2 - least(s, s2)) / (2 - greatest(s, s2)) - 1) AS u FROM n WHERE r2 IS NOT NULL) SELECT t, y, x, round(r * r2 * (exp(-3.51::DOUBLE * u) - exp(-5.75::DOUBLE * u)), 6) AS urgency FROM b")
+@query("+ n AS (SELECT t, y, x, r, lead(r) OVER w AS r2, s, lead(s) OVER w AS s2 FROM cube WINDOW w AS (PARTITION BY t // side, y, x ORDER BY t)), b AS (SELECT *, 0.24::DOUBLE * ((2 - least(s, s2)) / (2 - greatest(s, s2)) - 1) AS u FROM n WHERE r2 IS NOT NULL) SELECT t, y, x, round(r * r2 * (exp(-3.51::DOUBLE * u) - exp(-5.75::DOUBLE * u)), 6) AS urgency FROM b")
 def c241_bond_urgency(cells):
-    w = Window.partitionBy("y", "x").orderBy("t")
+    w = Window.partitionBy(capture(), "y", "x").orderBy("t")
     n = cells.select("t", "y", "x", "r", "s", F.lead("r").over(w).alias("r2"), F.lead("s").over(w).alias("s2")).where("r2 is not null")
     u = ((2 - F.least("s", "s2")) / (2 - F.greatest("s", "s2")) - 1) * 0.24
     return rounded(n.select("t", "y", "x", (F.col("r") * F.col("r2") * lattice.dissonance(u)).alias("urgency")))
@@ -342,9 +343,9 @@ def e02_assign_roles(cells):
 # Bonds and tiles
 
 
-def lab_bonds(cells):
+def lab_bonds(cells, frames=SIDE):
     """bonds() of colours with d2, the squared distance, and own, the place along the axis."""
-    pairs = bonds.bonds(cells.select("t", "y", "x", F.struct("ll", "la", "lb").alias("c")), "c")
+    pairs = bonds.bonds(cells.select("t", "y", "x", F.struct("ll", "la", "lb").alias("c")), "c", frames=frames)
     return pairs.select("*", colour.distance2(unit("p.ll", "p.la", "p.lb"), unit("q.ll", "q.la", "q.lb")).alias("d2"), own_place())
 
 
@@ -352,8 +353,8 @@ def own_place():
     return F.when(F.col("axis") == "t", F.col("t")).when(F.col("axis") == "y", F.col("y")).otherwise(F.col("x")).alias("own")
 
 
-def bonds_sql(table: str) -> str:
-    parts = [f"SELECT t, y, x, {a} AS own, pow(ll - lead(ll) OVER w, 2) + pow(la - lead(la) OVER w, 2) + pow(lb - lead(lb) OVER w, 2) AS d2 FROM {table} WINDOW w AS (PARTITION BY {', '.join(c for c in 'tyx' if c != a)} ORDER BY {a})" for a in "tyx"]
+def bonds_sql(table: str, frames: int = SIDE) -> str:
+    parts = [f"SELECT t, y, x, {a} AS own, pow(ll - lead(ll) OVER w, 2) + pow(la - lead(la) OVER w, 2) + pow(lb - lead(lb) OVER w, 2) AS d2 FROM {table} WINDOW w AS (PARTITION BY {_others(a, frames)} ORDER BY {a})" for a in "tyx"]
     return f"(SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE d2 IS NOT NULL)"
 
 
@@ -365,13 +366,13 @@ def e12_cube_energy(cells):
 _rungs = ", ".join(f"r{k} AS (SELECT t // {k} AS t, y // {k} AS y, x // {k} AS x, avg(ll) AS ll, avg(la) AS la, avg(lb) AS lb FROM lab GROUP BY t // {k}, y // {k}, x // {k})" for k in (1, 2, 4))
 
 
-@query(f"+ {LAB_SQL}, {_rungs} " + " UNION ALL ".join(f"SELECT {k} AS k, round(avg(d2), 6) AS density FROM {bonds_sql(f'r{k}')}" for k in (1, 2, 4)))
+@query(f"+ {LAB_SQL}, {_rungs} " + " UNION ALL ".join(f"SELECT {k} AS k, round(avg(d2), 6) AS density FROM {bonds_sql(f'r{k}', SIDE // k)}" for k in (1, 2, 4)))
 def f33_coarsening_density(cells):
     """Energy per bond of the cube, and of its means over blocks of sides 2 and 4."""
     out, whole = [], lab_cells(cells)
     for k in (1, 2, 4):
         pooled = whole.groupBy(*[F.expr(f"{c} div {k}").alias(c) for c in ("t", "y", "x")]).agg(*[F.avg(c).alias(c) for c in ("ll", "la", "lb")]) if k > 1 else whole
-        out.append(lab_bonds(pooled).agg(F.avg("d2").alias("density")).select(F.lit(k).alias("k"), "density"))
+        out.append(lab_bonds(pooled, SIDE // k).agg(F.avg("d2").alias("density")).select(F.lit(k).alias("k"), "density"))
     return rounded(reduce(lambda p, q: p.unionByName(q), out))
 
 
@@ -381,7 +382,7 @@ def tile():
 
 
 _tile = "t // 4 AS tt, y // 4 AS ty, x // 4 AS tx"
-_idx_bonds = " UNION ALL ".join(f"SELECT t, y, x, {a} AS own, idx AS p, lead(idx) OVER (PARTITION BY {', '.join(c for c in 'tyx' if c != a)} ORDER BY {a}) AS q FROM cube" for a in "tyx")
+_idx_bonds = " UNION ALL ".join(f"SELECT t, y, x, {a} AS own, idx AS p, lead(idx) OVER (PARTITION BY {_others(a)} ORDER BY {a}) AS q FROM cube" for a in "tyx")
 
 
 @query(f"SELECT {_tile}, sum(CASE WHEN p <> q THEN 1 ELSE 0 END)::BIGINT AS walls FROM ({_idx_bonds}) WHERE q IS NOT NULL AND (own + 1) % 4 <> 0 GROUP BY t // 4, y // 4, x // 4")
@@ -451,7 +452,7 @@ _time = f"SELECT (a + b) * (1 - ({_h.format(a='a', b='b')})) AS bits FROM {_cycl
 
 
 def time_energy(cells):
-    walls = bonds.cyclic_walls(mixed_spins(cells), "spin", side_of(cells))
+    walls = bonds.cyclic_walls(mixed_spins(cells), "spin", SIDE)
     return walls.select(energy.wall_bits(F.col("walls"), F.col("bonds")).alias("bits"))
 
 
@@ -508,7 +509,7 @@ def f78_rung_state(cells):
 def g21_persistence_error(cells):
     """Distance of a frame's level energies from those of the frame before, within a capture."""
     levels = energy.level_energies(frames(cells), ["t"])
-    before = F.lag("energy").over(Window.partitionBy(F.expr(f"t div {side_of(cells)}"), "level").orderBy("t"))
+    before = F.lag("energy").over(Window.partitionBy(capture(), "level").orderBy("t"))
     gaps = levels.select("t", (F.col("energy") - before).alias("d")).where("d is not null")
     return rounded(gaps.groupBy("t").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("error")), 4)
 
@@ -523,10 +524,9 @@ SELECT capture, round(CASE WHEN noise = 0 THEN 1 WHEN drift = 0 THEN 0 ELSE (dri
 def g02_local_level_gain(cells):
     """The steady Kalman gain of a local level under each capture's mean depth, red and green, by the first autocorrelation
     of their steps. Captures of fewer than three frames are left out."""
-    side = side_of(cells)
     means = cells.groupBy("t").agg(F.array(*[F.struct(F.lit(c).alias("name"), F.avg(c).alias("v")) for c in ("s", "r", "g")]).alias("m")).select("t", F.inline("m"))
     own = Window.partitionBy("capture", "name")
-    steps = means.withColumn("capture", F.expr(f"t div {side}")).withColumn("d", F.col("v") - F.lag("v").over(own.orderBy("t"))).where("d is not null")
+    steps = means.withColumn("capture", capture()).withColumn("d", F.col("v") - F.lag("v").over(own.orderBy("t"))).where("d is not null")
     steps = steps.withColumn("e", F.col("d") - F.avg("d").over(own)).withColumn("f", F.lead("e").over(own.orderBy("t")))
     rho = F.sum(F.col("e") * F.col("f")) / F.nullif(F.count("*") - 1, F.lit(0)) / F.nullif(F.avg(F.col("e") * F.col("e")), F.lit(0.0))
     r = steps.groupBy("capture", "name").agg(rho.alias("rho")).where("rho is not null")

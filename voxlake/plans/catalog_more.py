@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from voxlake.functions import colour, lattice
 from voxlake.operators import bonds, energy, pool
 
-from .catalog import BOARD_SQL, CIE_SQL, HIST_SQL, LAB_SQL, boards, frames, query, rgb, rgb8, rounded, side_of, unit
+from .catalog import BOARD_SQL, CIE_SQL, HIST_SQL, LAB_SQL, boards, frames, query, rgb, rgb8, rounded, unit
+from .cube import SIDE, capture
 
 # The 4 x 4 ordered-dither thresholds, row by row.
 BAYER = (0, 8, 2, 10, 12, 4, 14, 6, 3, 11, 1, 9, 15, 7, 13, 5)
@@ -211,9 +212,9 @@ def e20_overlap(cells):
     return g.join(g.select("c", (F.col("t") - 1).alias("t"), "y", "x"), ["c", "t", "y", "x"]).groupBy("c", "t").agg(F.count("*").alias("shared"))
 
 
-@query(f"+ {_pair}, d AS (SELECT a.c, a.t, a.y AS ay, a.x AS ax, b.y AS by_, b.x AS bx, pow(a.y - b.y, 2) + pow(a.x - b.x, 2) AS d FROM c a JOIN c b ON a.c = b.c AND b.t = a.t + 1 WHERE a.c % 8 = 0), f AS (SELECT c, t, max(m) AS m FROM (SELECT c, t, min(d) AS m FROM d GROUP BY c, t, ay, ax) GROUP BY 1, 2 UNION ALL SELECT c, t, max(m) FROM (SELECT c, t, min(d) AS m FROM d GROUP BY c, t, by_, bx) GROUP BY 1, 2) SELECT c, t, round(sqrt(max(m)), 6) AS hausdorff FROM f GROUP BY 1, 2")
+@query(f"+ {_pair}, d AS (SELECT a.c, a.t, a.y AS ay, a.x AS ax, b.y AS by_, b.x AS bx, pow(a.y - b.y, 2) + pow(a.x - b.x, 2) AS d FROM c a JOIN c b ON a.c = b.c AND b.t = a.t + 1), f AS (SELECT c, t, max(m) AS m FROM (SELECT c, t, min(d) AS m FROM d GROUP BY c, t, ay, ax) GROUP BY 1, 2 UNION ALL SELECT c, t, max(m) FROM (SELECT c, t, min(d) AS m FROM d GROUP BY c, t, by_, bx) GROUP BY 1, 2) SELECT c, t, round(sqrt(max(m)), 6) AS hausdorff FROM f GROUP BY 1, 2")
 def e21_hausdorff(cells):
-    g = graphs(cells).where("c % 8 = 0")
+    g = graphs(cells)
     b = g.select("c", (F.col("t") - 1).alias("t"), F.struct("y", "x").alias("b"))
     d = g.select("c", "t", F.struct("y", "x").alias("a")).join(b, ["c", "t"])
     d2 = F.pow(F.col("a.y") - F.col("b.y"), 2) + F.pow(F.col("a.x") - F.col("b.x"), 2)
@@ -221,9 +222,9 @@ def e21_hausdorff(cells):
     return rounded(ways[0].unionByName(ways[1]).groupBy("c", "t").agg(F.sqrt(F.max("m")).alias("hausdorff")))
 
 
-@query(f"+ {_pair} SELECT a.c, a.t, round(avg(sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2))), 6) AS mean FROM c a JOIN c b ON a.c = b.c AND a.t = b.t AND (a.y <> b.y OR a.x <> b.x) WHERE a.c % 8 = 0 GROUP BY 1, 2")
+@query(f"+ {_pair} SELECT a.c, a.t, round(avg(sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2))), 6) AS mean FROM c a JOIN c b ON a.c = b.c AND a.t = b.t AND (a.y <> b.y OR a.x <> b.x) GROUP BY 1, 2")
 def e22_mean_pair_distance(cells):
-    g = graphs(cells).where("c % 8 = 0")
+    g = graphs(cells)
     h = g.select("c", "t", F.col("y").alias("v"), F.col("x").alias("u"))
     pairs = g.join(h, ["c", "t"]).where("y != v or x != u")
     return rounded(pairs.groupBy("c", "t").agg(F.avg(F.sqrt(F.pow(F.col("y") - F.col("v"), 2) + F.pow(F.col("x") - F.col("u"), 2))).alias("mean")))
@@ -272,11 +273,11 @@ def f64_colours_by_depth(cells):
     return cells.groupBy("t", F.least(F.lit(7), F.floor(F.col("s") * 8).cast("int")).alias("band")).agg(F.count("*").alias("n"), F.count_distinct("idx").alias("colours"))
 
 
-@query("SELECT t, round(avg(CASE WHEN m < side THEN same END), 6) AS centre, round(avg(CASE WHEN m >= side THEN same END), 6) AS edge FROM (SELECT t, side, abs(2 * y + 1 - side) + abs(2 * x + 1 - side) AS m, (idx % 64 = lag(idx % 64) OVER (PARTITION BY y, x ORDER BY t))::INT AS same FROM cube) GROUP BY t HAVING count(same) > 0")
+@query("SELECT t, round(avg(CASE WHEN m < side THEN same END), 6) AS centre, round(avg(CASE WHEN m >= side THEN same END), 6) AS edge FROM (SELECT t, side, abs(2 * y + 1 - side) + abs(2 * x + 1 - side) AS m, (idx % 64 = lag(idx % 64) OVER (PARTITION BY t // side, y, x ORDER BY t))::INT AS same FROM cube) GROUP BY t HAVING count(same) > 0")
 def f76_centre_and_edge_stability(cells):
     c, side = F.col("idx") % 64, F.col("side")
     m = F.abs(F.col("y") * 2 + 1 - side) + F.abs(F.col("x") * 2 + 1 - side)
-    s = cells.select("t", (m < side).alias("inner"), (c == F.lag(c).over(Window.partitionBy("y", "x").orderBy("t"))).cast("int").alias("same")).where("same is not null")
+    s = cells.select("t", (m < side).alias("inner"), (c == F.lag(c).over(Window.partitionBy(capture(), "y", "x").orderBy("t"))).cast("int").alias("same")).where("same is not null")
     return rounded(s.groupBy("t").agg(F.avg(F.when(F.col("inner"), F.col("same"))).alias("centre"), F.avg(F.when(~F.col("inner"), F.col("same"))).alias("edge")))
 
 
@@ -353,7 +354,7 @@ def g12_epoch_quotas(cells):
     """Pixels of one colour, nearest first, are dealt to epochs in order of quota; quotas follow the epochs' chances."""
     from voxlake.operators.codebook import largest_remainder
 
-    side = side_of(cells)
+    side = SIDE
     c = (F.col("idx") % 64).alias("c")
     g = cells.select("t", c, "y", "x", F.row_number().over(Window.partitionBy("t", F.col("idx") % 64).orderBy(F.desc("s"), "y", "x")).alias("k"))
     chance = F.array(*[F.struct(F.lit(e).alias("e"), p.alias("p")) for e, p in enumerate(lattice.epoch_probabilities(F.col("t") % side, F.lit(0.5), side))])
@@ -444,7 +445,7 @@ def n77_psnr(cells):
 @query("SELECT c.t, c.y, c.x, round(sum(k.s), 6) AS s FROM cube c, (SELECT range // 4 AS dt, (range // 2) % 2 AS dy, range % 2 AS dx FROM range(8)) d, cube k WHERE k.t = c.t - c.t % c.side + (c.t + d.dt) % c.side AND k.y = (c.y + d.dy) % c.side AND k.x = (c.x + d.dx) % c.side GROUP BY 1, 2, 3")
 def n69_sliding_sum(cells):
     """2 x 2 x 2 sums from every cell of each capture as a torus: each cell is sent to the eight cells that it counts for."""
-    side = F.lit(side_of(cells))
+    side = F.lit(SIDE)
     d = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("d")
     sent = cells.select("t", "y", "x", "s", d)
     first = F.col("t") - F.col("t") % side  # of the capture

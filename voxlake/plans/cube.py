@@ -11,7 +11,7 @@ from voxlake.functions import lattice
 #: lineitem's columns in an order that no two rows share.
 LINE_ORDER = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
 
-_cubes: dict[tuple[str, str], DataFrame] = {}
+_cubes: dict[tuple[str, str, int], DataFrame] = {}
 
 
 def numbered(df: DataFrame, order: tuple[str, ...], name: str = "v") -> DataFrame:
@@ -28,20 +28,19 @@ def numbered(df: DataFrame, order: tuple[str, ...], name: str = "v") -> DataFram
     return ranged.join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")
 
 
-def side_for(cells: int) -> int:
-    """Side of a frame: that of the largest cube of the ladder 64, 32, 16 that so many rows fill."""
-    return next((s for s in (64, 32) if cells >= s**3), 16)
+#: Cells along a frame, and frames in a capture.
+SIDE = 16
 
 
-def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cube(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
     """lineitem as frames of side x side cells: cell v of the order is (v div side^2, v div side mod side, v mod side).
 
-    All rows are used: side frames make a capture, captures follow one another along t, and the last frame can be part-filled.
+    All rows are used: side frames make a capture, captures follow one another along t (so capture() is a cell's capture,
+    whatever the size of the table), and the last frame can be part-filled.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, side)
     if key not in _cubes:
         lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINE_ORDER, "l_quantity", "l_discount", "l_tax")
-        side = side_for(lines.count())
         cells = numbered(lines, LINE_ORDER)
         n = F.lit(side)
         cells = cells.select(
@@ -60,14 +59,19 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cubes[key]
 
 
+def capture(side: int = SIDE) -> Column:
+    """The capture that a frame belongs to."""
+    return F.expr(f"t div {side}").alias("capture")
+
+
 def blocks(k: int) -> list[Column]:
     """Key of the k x k x k block of a cell."""
     return [F.expr(f"{c} div {k}").alias(f"b{c}") for c in ("t", "y", "x")]
 
 
 #: The same cube in SQL, as common table expressions.
-CUBE_SQL = """
-side AS (SELECT CASE WHEN count(*) >= 262144 THEN 64 WHEN count(*) >= 32768 THEN 32 ELSE 16 END AS n FROM lineitem),
+CUBE_SQL = f"""
+side AS (SELECT {SIDE} AS n),
 numbered AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1 AS v,
   l_quantity / 50 AS r, least(1.0, l_extendedprice / 105000) AS g, l_discount / 0.1::DOUBLE AS b, l_tax / 0.08::DOUBLE AS s FROM lineitem),
 cells AS (SELECT CAST(v // (n * n) AS INT) AS t, CAST((v // n) % n AS INT) AS y, CAST(v % n AS INT) AS x, r, g, b, s, n AS side
