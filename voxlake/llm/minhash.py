@@ -10,7 +10,9 @@ A pair at the threshold itself shares no band with a probability of (1 - 0.8 **
 estimate with about 1e-12; any pair above it with less. Nothing else is lost: buckets have no cap. A bucket's sets first meet
 their neighbours and the bucket's first set; each set's best candidate is confirmed first, so that a group of near copies
 becomes one component at the cost of a pair a set. Buckets that still hold several components are dealt out in square blocks
-of chunks, so that all their pairs are judged in tasks of bounded size, and only those that pass leave a task.
+of chunks, where the signatures of all their pairs are judged in tasks of bounded size; what leaves a block is a spanning
+forest of those that pass, one row a set at most. Its trees are clusters: any pair left to confirm lies in one. So each set of
+a cluster is sent once more, with its members, and the clusters' blocks compare full sets and again send forests of links.
 
 Sets and their members are known by 64-bit hashes; rows of one set count as copies and meet as one.
 """
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .durable import durable, tasks_for
+from .simhash import _roots
 from .similar import _few, _members, _names, _sets, _texts
 from .text import mixed, pieces, release, utf8
 
@@ -163,66 +166,117 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, least: tuple[in
     return full.where(F.size(F.array_intersect("x", "y")) * (num + den) >= (F.size("x") + F.size("y")) * num).select("a", "b")
 
 
-def _blocks(met: DataFrame, sets: DataFrame, least: tuple[int, int], chunk: int) -> DataFrame:
-    """(a, b, apart) of the sets of one bucket whose components c differ and whose signatures may be as similar as least.
+def _shared_members(x: list[np.ndarray], y: list[np.ndarray], slab: int = 4096) -> np.ndarray:
+    """(len(x), len(y)) sizes of the intersections of sets of hashes, by products of incidence matrices of slab members each."""
+    flat = [np.concatenate(part) for part in (x, y)]
+    common = np.intersect1d(*flat)
+    code, own = [], []
+    for part, values in zip((x, y), flat):
+        at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
+        hit = common[at] == values if len(common) else np.zeros(len(values), bool)
+        code.append(at[hit])
+        own.append(np.repeat(np.arange(len(part)), [len(m) for m in part])[hit])
+    out = np.zeros((len(x), len(y)), np.float32)
+    for low in range(0, len(common), slab):
+        sides = []
+        for k, part in enumerate((x, y)):
+            here = (code[k] >= low) & (code[k] < low + slab)
+            side = np.zeros((len(part), slab), np.float32)
+            side[own[k][here], code[k][here] - low] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T  # whole numbers far below 2 ** 24, so exact
+    return out
+
 
-    met(bucket, set, c) is durable. A bucket of several components is cut into chunks; each pair of chunks is one block.
+def _in_blocks(rows: DataFrame, group: str, least: tuple[int, int]) -> DataFrame:
+    """(a, b): links that join the sets of a group as all its pairs would that are judged to be similar and whose components
+    c differ; never more than one for each set and block.
+
+    rows(group, chunks, set, c, sig, n, members): a group's sets are dealt to its chunks, and each pair of chunks is one
+    block in one task. Pairs are judged by their signatures; where members are given, by their full sets then.
     """
-    several = met.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    several = several.select("bucket", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks"))
-    rows = met.join(several, "bucket").join(sets.select("set", "sig"), "set")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "c", "sig")
+    rows = rows.select(F.col(group).alias("group"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "c", "n", "sig", "members")
     most = most_apart(least)
+    num, den = least
 
-    def compared(cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        on_i = np.flatnonzero(cols["own"] == cols["i"])
-        on_j = on_i if cols["i"][0] == cols["j"][0] else np.flatnonzero(cols["own"] == cols["j"])
-        sig = cols["sig"].view(np.uint64)
-        for lo in range(0, len(on_i), 256):
-            x = on_i[lo : lo + 256]
+    def compared(table: pa.Table) -> pa.RecordBatch:
+        own, name, c, n = (table.column(k).to_numpy() for k in ("own", "set", "c", "n"))
+        i, j = (table.column(k)[0].as_py() for k in ("i", "j"))
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, 2 * WORDS).view(np.uint64)
+        lists = table.column("members").combine_chunks()
+        exact = lists.null_count == 0
+        if exact:
+            cut, flat = np.asarray(lists.offsets), lists.values.to_numpy()
+        on_i, on_j = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        label = np.arange(len(own))
+        for low in range(0, len(on_i), 256):
+            x = on_i[low : low + 256]
             apart = np.zeros((len(x), len(on_j)), np.uint16)
             for k in range(WORDS):
                 one, two = (sig[x, k + p][:, None] ^ sig[on_j, k + p][None, :] for p in (0, WORDS))
                 apart += np.bitwise_count(one | two)
-            at, to = np.nonzero((apart <= most) & (cols["c"][x][:, None] != cols["c"][on_j][None, :]))
-            a, b = cols["set"][x[at]], cols["set"][on_j[to]]
-            pair = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b), apart[at, to]])[a != b], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(pair[:, 2].astype(np.int32))], ["a", "b", "apart"])
+            small, large = np.minimum(n[x][:, None], n[on_j][None, :]), np.maximum(n[x][:, None], n[on_j][None, :])
+            like = (apart <= most) & (c[x][:, None] != c[on_j][None, :]) & (small * den >= large * num)
+            if exact and like.any():
+                p, q = np.flatnonzero(like.any(1)), np.flatnonzero(like.any(0))
+                both = _shared_members(*([flat[cut[r] : cut[r + 1]] for r in some] for some in (x[p], on_j[q])))
+                like[np.ix_(p, q)] &= both * (num + den) >= num * (n[x[p]][:, None] + n[on_j[q]][None, :])
+            at, to = np.nonzero(like)
+            _roots(label, x[at], on_j[to])
+        joined = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(name[joined]), pa.array(name[label[joined]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(("bucket", "i", "j", "own", "set", "c"))}
-            cols["sig"] = batch.column(6).flatten().to_numpy().reshape(-1, 2 * WORDS)
-            held = {c: np.concatenate([held[c], v]) if held else v for c, v in cols.items()}
-            new = np.flatnonzero(np.append(True, (held["bucket"][1:] != held["bucket"][:-1]) | (held["i"][1:] != held["i"][:-1]) | (held["j"][1:] != held["j"][:-1])))
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            key = [table.column(k).to_numpy() for k in ("group", "i", "j")]
+            new = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in key])))
             for a, b in zip(new[:-1], new[1:]):
-                yield from compared({c: v[a:b] for c, v in held.items()})
-            held = {c: v[new[-1] :] for c, v in held.items()}
+                yield compared(table.slice(a, b - a))
+            held = table.slice(new[-1]).to_batches()
         if held:
-            yield from compared(held)
+            yield compared(pa.Table.from_batches(held))
         release()
 
-    key = ["bucket", "i", "j"]
-    dealt = rows.repartition(tasks_for(met.sparkSession), *key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(run, "a long, b long, apart int").distinct()
+    key = ["group", "i", "j"]
+    dealt = rows.repartition(tasks_for(rows.sparkSession), *key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
 
+def _clusters(met: DataFrame, sets: DataFrame, least: tuple[int, int], chunk: int) -> DataFrame:
+    """(set, cluster) of the sets that another set of a different component shares a bucket with and may be similar to, by
+    their signatures: any two such sets have one cluster. met(bucket, set, c) is durable; buckets of one component are left."""
+    several = met.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    several = several.select("bucket", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks"))
+    rows = met.join(several, "bucket").join(sets.select("set", "sig", "n"), "set").withColumn("members", F.lit(None).cast("array<long>"))
+    return connected_components(_in_blocks(rows, "bucket", least)).select(F.col("node").alias("set"), F.col("component").alias("cluster"))
+
+
+def _links_within(clusters: DataFrame, sets: DataFrame, named: DataFrame, texts: DataFrame, shingle: int, least: tuple[int, int], chunk_members: int) -> DataFrame:
+    """(a, b): links that join the sets of each cluster as all links between different components of named(set, c) do."""
+    held = durable(clusters.join(sets.select("set", "sig", "n"), "set").join(named, "set", "left").withColumn("c", F.coalesce("c", "set")))
+    sizes = held.groupBy("cluster").agg(F.ceil(F.sum("n") / chunk_members).cast("int").alias("chunks"))
+    members = _members(texts.join(_few(held.select("set")), "set", "left_semi").dropDuplicates(["set"]), shingle)
+    return _in_blocks(held.join(sizes, "cluster").join(members, "set"), "cluster", least)
 
-def near_documents(docs: DataFrame, shingle: int = 2, least: tuple[int, int] = (4, 5), chunk: int = 1024) -> DataFrame:
+
+def near_documents(docs: DataFrame, shingle: int = 2, least: tuple[int, int] = (4, 5), chunk: int = 1024, chunk_members: int = 400_000) -> DataFrame:
     """(doc_id, n, component_id) of every row of docs(doc_id, text, ...): n is the size of its set of distinct word shingles,
     component_id the smallest doc_id that can be reached over links of sets with a Jaccard similarity of least or more.
 
     Words are runs of signs other than ASCII space and 9 to 13, after A-Z are lower-cased; fewer words than a shingle are one
     shingle. Null, empty and blank texts have n 0 and are linked with nothing, not even with each other. Rows of one set are
     linked. Null ids name a component only where all are null. Other columns are ignored; an empty table gives no rows.
-    chunk: sets of a bucket's chunk, which changes the cost only.
+    chunk: sets of a bucket's chunk, and chunk_members: members of a cluster's chunk; both change the cost only.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = durable(_signed(docs, shingle))
-    sets = durable(rows.where("n > 0").groupBy("set").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.min("doc_id").alias("rep")))
+    sets = durable(rows.where("n > 0").groupBy("set").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.first("n").alias("n"), F.min("doc_id").alias("rep")))
     keyed = sets.select(F.explode("keys").alias("bucket"), "set")
     dealt = keyed.repartitionByRange(tasks_for(docs.sparkSession), "bucket", "set").sortWithinPartitions("bucket", "set")
     met = durable(dealt.mapInArrow(_shared, "bucket long, set long"))
@@ -235,23 +289,11 @@ def near_documents(docs: DataFrame, shingle: int = 2, least: tuple[int, int] = (
     def classes() -> DataFrame:
         return durable(connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("c")))
 
-    def apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
-        """The pairs that named leaves in different components."""
-        of = lambda x: named.select(F.col("set").alias(x), F.col("c").alias(f"c_{x}"))
-        both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
     named = classes()
-    tried = best
-    rest = durable(apart(near.select("a", "b").join(tried, ["a", "b"], "left_anti"), named))
-    if not rest.isEmpty():
-        links, tried = durable(links.unionByName(_confirmed(rest, texts, shingle, least))), tried.unionByName(rest)
-        named = classes()
     inside = durable(met.join(named, "set", "left").withColumn("c", F.coalesce("c", "set")))
-    left = _blocks(inside, sets, least, chunk).select("a", "b").join(tried, ["a", "b"], "left_anti")
-    left = durable(left)
-    if not left.isEmpty():
-        links = durable(links.unionByName(_confirmed(left, texts, shingle, least)))
+    clusters = durable(_clusters(inside, sets, least, chunk))
+    if not clusters.isEmpty():
+        links = durable(links.unionByName(_links_within(clusters, sets, named, texts, shingle, least, chunk_members)))
         named = classes()
     rooted = sets.select("set", "rep").join(named.withColumnRenamed("c", "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     found = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("set", "component_id")
