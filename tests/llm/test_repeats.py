@@ -140,3 +140,27 @@ def test_a_line_repeated_in_one_document_and_others(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = suffix_trees.without_repeats(docs).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got) == Counter(brute_words(rows))
+
+
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_anchor_depends_on_its_window_alone(monkeypatch, unit):
+    """Grams whose hashes agree in their upper bits, or altogether, in pieces of any length."""
+    import pyarrow as pa
+
+    from voxlake.llm import repeats
+
+    whole = repeats.hash_grams
+    monkeypatch.setattr(repeats, "hash_grams", lambda v, k: np.uint64(7 << 60) | whole(v, k) & np.uint64(0x1FF))
+    rng = np.random.default_rng(4)
+    w = repeats.Windows(unit, 20, 4, True, None)
+    window = "".join(rng.choice(list("abcdefgh "), 20)) if unit == "bytes" else " ".join(rng.choice(list("abcdefgh"), 20))
+    other = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    found = set()
+    for before in (0, 3, 57, 20_000):
+        text = (other(before) + " " if before else "") + window + " " + other(before)
+        rows = repeats.Rows.of(w, pa.array(["x y", text]))
+        at = rows.offsets[1] + (len(text[: text.index(window)]) if unit == "bytes" else before)
+        row, first, many, anchor, _ = repeats.runs(w, rows)
+        k = int(np.flatnonzero((first <= at) & (at < first + many))[0])
+        found.add(int(anchor[k] - at))
+    assert len(found) == 1

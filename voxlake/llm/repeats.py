@@ -71,6 +71,15 @@ class Rows:
         return (lo, hi) if self.starts is None else (self.starts[lo], self.ends[hi - 1])
 
 
+def _running(grid: np.ndarray, place: np.ndarray, better: np.ufunc, toward: np.ufunc) -> tuple[np.ndarray, np.ndarray]:
+    """(least value so far, where it was last better) along each row of grid; places run in the direction of toward."""
+    least = np.minimum.accumulate(grid, axis=1)
+    new = np.ones(grid.shape, bool)
+    new[:, 1:] = better(grid[:, 1:], least[:, :-1])
+    never = -1 if toward is np.maximum else np.iinfo(np.int32).max
+    return least, toward.accumulate(np.where(new, place, np.int32(never)), axis=1)
+
+
 def runs(w: Windows, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first window, windows, anchor, hash of the anchor) of the runs of windows that share an anchor; windows and
     anchors as positions in rows.values, in ascending order."""
@@ -79,18 +88,18 @@ def runs(w: Windows, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     if n < w.length:
         return none, none, none, none, np.zeros(0, np.uint64)
     gram = hash_grams(rows.values, w.gram)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    packed = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
-    # Sliding minimum over `width` grams from running minima of blocks, forwards and backwards.
-    blocks = -(-len(packed) // width)
+    # The leftmost least gram of each window, from running minima of blocks forwards and backwards. Whole hashes are compared,
+    # so that a window's anchor depends on nothing but the window.
+    blocks = -(-len(gram) // width)
     grid = np.full(blocks * width, ~np.uint64(0))
-    grid[: len(packed)] = packed
+    grid[: len(gram)] = gram
     grid = grid.reshape(blocks, width)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    total = n - w.length + 1
-    anchor = (np.minimum(behind[:total], ahead[width - 1 : width - 1 + total]) & low).astype(np.int64)
+    place = np.arange(blocks * width, dtype=np.int32).reshape(blocks, width)
+    ahead, ahead_at = _running(grid, place, np.less, np.maximum)
+    behind, behind_at = (x[:, ::-1].ravel() for x in _running(grid[:, ::-1], place[:, ::-1], np.less_equal, np.minimum))
+    total, last = n - w.length + 1, slice(width - 1, width - 1 + n - w.length + 1)
+    anchor = np.where(behind[:total] <= ahead.ravel()[last], behind_at[:total], ahead_at.ravel()[last]).astype(np.int64)
+    del grid, place, ahead, ahead_at, behind, behind_at
     row = np.repeat(np.arange(len(rows.offsets) - 1), np.diff(rows.offsets))[:total]
     window = np.flatnonzero(np.arange(total) + w.length <= rows.offsets[row + 1])
     anchor, row = anchor[window], row[window]
