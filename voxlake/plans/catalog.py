@@ -25,7 +25,7 @@ def query(sql: str | None, on_cube: bool = True):
 
         QUERIES[f.__name__] = run
         if sql:
-            ORACLE_SQL[f.__name__] = f"WITH {CUBE_SQL}{',' if sql.lstrip().startswith('+') else ''}\n{sql.lstrip().removeprefix('+')}" if on_cube else sql
+            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {CUBE_SQL}{',' if sql.lstrip().startswith('+') else ''}\n{sql.lstrip().removeprefix('+')}" if on_cube else sql
         return f
 
     return register
@@ -553,12 +553,6 @@ def j02_mixture_steps(spark, sf_dir):
     return rounded(fits.mixture(x, "s", steps=6), 5)
 
 
-@query(None, on_cube=False)
-def j01_mixture_fit(spark, sf_dir):
-    x = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.least(F.lit(1.0), F.col("value") / 500).alias("s"))
-    return rounded(fits.mixture(x, "s"), 5)
-
-
 _series = "ser AS (SELECT t // side AS capture, t, avg(s) AS v FROM cube GROUP BY t, side)"
 
 

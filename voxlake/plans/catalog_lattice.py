@@ -62,24 +62,6 @@ def c212_depth_to_sigma(cells):
     return rounded(cells.select("t", "y", "x", ((F.col("side") - 1) / 8.0 * (2 - F.col("s"))).alias("sigma")))
 
 
-@query("SELECT t, y, x, round(1 / (1 + exp((s - 0.5::DOUBLE) / 0.1::DOUBLE)), 6) AS pull FROM cube")
-def c218_logistic_pull(cells):
-    """Share of the far phase at depth s, for a crossover of 0.5 and a width of 0.1."""
-    return rounded(cells.select("t", "y", "x", (1 / (1 + F.exp((F.col("s") - 0.5) / 0.1))).alias("pull")))
-
-
-@query("SELECT t, y, x, CASE WHEN p < 1 / 32.0::DOUBLE THEN 'face' WHEN p > 31 / 32.0::DOUBLE THEN 'mirror' ELSE 'band' END AS role FROM (SELECT t, y, x, 1 / (1 + exp((s - 0.5::DOUBLE) / 0.1::DOUBLE)) AS p FROM cube)")
-def n43_role(cells):
-    p = 1 / (1 + F.exp((F.col("s") - 0.5) / 0.1))
-    return cells.select("t", "y", "x", F.when(p < 1 / 32, "face").when(p > 31 / 32, "mirror").otherwise("band").alias("role"))
-
-
-@query("SELECT t, round(avg((1 / (1 + exp((s - 0.5::DOUBLE) / 0.1::DOUBLE)) > 1 / 32.0::DOUBLE)::INT), 6) AS phi FROM cube GROUP BY t")
-def n45_background_fraction(cells):
-    p = 1 / (1 + F.exp((F.col("s") - 0.5) / 0.1))
-    return rounded(cells.groupBy("t").agg(F.avg((p > 1 / 32).cast("int")).alias("phi")))
-
-
 @query("SELECT t, y, x, CAST(t AS BIGINT) * side * side + y * side + x AS v FROM cube")
 def c229_cell_linearise(cells):
     return cells.select("t", "y", "x", (F.col("t").cast("long") * F.col("side") * F.col("side") + F.col("y") * F.col("side") + F.col("x")).alias("v"))

@@ -200,11 +200,6 @@ def pull():
     return 1 / (1 + F.exp((F.col("s") - 0.5) / 0.1))
 
 
-@query(f"SELECT t, y, x, round(p, 6) AS soft, CASE WHEN p < 0.5 THEN 0 ELSE 1 END AS hard FROM (SELECT t, y, x, {_pull} AS p FROM cube)")
-def c217_role_coverage(cells):
-    return rounded(cells.select("t", "y", "x", pull().alias("soft"), F.when(pull() < 0.5, 0).otherwise(1).alias("hard")))
-
-
 @query(f"SELECT t, y, x, CASE WHEN p < 1 / 32.0::DOUBLE OR p > 31 / 32.0::DOUBLE THEN 64 WHEN p < 3 / 32.0::DOUBLE OR p > 29 / 32.0::DOUBLE THEN 32 ELSE 16 END AS rung FROM (SELECT t, y, x, {_pull} AS p FROM cube)")
 def c219_rung(cells):
     return cells.select("t", "y", "x", lattice.rung(pull()).alias("rung"))
@@ -276,28 +271,6 @@ def c244_fnv_digest(cells):
 # Phases, orders and edits
 
 
-@query("""+ m AS (SELECT t, avg(s) AS m, greatest(1e-9, stddev_pop(s)) AS sd FROM cube GROUP BY t), l AS (SELECT t, count(*) AS n, sum(-0.5 * pow((s - m) / sd, 2) - ln(sd) - 0.5 * ln(2 * pi())) AS one,
-sum(ln(0.5 * exp(-0.5 * pow((s - m - sd / 2) / (sd * 0.9::DOUBLE), 2)) + 0.5 * exp(-0.5 * pow((s - m + sd / 2) / (sd * 0.9::DOUBLE), 2))) - ln(sd * 0.9::DOUBLE) - 0.5 * ln(2 * pi())) AS two FROM cube JOIN m USING (t) GROUP BY t)
-SELECT t, round(2 * ln(n) - 2 * one, 4) AS bic_one, round(4 * ln(n) - 2 * two, 4) AS bic_two, 4 * ln(n) - 2 * two < 2 * ln(n) - 2 * one AS two_phase FROM l""")
-def d02_two_phase(cells):
-    """Whether a fit of two phases, half a deviation to each side of the mean, beats one phase by BIC."""
-    m = cells.groupBy("t").agg(F.avg("s").alias("m"), F.greatest(F.lit(1e-9), F.stddev_pop("s")).alias("sd"))
-    z = lambda shift: F.exp(F.pow((F.col("s") - F.col("m") + F.col("sd") * shift) / (F.col("sd") * 0.9), 2) * -0.5) * 0.5
-    base = F.log(F.lit(2.0) * F.pi()) * 0.5
-    one = F.pow((F.col("s") - F.col("m")) / F.col("sd"), 2) * -0.5 - F.ln("sd") - base
-    two = F.ln(z(-0.5) + z(0.5)) - F.ln(F.col("sd") * 0.9) - base
-    sums = cells.join(F.broadcast(m), "t").groupBy("t").agg(F.ln(F.count("*")).alias("n"), F.sum(one).alias("one"), F.sum(two).alias("two"))
-    bic_one, bic_two = F.col("n") * 2 - F.col("one") * 2, F.col("n") * 4 - F.col("two") * 2
-    return rounded(sums.select("t", bic_one.alias("bic_one"), bic_two.alias("bic_two"), (bic_two < bic_one).alias("two_phase")), 4)
-
-
-@query("SELECT t, coalesce(NOT (avg(CASE WHEN r >= 0.5 THEN s END) - avg(CASE WHEN r < 0.5 THEN s END) > 1e-12), true) AS degenerate FROM cube GROUP BY t")
-def d03_degenerate_fit(cells):
-    """Whether the mean depth of a frame's upper half does not exceed the lower half's."""
-    gap = F.avg(F.when(F.col("r") >= 0.5, F.col("s"))) - F.avg(F.when(F.col("r") < 0.5, F.col("s")))
-    return cells.groupBy("t").agg(F.coalesce(~(gap > 1e-12), F.lit(True)).alias("degenerate"))
-
-
 _bins = ", ".join(f"sum((least(7, CAST(floor(s * 8) AS INT)) = {k})::INT) AS n{k}" for k in range(8))
 
 
@@ -332,14 +305,6 @@ def d13_edit_supported(cells):
     return edits(cells).select("t", "y", "x", rest.when(F.col("fig") == 7, "identity").otherwise("figure").alias("verdict"))
 
 
-@query(f"+ book(i, cr, cg, cb) AS (VALUES {_book}), d AS (SELECT t, y, x, s, i, pow(r - cr, 2) + pow(g - cg, 2) + pow(b - cb, 2) AS d FROM cube, book) SELECT t, y, x, CAST(CASE WHEN s <= 0.5 AND s < 0.2 THEN 255 WHEN s > 0.5 THEN i ELSE 255 - i END AS INT) AS code FROM (SELECT *, row_number() OVER (PARTITION BY t, y, x ORDER BY d, i) AS n FROM d) WHERE n = 1")
-def e02_assign_roles(cells):
-    """The nearest codeword of near cells, the mirrored one of others, and 255 for far ones."""
-    near = codebook.nearest(codebook.lattice_book(), *rgb())["i"]
-    code = F.when(F.col("s") > 0.5, near).when(F.col("s") < 0.2, 255).otherwise(255 - near)
-    return cells.select("t", "y", "x", code.cast("int").alias("code"))
-
-
 # Bonds and tiles
 
 

@@ -174,11 +174,6 @@ def d01_export_eligibility(spark, sf_dir):
     return lines.where("every").join(orders, lines.l_orderkey == orders.o_orderkey).select(F.col("o_orderkey").alias("capture"), "frames")
 
 
-@query(f"SELECT t, y, x, ({_bayer} + 0.5::DOUBLE) / 16 >= s AS figure FROM cube")
-def d04_ordered_dither(cells):
-    return cells.select("t", "y", "x", (bayer(F.col("y"), F.col("x")) >= F.col("s")).alias("figure"))
-
-
 @query("SELECT t, count(*) AS cells, count(DISTINCT idx) AS used, count(*) = first(side) * first(side) AS whole FROM cube GROUP BY t")
 def d10_frame_validity(cells):
     side = F.first("side")
