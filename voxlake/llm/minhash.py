@@ -11,8 +11,8 @@ estimate with about 1e-12; any pair above it with less. Nothing else is lost: bu
 their neighbours and the bucket's first set; each set's best candidate is confirmed first, so that a group of near copies
 becomes one component at the cost of a pair a set. Buckets that still hold several components are dealt out in square blocks
 of chunks, where the signatures of all their pairs are judged in tasks of bounded size; what leaves a block is a spanning
-forest of those that pass, one row a set at most. Its trees are clusters: any pair left to confirm lies in one. So each set of
-a cluster is sent once more, with its members, and the clusters' blocks compare full sets and again send forests of links.
+forest of its components under the pairs that pass. Its trees are clusters: any pair left to confirm lies in one. So each set
+of a cluster is sent once more, with its members, and the clusters' blocks compare full sets and again send forests.
 
 Sets and their members are known by 64-bit hashes; rows of one set count as copies and meet as one.
 """
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -126,34 +126,40 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b), a < b, of rows (bucket, set), sorted: each set with the one before it and with the first of its bucket here."""
-    last: tuple[int, int, int] | None = None  # bucket, set, the bucket's first set
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bucket, name = (batch.column(k).to_numpy() for k in range(2))
-        new = np.append(last is None or bucket[0] != last[0], bucket[1:] != bucket[:-1])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-        lead = np.where(head >= 0, name[np.maximum(head, 0)], last[2] if last else 0)
-        before = np.append(last[1] if last else 0, name[:-1])
-        x, y = np.append(name[~new], name[~new]), np.append(before[~new], lead[~new])
-        pair = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)])[x != y], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-        last = int(bucket[-1]), int(name[-1]), int(lead[-1])
+def _neighbours(most: int):
+    """(a, b, apart), a < b, of rows (bucket, set, sig), sorted: each set with the one before it and with the first of its
+    bucket here, where their signatures differ in most places or fewer."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = first = None  # the row before, and the first of its bucket: bucket, set, sig
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, name = (batch.column(k).to_numpy() for k in range(2))
+            sig = batch.column(2).flatten().to_numpy().reshape(-1, 2 * WORDS)
+            if last is not None:
+                bucket, name, sig = (np.concatenate([np.stack([f, x]), v]) for f, x, v in zip(first, last, (bucket, name, sig)))
+            new = np.append(True, bucket[1:] != bucket[:-1])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            at = np.flatnonzero(~new)
+            x, y = np.append(at, at), np.append(at - 1, head[at])
+            apart = _differing(sig[x].view(np.uint64), sig[y].view(np.uint64))
+            keep = (apart <= most) & (name[x] != name[y])
+            a, b = name[x[keep]], name[y[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(apart[keep].astype(np.int32))], ["a", "b", "apart"])
+            first, last = ((v[k].copy() for v in (bucket, name, sig)) for k in (head[-1], -1))
+            first, last = tuple(first), tuple(last)
+        release()
 
-def _apart(x: str, y: str) -> Column:
-    """Places in which two signatures differ."""
-    word = lambda k: F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k]).bitwiseOR(F.col(x)[k + WORDS].bitwiseXOR(F.col(y)[k + WORDS])))
-    return sum((word(k) for k in range(1, WORDS)), word(0))
+    return run
 
 
-def _judged(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(a, b, apart) of pairs(a, b) whose signatures let them be as similar as least."""
-    own = lambda name: sets.select(F.col("set").alias(name), F.col("sig").alias(f"of_{name}"))
-    both = pairs.join(own("a"), "a").join(own("b"), "b")
-    return both.select("a", "b", _apart("of_a", "of_b").alias("apart")).where(F.col("apart") <= most_apart(least))
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places in which signatures x and y, of rows of words, differ."""
+    apart = np.zeros(np.broadcast_shapes(x.shape[:-1], y.shape[:-1]), np.uint16)
+    for k in range(WORDS):
+        apart += np.bitwise_count((x[..., k] ^ y[..., k]) | (x[..., k + WORDS] ^ y[..., k + WORDS]))
+    return apart
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
@@ -189,8 +195,8 @@ def _shared_members(x: list[np.ndarray], y: list[np.ndarray], slab: int = 4096)
 
 
 def _in_blocks(rows: DataFrame, group: str, least: tuple[int, int]) -> DataFrame:
-    """(a, b): links that join the sets of a group as all its pairs would that are judged to be similar and whose components
-    c differ; never more than one for each set and block.
+    """(a, b): pairs of components c that join those of a group as all pairs of sets would that are judged to be similar and
+    whose components differ; a block sends fewer than it has components.
 
     rows(group, chunks, set, c, sig, n, members): a group's sets are dealt to its chunks, and each pair of chunks is one
     block in one task. Pairs are judged by their signatures; where members are given, by their full sets then.
@@ -201,7 +207,7 @@ def _in_blocks(rows: DataFrame, group: str, least: tuple[int, int]) -> DataFrame
     num, den = least
 
     def compared(table: pa.Table) -> pa.RecordBatch:
-        own, name, c, n = (table.column(k).to_numpy() for k in ("own", "set", "c", "n"))
+        own, c, n = (table.column(k).to_numpy() for k in ("own", "c", "n"))
         i, j = (table.column(k)[0].as_py() for k in ("i", "j"))
         sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, 2 * WORDS).view(np.uint64)
         lists = table.column("members").combine_chunks()
@@ -209,23 +215,21 @@ def _in_blocks(rows: DataFrame, group: str, least: tuple[int, int]) -> DataFrame
         if exact:
             cut, flat = np.asarray(lists.offsets), lists.values.to_numpy()
         on_i, on_j = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        label = np.arange(len(own))
+        parts, c = np.unique(c, return_inverse=True)
+        label = np.arange(len(parts))
         for low in range(0, len(on_i), 256):
             x = on_i[low : low + 256]
-            apart = np.zeros((len(x), len(on_j)), np.uint16)
-            for k in range(WORDS):
-                one, two = (sig[x, k + p][:, None] ^ sig[on_j, k + p][None, :] for p in (0, WORDS))
-                apart += np.bitwise_count(one | two)
+            apart = _differing(sig[x][:, None, :], sig[on_j][None, :, :])
             small, large = np.minimum(n[x][:, None], n[on_j][None, :]), np.maximum(n[x][:, None], n[on_j][None, :])
-            like = (apart <= most) & (c[x][:, None] != c[on_j][None, :]) & (small * den >= large * num)
+            like = (apart <= most) & (label[c[x]][:, None] != label[c[on_j]][None, :]) & (small * den >= large * num)
             if exact and like.any():
                 p, q = np.flatnonzero(like.any(1)), np.flatnonzero(like.any(0))
                 both = _shared_members(*([flat[cut[r] : cut[r + 1]] for r in some] for some in (x[p], on_j[q])))
                 like[np.ix_(p, q)] &= both * (num + den) >= num * (n[x[p]][:, None] + n[on_j[q]][None, :])
             at, to = np.nonzero(like)
-            _roots(label, x[at], on_j[to])
+            _roots(label, c[x[at]], c[on_j[to]])
         joined = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(name[joined]), pa.array(name[label[joined]])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(parts[joined]), pa.array(parts[label[joined]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -249,17 +253,18 @@ def _in_blocks(rows: DataFrame, group: str, least: tuple[int, int]) -> DataFrame
 
 
 def _clusters(met: DataFrame, sets: DataFrame, least: tuple[int, int], chunk: int) -> DataFrame:
-    """(set, cluster) of the sets that another set of a different component shares a bucket with and may be similar to, by
-    their signatures: any two such sets have one cluster. met(bucket, set, c) is durable; buckets of one component are left."""
+    """(c, cluster) of the components with a set that shares a bucket with, and by its signature may be similar to, a set of
+    another one: any two such components have one cluster. met(bucket, set, c) is durable; buckets of one component are left."""
     several = met.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
     several = several.select("bucket", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks"))
     rows = met.join(several, "bucket").join(sets.select("set", "sig", "n"), "set").withColumn("members", F.lit(None).cast("array<long>"))
-    return connected_components(_in_blocks(rows, "bucket", least)).select(F.col("node").alias("set"), F.col("component").alias("cluster"))
+    return connected_components(_in_blocks(rows, "bucket", least)).select(F.col("node").alias("c"), F.col("component").alias("cluster"))
 
 
 def _links_within(clusters: DataFrame, sets: DataFrame, named: DataFrame, texts: DataFrame, shingle: int, least: tuple[int, int], chunk_members: int) -> DataFrame:
-    """(a, b): links that join the sets of each cluster as all links between different components of named(set, c) do."""
-    held = durable(clusters.join(sets.select("set", "sig", "n"), "set").join(named, "set", "left").withColumn("c", F.coalesce("c", "set")))
+    """(a, b): links of components of named(set, c), themselves sets, that join them as all links between their sets do."""
+    held = sets.select("set", "sig", "n").join(named, "set", "left").withColumn("c", F.coalesce("c", "set"))
+    held = durable(held.join(_few(clusters), "c"))
     sizes = held.groupBy("cluster").agg(F.ceil(F.sum("n") / chunk_members).cast("int").alias("chunks"))
     members = _members(texts.join(_few(held.select("set")), "set", "left_semi").dropDuplicates(["set"]), shingle)
     return _in_blocks(held.join(sizes, "cluster").join(members, "set"), "cluster", least)
@@ -282,7 +287,8 @@ def near_documents(docs: DataFrame, shingle: int = 2, least: tuple[int, int] = (
     met = durable(dealt.mapInArrow(_shared, "bucket long, set long"))
     texts = _texts(docs, shingle)
 
-    near = durable(_judged(met.mapInArrow(_neighbours, "a long, b long").distinct(), sets, least))
+    signed = met.join(sets.select("set", "sig"), "set").select("bucket", "set", "sig").repartitionByRange(tasks_for(docs.sparkSession), "bucket", "set")
+    near = signed.sortWithinPartitions("bucket", "set").mapInArrow(_neighbours(most_apart(least)), "a long, b long, apart int")
     best = durable(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"))
     links = durable(_confirmed(best, texts, shingle, least))
 
