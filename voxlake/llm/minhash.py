@@ -37,6 +37,7 @@ ROWS = 6
 BANDS = 84
 K = ROWS * BANDS
 WORDS = -(-K // 64)
+LINKS = 100_000  # a task's in the rounds that find components
 CHANCE = 0.25  # of two unequal minima to agree in both low bits
 
 _RNG = np.random.default_rng(12)
@@ -258,7 +259,7 @@ def _clusters(met: DataFrame, sets: DataFrame, least: tuple[int, int], chunk: in
     several = met.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
     several = several.select("bucket", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks"))
     rows = met.join(several, "bucket").join(sets.select("set", "sig", "n"), "set").withColumn("members", F.lit(None).cast("array<long>"))
-    return connected_components(_in_blocks(rows, "bucket", least)).select(F.col("node").alias("c"), F.col("component").alias("cluster"))
+    return connected_components(_in_blocks(rows, "bucket", least), LINKS).select(F.col("node").alias("c"), F.col("component").alias("cluster"))
 
 
 def _links_within(clusters: DataFrame, sets: DataFrame, named: DataFrame, texts: DataFrame, shingle: int, least: tuple[int, int], chunk_members: int) -> DataFrame:
@@ -270,7 +271,7 @@ def _links_within(clusters: DataFrame, sets: DataFrame, named: DataFrame, texts:
     return _in_blocks(held.join(sizes, "cluster").join(members, "set"), "cluster", least)
 
 
-def near_documents(docs: DataFrame, shingle: int = 2, least: tuple[int, int] = (4, 5), chunk: int = 1024, chunk_members: int = 400_000) -> DataFrame:
+def near_documents(docs: DataFrame, shingle: int = 2, least: tuple[int, int] = (4, 5), chunk: int = 1024, chunk_members: int = 1 << 17) -> DataFrame:
     """(doc_id, n, component_id) of every row of docs(doc_id, text, ...): n is the size of its set of distinct word shingles,
     component_id the smallest doc_id that can be reached over links of sets with a Jaccard similarity of least or more.
 
@@ -290,18 +291,14 @@ def near_documents(docs: DataFrame, shingle: int = 2, least: tuple[int, int] = (
     signed = met.join(sets.select("set", "sig"), "set").select("bucket", "set", "sig").repartitionByRange(tasks_for(docs.sparkSession), "bucket", "set")
     near = signed.sortWithinPartitions("bucket", "set").mapInArrow(_neighbours(most_apart(least)), "a long, b long, apart int")
     best = durable(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"))
-    links = durable(_confirmed(best, texts, shingle, least))
-
-    def classes() -> DataFrame:
-        return durable(connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("c")))
-
-    named = classes()
+    links = _confirmed(best, texts, shingle, least)
+    named = durable(connected_components(links, LINKS).select(F.col("node").alias("set"), F.col("component").alias("c")))
     inside = durable(met.join(named, "set", "left").withColumn("c", F.coalesce("c", "set")))
     clusters = durable(_clusters(inside, sets, least, chunk))
-    if not clusters.isEmpty():
-        links = durable(links.unionByName(_links_within(clusters, sets, named, texts, shingle, least, chunk_members)))
-        named = classes()
-    rooted = sets.select("set", "rep").join(named.withColumnRenamed("c", "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    more = _links_within(clusters, sets, named, texts, shingle, least, chunk_members)
+    joined = durable(connected_components(more, LINKS).select(F.col("node").alias("c"), F.col("component").alias("root")))
+    rooted = sets.select("set", "rep").join(named, "set", "left").withColumn("c", F.coalesce("c", "set"))
+    rooted = rooted.join(joined, "c", "left").withColumn("root", F.coalesce("root", "c"))
     found = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("set", "component_id")
     full = rows.where("n > 0").select("doc_id", "set", "n").join(found, "set").select("doc_id", "n", "component_id")
     return full.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
