@@ -76,7 +76,7 @@ def ground_of(frames: DataFrame, leaves: DataFrame) -> DataFrame:
     the background, or the prior law where there is none."""
     back = frames.where(F.col("back").isNotNull()).select("t", F.col("ll").alias("centroid"), *[F.col("back")[k].alias(c) for k, c in enumerate(BACK)])
     law = ground.ground_moments(leaves, back, ["t"]).drop("delta_l")
-    both = frames.join(law, "t", "left").withColumn("fitted", F.col("back").isNotNull())
+    both = frames.join(law, "t", "left").withColumn("fitted", F.col("back").isNotNull()).withColumn("capped", F.col("back").isNull())
     light = F.when(F.col("fitted"), F.col("back")[0]).otherwise(PRIOR["light"])
     return both.withColumns({
         "delta_l": light - F.col("ll"), "alpha": F.coalesce("alpha", F.lit(PRIOR["alpha"])), "beta": F.coalesce("beta", F.lit(PRIOR["beta"])),
@@ -85,15 +85,22 @@ def ground_of(frames: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def grounds(leaves: DataFrame, laws: DataFrame) -> DataFrame:
-    """(t, leaf, ll, la, lb): each leaf's ground colour. A fitted law mirrors a colour about neutral at the background's
-    lightness; the prior law maps log chroma, and never raises chroma."""
-    rows = leaves.select("t", "leaf", *LAB).join(laws.select("t", "fitted", "delta_l", "alpha", "beta", "rot_a", "rot_b"), "t")
+    """(t, leaf, ll, la, lb): each leaf's ground colour under laws(t, fitted, capped, delta_l, alpha, beta, rot_a, rot_b). A
+    fitted law mirrors a colour about neutral at the background's lightness; another maps log chroma and turns hue, and
+    raises no chroma where it is capped."""
+    rows = leaves.select("t", "leaf", *LAB).join(laws.select("t", "fitted", "capped", "delta_l", "alpha", "beta", "rot_a", "rot_b"), "t")
     own = tuple(F.col(c) for c in LAB)
-    chroma2 = own[1] * own[1] + own[2] * own[2]
-    chroma = F.sqrt(chroma2)
-    prior = F.when(chroma2 > 0, F.least(chroma, F.exp(F.col("alpha") + F.col("beta") * F.ln(chroma))) / chroma).otherwise(0.0)
-    law = zip(LAB, ground.balanced_ground(own), (own[0] + F.col("delta_l"), own[1] * prior, own[2] * prior))
-    return rows.select("t", "leaf", *[F.when(F.col("fitted"), a).otherwise(b).alias(c) for c, a, b in law])
+    light, a, b = ground.fitted_ground(own)
+    to, chroma = F.sqrt(a * a + b * b), F.sqrt(own[1] * own[1] + own[2] * own[2])
+    keep = F.when(F.col("capped") & (to > chroma), chroma / to).otherwise(1.0)
+    law = zip(LAB, ground.balanced_ground(own), (light, a * keep, b * keep))
+    return rows.select("t", "leaf", *[F.when(F.col("fitted"), p).otherwise(q).alias(c) for c, p, q in law])
+
+
+def table(leaves: DataFrame, laws: DataFrame) -> DataFrame:
+    """(t, idx, r8, g8, b8): the displayed leaves, and their displayed grounds mirrored."""
+    mirrored = pairtree.displayed(grounds(leaves, laws)).select("t", (255 - F.col("leaf")).alias("idx"), *BYTES)
+    return leaves.select("t", F.col("leaf").alias("idx"), *BYTES).unionByName(mirrored)
 
 
 def solve(cells: DataFrame, bleed: bool = True, depth: int = pairtree.DEPTH) -> Solve:
@@ -120,9 +127,7 @@ def solve(cells: DataFrame, bleed: bool = True, depth: int = pairtree.DEPTH) ->
     nodes16 = cut(pairtree.nodes(frames, ["t"], 4, 4).drop("depth"))
     canonical = cut(pairtree.canonical_leaves(leaves, nodes16, ["t"]))
     laws = cut(ground_of(frames, leaves))
-    mirrored = pairtree.displayed(grounds(leaves, laws)).select("t", (255 - F.col("leaf")).alias("idx"), *BYTES)
-    table = leaves.select("t", F.col("leaf").alias("idx"), *BYTES).unionByName(mirrored)
     books = cut(descent.books(leaves, nodes16, ["t"]))
     placed = descent.three_rungs(rows.drop(*BYTES), books).withColumn("figure", F.col("share") < FLOOR).withColumn("pull", F.col("share"))
     placed = cut(placed.withColumn("index", descent.roles(F.col("leaf"), F.col("figure"))))
-    return Solve(captures, laws.join(fits.select("t", "fit"), "t"), leaves, nodes16, canonical, table, descent.dithered(placed, books, canonical))
+    return Solve(captures, laws.join(fits.select("t", "fit"), "t"), leaves, nodes16, canonical, table(leaves, laws), descent.dithered(placed, books, canonical))
