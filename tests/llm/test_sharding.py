@@ -51,3 +51,15 @@ def test_many_blocks_lanes_and_odd_rows(spark):
     assert sharding.shuffle_rows(df.limit(0)).count() == 0
     few = sharding.shuffle_rows(df.limit(3)).collect()
     assert sorted(r._shard for r in few) == [0, 1, 2] and {r._slot for r in few} == {0}
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["doc_id", "_block", "_r", "_rank", "_lane", "_n", "_start", "_bounds", "_row", "_key", "_shard", "_slot"]
+    rows = [(i, *(f"{c}{i}" for c in names[1:])) for i in range(50)] + [(None, *[None] * 11)] * 3
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    got = sharding.shuffle_rows(df, shards=4)
+    assert got.columns == [*names, "__shard", "__slot"]
+    found = got.collect()
+    assert sorted((tuple(r)[:12] for r in found), key=str) == sorted(rows, key=str)
+    slots = sorted((r[12], r[13]) for r in found)
+    assert slots == [(s, k) for s in range(4) for k in range(13 + (s < 1))]

@@ -20,9 +20,10 @@ LARGEST = 1_000_000_000  # what numpy's draws take
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """How many of draws without replacement from good + bad are good; exact in law at any size.
+    """How many of draws without replacement from good + bad are good.
 
-    Beyond numpy's range the draw inverts the distribution from its mode outwards, about one standard deviation's steps.
+    Beyond numpy's range the draw inverts the distribution from its mode outwards, about one standard deviation's steps, in
+    doubles: its law is then exact to their rounding, and a draw that rounding leaves open is the mode.
     """
     if good + bad < LARGEST:
         return int(rng.hypergeometric(good, bad, draws)) if draws and good + bad else 0
@@ -70,23 +71,29 @@ def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> np.
 def shuffle_rows(df: DataFrame, key: str = "doc_id", shards: int = 40, seed: int = 2024, rows_per_block: int = 20_000, most_blocks: int = 4096) -> DataFrame:
     """df with columns _shard (0 to shards - 1, sizes at most one apart) and _slot (gapless from 0 in each shard).
 
-    Every assignment of rows to (shard, slot) is equally likely, as far as hashes of key and seed act as random. Blocks
-    are hashes of key, so that a repeated task puts its rows where they were; rows that share a key, or have a null key,
-    are told apart by a hash of all columns, and equal rows are interchangeable. Rows of one key in plenty make one large
-    block, which is sorted with spilling, never collected. The matrix has at most most_blocks rows, which bounds what is
-    broadcast to most_blocks * shards counts. An empty table gives an empty table.
+    All columns of df stay, whatever their names; where it has a _shard or _slot of its own, the new one gets as many more
+    underscores in front as tell them apart. Every assignment of rows to (shard, slot) is equally likely, as far as hashes of
+    key and seed act as random. Blocks are hashes of key, so that a repeated task puts its rows where they were; rows that
+    share a key, or have a null key, are told apart by a hash of all columns, and equal rows are interchangeable. Rows of one
+    key in plenty make one large block, which is sorted with spilling, never collected. The matrix has at most most_blocks
+    rows, which bounds what is broadcast to most_blocks * shards counts. An empty table gives an empty table.
     """
     spark = df.sparkSession
     content = F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith("map")], F.lit(seed))
     total = df.count()
+    names = ["_shard", "_slot"]
+    for k, name in enumerate(names):
+        while name in df.columns:
+            name = f"_{name}"
+        names[k] = name
     n_blocks = max(1, min(most_blocks, -(-total // rows_per_block)))
     # Rows of one key are spread over blocks by their content, so that a key with many rows does not make one block.
-    placed = df.withColumn("_r", content).withColumn("_block", F.pmod(F.xxhash64("_r", F.lit("block")), F.lit(n_blocks)).cast("int"))
+    placed = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), content.alias("_r")).withColumn("_block", F.pmod(F.xxhash64("_r", F.lit("block")), F.lit(n_blocks)).cast("int"))
     have = {r._block: r["count"] for r in placed.groupBy("_block").count().collect()}
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     matrix = communication_matrix([have.get(p, 0) for p in range(n_blocks)], sizes, seed)
     bounds = spark.createDataFrame([(p, [int(x) for x in np.cumsum(row)]) for p, row in enumerate(matrix)], "_block int, _bounds array<long>")
-    order = Window.partitionBy("_block").orderBy(F.xxhash64("_r", F.lit("first")), "_r", F.col(key))
+    order = Window.partitionBy("_block").orderBy(F.xxhash64("_r", F.lit("first")), "_r", "_key")
     cut = (
         placed.withColumn("_rank", F.row_number().over(order) - 1)
         .join(F.broadcast(bounds), "_block")
@@ -99,9 +106,10 @@ def shuffle_rows(df: DataFrame, key: str = "doc_id", shards: int = 40, seed: int
     counts = cut.groupBy("_shard", "_lane").count()
     before = Window.partitionBy("_shard").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_shard", "_lane", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    second = Window.partitionBy("_shard", "_lane").orderBy(F.xxhash64("_r", F.lit("second")), "_r", F.col(key), "_block")
+    second = Window.partitionBy("_shard", "_lane").orderBy(F.xxhash64("_r", F.lit("second")), "_r", "_key", "_block")
     slotted = cut.withColumn("_n", F.row_number().over(second) - 1)
-    return slotted.join(starts, ["_shard", "_lane"]).withColumn("_slot", (F.col("_start") + F.col("_n")).cast("long")).drop("_r", "_block", "_lane", "_n", "_start")
+    placed = slotted.join(starts, ["_shard", "_lane"])
+    return placed.select("_row.*", F.col("_shard").cast("int").alias(names[0]), (F.col("_start") + F.col("_n")).cast("long").alias(names[1]))
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
