@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from voxlake.plans import catalog, catalog_files, catalog_lattice, catalog_meters, catalog_more, catalog_scans, catalog_solve  # noqa: F401
+from voxlake.plans import catalog, catalog_files, catalog_fits, catalog_lattice, catalog_meters, catalog_more, catalog_scans, catalog_solve  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
