@@ -41,8 +41,8 @@ class Solve:
 
 def phases(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(captures, frames): each capture's fit of its depths s and whether it has two phases, each frame's filtered fit."""
-    captures = mixtures.verdict(mixtures.fit(mixtures.counted(cells, "s", ["capture"]))).select("capture", "fit", "two_phase", "bic_one", "bic_two")
-    per_frame = mixtures.fit(mixtures.counted(cells, "s", ["capture", "t"])).select("capture", "t", "fit")
+    captures = mixtures.verdict(cut(mixtures.fit(mixtures.counted(cells, "s", ["capture"])))).select("capture", "fit", "two_phase", "bic_one", "bic_two")
+    per_frame = cut(mixtures.fit(mixtures.counted(cells, "s", ["capture", "t"])).select("capture", "t", "fit"))
     return captures, mixtures.filtered(per_frame, ["capture"], "t")
 
 
