@@ -178,3 +178,29 @@ def test_plans_of_transport(spark):
         assert r.matches == len(r.y) and abs(r.cost - sum(np.hypot(a - v, b - u) for a, b, v, u in zip(r.y, r.x, r.v, r.u))) < 1e-9
     cost = {(r.c, r.t, r.plan): r.cost for r in rows}
     assert all(cost[c, t, "cheapest"] <= v + 1e-9 for (c, t, _), v in cost.items())
+
+
+def test_connected_groups_of_odd_frames(spark):
+    from voxlake.operators import groups
+
+    rng = np.random.default_rng(7)
+    spiral = np.zeros((9, 9), int)
+    spiral[1, :8], spiral[1:8, 7], spiral[7, 1:8], spiral[3:8, 1], spiral[3, 1:6], spiral[3:6, 5] = 1, 1, 1, 1, 1, 1
+    frames = {0: spiral, 1: rng.integers(0, 2, (9, 9)), 2: rng.integers(0, 5, (9, 9)), 3: np.full((9, 9), 4)}
+    rows = [(t, y, x, int(f[y, x])) for t, f in frames.items() for y in range(9) for x in range(9) if (t, x) != (3, 4)] + [(5, 0, 0, None)]
+    got = {(r.t, r.y, r.x): r.label for r in groups.connected(spark.createDataFrame(rows, "t int, y int, x int, c int"), "c", 9, at_once=2).collect()}
+    colour = {r[:3]: r[3] for r in rows if r[3] is not None}
+    seen = set()
+    for start in sorted(colour):
+        if start in seen:
+            continue
+        found, edge = {start}, [start]
+        while edge:
+            t, y, x = edge.pop()
+            for k in ((t, y + 1, x), (t, y - 1, x), (t, y, x + 1), (t, y, x - 1)):
+                if k not in found and colour.get(k) == colour[start]:
+                    found.add(k)
+                    edge.append(k)
+        seen |= found
+        assert {got[k] for k in found} == {start[1] * 9 + start[2]}
+    assert set(got) == set(colour)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.functions import colour, lattice
-from voxlake.operators import bonds, energy, pool
+from voxlake.operators import bonds, energy, groups, pool
 
 from .catalog import BOARD_SQL, CIE_SQL, HIST_SQL, LAB_SQL, boards, frames, query, rgb, rgb8, rounded, unit
 from .cube import SIDE, capture
@@ -405,20 +405,18 @@ def i05_expand_tree(spark, sf_dir):
     return out
 
 
-@query("SELECT n_nationkey AS node, min(o) AS component FROM (SELECT a.n_nationkey, b.n_nationkey AS o FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey) GROUP BY 1", on_cube=False)
-def f55_connected_groups(spark, sf_dir):
-    """Components of a ring through the nations of each region: smallest label to neighbours until nothing changes."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey")
-    ring = n.select(F.col("n_nationkey").alias("a"), F.lead("n_nationkey").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("b")).where("b is not null")
-    edges = ring.unionByName(ring.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    label = n.select(F.col("n_nationkey").alias("node"), F.col("n_nationkey").alias("component"))
-    while True:
-        best = edges.join(label, edges.b == label.node).groupBy("a").agg(F.min("component").alias("m"))
-        new = label.join(best, label.node == best.a, "left").select("node", F.least("component", "m").alias("component"), F.col("component").alias("old")).persist()
-        changed = new.where("component != old").limit(1).count()
-        label = new.select("node", "component")
-        if not changed:
-            return label
+_near = "a.t = b.t AND a.c = b.c AND abs(a.y - b.y) + abs(a.x - b.x) = 1"
+
+
+@query(f"""+ c AS (SELECT t, y, x, idx % 4 AS c FROM cube), e AS (SELECT a.t, a.y, a.x, b.y AS v, b.x AS u FROM c a JOIN c b ON {_near}),
+r AS (SELECT t, y, x, y AS v, x AS u FROM c UNION SELECT r.t, r.y, r.x, e.v, e.u FROM r JOIN e ON e.t = r.t AND e.y = r.v AND e.x = r.u),
+g AS (SELECT t, y, x, min(v * {SIDE} + u) AS label, count(*) AS size FROM r GROUP BY 1, 2, 3)
+SELECT t, c, count(*) FILTER (label = y * {SIDE} + x) AS groups, max(size) AS largest FROM g JOIN c USING (t, y, x) GROUP BY 1, 2""")
+def f55_connected_groups(cells):
+    """Connected groups of each frame's cells of one of four colours: how many, and the cells of the largest."""
+    labelled = groups.connected(cells.withColumn("c", F.col("idx") % 4), "c", SIDE)
+    sizes = labelled.groupBy("t", "c", "label").agg(F.count("*").alias("n"))
+    return sizes.groupBy("t", "c").agg(F.count("*").alias("groups"), F.max("n").alias("largest"))
 
 
 # Mosaics
