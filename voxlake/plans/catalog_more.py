@@ -11,16 +11,6 @@ from voxlake.operators import bonds, energy, groups, pool
 from .catalog import BOARD_SQL, CIE_SQL, HIST_SQL, LAB_SQL, boards, frames, query, rgb, rgb8, rounded, unit
 from .cube import SIDE, capture
 
-# The 4 x 4 ordered-dither thresholds, row by row.
-BAYER = (0, 8, 2, 10, 12, 4, 14, 6, 3, 11, 1, 9, 15, 7, 13, 5)
-_bayer = f"list_extract([{', '.join(map(str, BAYER))}], CAST((y % 4) * 4 + x % 4 AS INT) + 1)"
-
-
-def bayer(y, x):
-    """Threshold of a pixel, in (0, 1)."""
-    return (F.element_at(F.array(*map(F.lit, BAYER)), ((y % 4) * 4 + x % 4 + 1).cast("int")) + 0.5) / 16
-
-
 def lab_cells(cells: DataFrame, *more: str) -> DataFrame:
     return cells.select("t", "y", "x", *more, *[v.alias(n) for v, n in zip(colour.oklab(rgb()), ("ll", "la", "lb"))])
 
