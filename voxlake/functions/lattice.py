@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Factor, summand and modulus of the generator; and the rates and the critical-band law of the dissonance curve
+# (Plomp and Levelt, 1965; Sethares, 1993).
 LCG_A, LCG_C, LCG_M = 1103515245, 12345, 1 << 31
+RATES = (3.51, 5.75)
+BAND = (0.24, 0.0207, 18.96)
 
 
 def lcg(s: Column) -> Column:
@@ -80,9 +84,9 @@ def metres_to_signal(m: Column) -> Column:
 
 
 def dissonance(x: Column) -> Column:
-    return F.exp(x * -3.51) - F.exp(x * -5.75)
+    return F.exp(x * -RATES[0]) - F.exp(x * -RATES[1])
 
 
 def pair_dissonance(f1: Column, w1: Column, f2: Column, w2: Column) -> Column:
-    scale = F.lit(0.24) / (F.least(f1, f2) * 0.0207 + 18.96)
+    scale = F.lit(BAND[0]) / (F.least(f1, f2) * BAND[1] + BAND[2])
     return w1 * w2 * dissonance(scale * F.abs(f2 - f1))
