@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxlake.functions import colour
@@ -113,3 +114,31 @@ def f49_block_pool(cells):
     filled = lambda c: F.when(F.isnan(c), 0.5).otherwise(F.col(c))
     mean = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg(filled(c)))).alias(c)
     return rounded(cells.groupBy("t", *[F.expr(f"cast({c} div 8 as int)").alias(c) for c in "yx"]).agg(*[mean(c) for c in "rgbs"]), 9)
+
+
+_site = "CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN r WHEN y % 2 = 1 AND x % 2 = 1 THEN b ELSE g END"
+_mirror = lambda c: f"CASE WHEN {c} < 0 THEN 1 WHEN {c} > {SIDE - 1} THEN {SIDE - 2} ELSE {c} END"
+_offsets = ", ".join(f"max(CASE WHEN dy = {dy} AND dx = {dx} THEN k.v END) AS {n}" for n, dy, dx in (("u", -1, 0), ("d", 1, 0), ("l", 0, -1), ("q", 0, 1), ("ul", -1, -1), ("uq", -1, 1), ("dl", 1, -1), ("dq", 1, 1)))
+
+
+@query(f"""+ m AS (SELECT t, y, x, {_site} AS v FROM cube WHERE t IN (SELECT t FROM cube GROUP BY t HAVING count(*) = {CELLS})), o AS (SELECT a.range - 1 AS dy, b.range - 1 AS dx FROM range(3) a, range(3) b),
+n AS (SELECT c.t, c.y, c.x, any_value(c.v) AS v, {_offsets} FROM m c CROSS JOIN o JOIN m k ON k.t = c.t AND k.y = ({_mirror('(c.y + dy)')}) AND k.x = ({_mirror('(c.x + dx)')}) GROUP BY 1, 2, 3),
+a AS (SELECT *, (u + d + l + q) / 4 AS cross4, (ul + uq + dl + dq) / 4 AS diag, (l + q) / 2 AS h, (u + d) / 2 AS w, 2 * (y % 2) + x % 2 AS site FROM n)
+SELECT t, y, x, round(CASE site WHEN 0 THEN v WHEN 1 THEN h WHEN 2 THEN w ELSE diag END, 9) AS r, round(CASE site WHEN 0 THEN cross4 WHEN 3 THEN cross4 ELSE v END, 9) AS g, round(CASE site WHEN 0 THEN diag WHEN 1 THEN w WHEN 2 THEN h ELSE v END, 9) AS b FROM a""")
+def n76_bilinear_demosaic(cells):
+    """Each whole frame's mosaic back to three channels: the measured one as it is, the others as means of the nearest sites
+    of their colour. Beyond an edge, what lies on its other side counts."""
+    whole = cells.groupBy("t").agg(F.count("*").alias("n")).where(f"n = {CELLS}").select("t")
+    odd = lambda c: F.col(c) % 2 == 1
+    v = F.when(~odd("y") & ~odd("x"), F.col("r")).when(odd("y") & odd("x"), F.col("b")).otherwise(F.col("g"))
+    rows = cells.join(whole, "t").select("t", "y", "x", v.alias("v"))
+    row, column = Window.partitionBy("t", "y").orderBy("x"), Window.partitionBy("t", "x").orderBy("y")
+    both = lambda c, line: (F.coalesce(F.lag(c).over(line), F.lead(c).over(line)), F.coalesce(F.lead(c).over(line), F.lag(c).over(line)))
+    rows = rows.withColumns(dict(zip(("left", "right"), both("v", row))))
+    rows = rows.withColumns({f"{n}_{c}": e for c in ("v", "left", "right") for n, e in zip(("up", "down"), both(c, column))})
+    h, w = (F.col("left") + F.col("right")) / 2, (F.col("up_v") + F.col("down_v")) / 2
+    cross, diag = (h + w) / 2, (F.col("up_left") + F.col("up_right") + F.col("down_left") + F.col("down_right")) / 4
+    red, blue = ~odd("y") & ~odd("x"), odd("y") & odd("x")
+    r = F.when(red, F.col("v")).when(blue, diag).when(odd("x"), h).otherwise(w)
+    b = F.when(blue, F.col("v")).when(red, diag).when(odd("x"), w).otherwise(h)
+    return rounded(rows.select("t", "y", "x", r.alias("r"), F.when(red | blue, cross).otherwise(F.col("v")).alias("g"), b.alias("b")), 9)
