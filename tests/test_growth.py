@@ -1,8 +1,13 @@
 """Plans and results that hold at sizes beyond the other tests' tables."""
 
+import re
+
+import duckdb
+import numpy as np
 import pytest
 
-from voxlake.plans import catalog, catalog_meters  # noqa: F401
+from voxlake.operators import codebook
+from voxlake.plans import catalog, catalog_files, catalog_meters  # noqa: F401  the others add their queries
 
 D = "/root/testdata/sf0.001"
 
@@ -11,4 +16,29 @@ D = "/root/testdata/sf0.001"
 def test_measures_need_no_dense_histogram(spark, name):
     """An exploded side of an inner join was taken for small, and 256 rows a frame were gathered in the driver."""
     plan = catalog.QUERIES[name](spark, D)._jdf.queryExecution().optimizedPlan().toString()
-    assert "253,254,255" not in plan
+    assert not re.search(r"explode\(.*\[idx#", plan)
+
+
+def test_nearest_rows_join_few_boxes(spark):
+    """Each probe met every row; now the boxes near it. Crowds at one place, ties and outliers lose nothing."""
+    rng = np.random.default_rng(3)
+    places = np.concatenate([rng.normal(size=(6000, 2)), np.repeat(rng.normal(size=(20, 2)), 100, axis=0), rng.integers(-3, 4, (1000, 2)), [[90.0, -70.0], [-1e6, 3.0]]])
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(places)]
+    store = spark.createDataFrame(rows, "id long, a double, b double")
+    probes = store.where("id % 100 = 0 or id >= 9000").withColumnRenamed("id", "probe")
+    found = codebook.k_nearest(store, probes, ["a", "b"], "id", 5)
+    got = {(r.probe, r.rank): (r.id, r.d2) for r in found.collect()}
+    want = {}
+    for i in [i for i in range(len(rows)) if i % 100 == 0 or i >= 9000]:
+        d = (places[:, 0] - places[i, 0]) * (places[:, 0] - places[i, 0]) + (places[:, 1] - places[i, 1]) * (places[:, 1] - places[i, 1])
+        for r, j in enumerate(np.lexsort((np.arange(len(d)), d))[:5], 1):
+            want[i, r] = (j, d[j])
+    assert got == want
+    join = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "(_box" in join
+
+
+def test_few_rows_have_fewer_neighbours(spark):
+    store = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0)], "id long, a double, b double")
+    found = codebook.k_nearest(store, store.withColumnRenamed("id", "probe"), ["a", "b"], "id", 5).collect()
+    assert sorted((r.probe, r.id, r.d2, r.rank) for r in found) == [(1, 1, 0.0, 1), (1, 2, 1.0, 2), (2, 1, 1.0, 2), (2, 2, 0.0, 1)]

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 LATTICE = [(a, b, c) for a in range(4) for b in range(4) for c in range(4)]
 
 
@@ -21,14 +26,37 @@ def nearest(book: list[tuple[int, float, float, float]], r: Column, g: Column, b
 
 
 def k_nearest(store: DataFrame, probes: DataFrame, dims: list[str], key: str, k: int) -> DataFrame:
-    """(probe, key, d2, rank): exact retrieval of the k nearest rows of store for each probe; ties by key.
+    """(probe, key, d2, rank): exact retrieval of the k nearest rows of store for each probe; ties by key. Rows and probes
+    without a place (null or NaN) are left out.
 
-    probes(probe, dims) is a stated query set and broadcast; each partition of store keeps its own k best by the window's
-    group limit before anything is shuffled.
+    Of rows at one place the k smallest keys can be nearest. Places are cut into boxes at quantiles of the first two
+    dimensions; a box of k rows bounds a probe's distances from above, and only boxes that begin within the least such bound
+    are joined with it. Rounding is monotone, so bounds hold for the computed distances too, and nothing is lost.
     """
-    p = F.broadcast(probes.select("probe", *[F.col(d).alias(f"_{d}") for d in dims]))
-    d2 = sum(((F.col(d) - F.col(f"_{d}")) * (F.col(d) - F.col(f"_{d}")) for d in dims[1:]), (F.col(dims[0]) - F.col(f"_{dims[0]}")) * (F.col(dims[0]) - F.col(f"_{dims[0]}")))
-    scored = store.join(p).select("probe", key, d2.alias("d2"))
+    for d in dims:
+        store, probes = (df.where(F.col(d).isNotNull() & ~F.isnan(F.col(d).cast("double"))) for df in (store, probes))
+    first = F.row_number().over(Window.partitionBy(*dims).orderBy(key))
+    points = cut(store.select(key, *dims).withColumn("_k", first).where(F.col("_k") <= k).drop("_k"))
+    n = points.count()
+    boxes = max(1, n // max(256, math.isqrt(n)))
+    points = points.withColumn("_box", F.lit(0))
+    for d, parts in zip(dims, (math.isqrt(boxes), None)):
+        made = points.select("_box").distinct().count() if parts is None else 1
+        parts = parts or -(-boxes // max(1, made))
+        edges = points.groupBy("_box").agg(F.percentile_approx(d, [i / parts for i in range(1, parts)] or [1.0]).alias("_edges"))
+        below = F.aggregate("_edges", F.lit(0), lambda z, e: z + (e < F.col(d)).cast("int"))  # noqa: B023  called at once
+        points = points.join(F.broadcast(edges), "_box").withColumn("_box", F.col("_box") * (parts + 1) + below).drop("_edges")
+    points = cut(points)
+    box = points.groupBy("_box").agg(F.count("*").alias("_n"), *[f(d).alias(f"_{n}{d}") for d in dims for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    box = F.broadcast(cut(box))
+    p = probes.select("probe", *[F.col(d).alias(f"_{d}") for d in dims])
+    square = lambda gaps: reduce(lambda a, b: a + b, [g * g for g in gaps])
+    most = square([F.greatest(F.abs(F.col(f"_lo{d}") - F.col(f"_{d}")), F.abs(F.col(f"_hi{d}") - F.col(f"_{d}"))) for d in dims])
+    least = square([F.greatest(F.col(f"_lo{d}") - F.col(f"_{d}"), F.col(f"_{d}") - F.col(f"_hi{d}"), F.lit(0.0)) for d in dims])
+    bound = p.join(box).groupBy("probe", *[f"_{d}" for d in dims]).agg(F.min(F.when(F.col("_n") >= k, most)).alias("_bound"))
+    near = bound.join(box, (least <= F.col("_bound")) | F.col("_bound").isNull()).select("probe", "_box", *[f"_{d}" for d in dims])
+    d2 = square([F.col(d) - F.col(f"_{d}") for d in dims])
+    scored = near.join(points, "_box").select("probe", key, d2.alias("d2"))
     rank = F.row_number().over(Window.partitionBy("probe").orderBy("d2", key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
