@@ -38,14 +38,15 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray] | None:
     return body[:, :cut].reshape(frames, side, side, 3).astype(np.float32) / 255, np.ascontiguousarray(body[:, cut:]).view("<f4").reshape(frames, side, side)
 
 
-def encode(cells: DataFrame) -> DataFrame:
+def encode(cells: DataFrame, n_frames: int | None = None) -> DataFrame:
     """(capture, data) of cells(capture, t, y, x, r, g, b, s): one file a capture; null for a capture with missing,
-    repeated or surplus cells. A capture is one cube of fixed size, so a group is bounded."""
+    repeated or surplus cells, or of other than n_frames frames, if they are given. A capture is one cube of fixed size, so a
+    group is bounded."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         frames, side = int(rows.t.max()) + 1, int(max(rows.y.max(), rows.x.max())) + 1
         place = (rows.t.to_numpy() * side + rows.y.to_numpy()) * side + rows.x.to_numpy()
-        whole = len(rows) == frames * side * side == len(np.unique(place))
+        whole = n_frames in (None, frames) and len(rows) == frames * side * side == len(np.unique(place))
         rows = rows.iloc[np.argsort(place)]
         data = pack(rows[["r", "g", "b"]].to_numpy().reshape(frames, side, side, 3), rows["s"].to_numpy().reshape(frames, side, side)) if whole else None
         return pd.DataFrame({"capture": [rows["capture"].iloc[0]], "data": [data]})
