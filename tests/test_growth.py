@@ -63,3 +63,9 @@ def test_a_capture_of_whole_frames_is_not_whole(spark, tmp_path):
     lines(tmp_path, 4096 + 256)
     got, want = beside_sql(spark, "a04_cube_file_scan", tmp_path)
     assert len(got) == 4096 and got == want
+
+
+def test_pooled_tensors_keep_their_fifth_digit(spark, tmp_path):
+    lines(tmp_path, 60000, "/root/testdata/sf0.01")
+    got, want = beside_sql(spark, "f45_tensor_pool", tmp_path)
+    assert got == want
