@@ -6,7 +6,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from voxlake.operators import codebook
+from voxlake.functions import colour
+from voxlake.operators import codebook, descent, ground, lineage
 from voxlake.plans import catalog, catalog_files, catalog_meters  # noqa: F401  the others add their queries
 
 D = "/root/testdata/sf0.001"
@@ -69,3 +70,52 @@ def test_pooled_tensors_keep_their_fifth_digit(spark, tmp_path):
     lines(tmp_path, 60000, "/root/testdata/sf0.01")
     got, want = beside_sql(spark, "f45_tensor_pool", tmp_path)
     assert got == want
+
+
+def test_cells_meet_their_book_once_a_frame(spark):
+    """A book of 5 KB was copied to every cell. Frames of unequal size, ties, and the greedy way, beside plain loops."""
+    rng = np.random.default_rng(4)
+    leaves = [(t, k, *map(float, rng.integers(0, 4, 3))) for t in range(3) for k in range(128)]  # few values: many ties
+    nodes = [(t, k, *map(float, rng.integers(0, 4, 3))) for t in range(3) for k in range(16)]
+    halves = [(t, k, *map(float, rng.integers(0, 4, 3))) for t in range(3) for k in range(2)]
+    cells = [(t, i // 16, i % 16, f"c{i}", *map(float, rng.random(3) * 4)) for t, n in enumerate((1, 256, 130)) for i in range(n)]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"t int, {key} int, ll double, la double, lb double")
+    df = spark.createDataFrame(cells, "t int, y int, x int, name string, ll double, la double, lb double")
+    books = descent.books(frame(leaves, "leaf"), frame(nodes, "node"), ["t"])
+    best, greedy = descent.exhaustive(df, books, ["t"]), descent.greedy(df, books, frame(halves, "node"), ["t"])
+    table = lambda rows: {t: np.array([r[2:] for r in rows if r[0] == t]) for t in range(3)}
+    at = {c[:3]: c for c in cells}
+    all_leaves, all_nodes, all_halves = table(leaves), table(nodes), table(halves)
+    least = lambda book, p: int(((book[:, 0] - p[0]) ** 2 + (book[:, 1] - p[1]) ** 2 + (book[:, 2] - p[2]) ** 2).argmin())
+    for r in best.collect():
+        assert r.name == at[r.t, r.y, r.x][3] and r.leaf == least(all_leaves[r.t], np.array(at[r.t, r.y, r.x][4:]))
+    for r in greedy.collect():
+        p = np.array(at[r.t, r.y, r.x][4:])
+        n = 8 * (h := least(all_halves[r.t], p)) + least(all_nodes[r.t][8 * h : 8 * h + 8], p)
+        assert r.leaf == 8 * n + least(all_leaves[r.t][8 * n : 8 * n + 8], p)
+    assert best.count() == greedy.count() == len(cells)
+    assert all("MapInArrow" in x._jdf.queryExecution().optimizedPlan().toString() for x in (best, greedy))
+
+
+def test_short_rows_of_much_work_go_to_many_tasks(spark):
+    few = spark.range(64).repartition(1)
+    assert lineage.cut(lineage.spread(few, "id")).rdd.getNumPartitions() > 4
+
+
+def test_chroma_is_clamped_as_by_plain_bisection(spark):
+    rng = np.random.default_rng(5)
+    colours = [tuple(map(float, c)) for c in np.column_stack([rng.random(60), rng.normal(0, 0.25, 60), rng.normal(0, 0.25, 60)])] + [(0.0, 0.0, 0.0), (1.0, 0.2, 0.1)]
+    rows = spark.createDataFrame(colours, "ll double, la double, lb double")
+    plan = ground.chroma_clamp(rows)
+    assert "ArrowEvalPython" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+    def fits(light, a, b):
+        lms = [(m[0] * light + m[1] * a + m[2] * b) ** 3 for m in colour.OKLAB_LMS_BACK]
+        return all(-1e-6 <= sum(p * q for p, q in zip(row, lms)) <= 1 + 1e-6 for row in colour.OKLAB_RGB_BACK)
+
+    for (light, a, b), got in zip(colours, plan.collect()):
+        low = 0.0
+        for k in range(1, 41):
+            low = low + 0.5**k if fits(light, a * (low + 0.5**k), b * (low + 0.5**k)) else low
+        low = 1.0 if fits(light, a, b) else low
+        assert abs(got.la - a * low) < 1e-9 and abs(got.lb - b * low) < 1e-9
