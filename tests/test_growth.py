@@ -8,7 +8,7 @@ import pytest
 
 from voxlake.functions import colour
 from voxlake.operators import codebook, descent, ground, lineage
-from voxlake.plans import catalog, catalog_files, catalog_meters  # noqa: F401  the others add their queries
+from voxlake.plans import catalog, catalog_files, catalog_fits, catalog_meters  # noqa: F401  the others add their queries
 
 D = "/root/testdata/sf0.001"
 
@@ -119,3 +119,10 @@ def test_chroma_is_clamped_as_by_plain_bisection(spark):
             low = low + 0.5**k if fits(light, a * (low + 0.5**k), b * (low + 0.5**k)) else low
         low = 1.0 if fits(light, a, b) else low
         assert abs(got.la - a * low) < 1e-9 and abs(got.lb - b * low) < 1e-9
+
+
+def test_soft_weights_are_no_fold_of_rows(spark):
+    """64 distances a cell were interpreted folds."""
+    df = catalog.QUERIES["n34_soft_assignment"](spark, D)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan

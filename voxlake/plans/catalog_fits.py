@@ -72,10 +72,8 @@ def j16_lloyd(cells):
 @query(f"+ book(i, cr, cg, cb) AS (VALUES {_book}), d AS (SELECT t, y, x, i, pow(r - cr, 2) + pow(g - cg, 2) + pow(b - cb, 2) AS d FROM cube, book), m AS (SELECT *, min(d) OVER (PARTITION BY t, y, x) AS m FROM d), w AS (SELECT t, y, x, sum(exp(-(d - m) / 0.02::DOUBLE)) AS z FROM m GROUP BY 1, 2, 3) SELECT t, y, x, round(1 / z, 6) AS best FROM w")
 def n34_soft_assignment(cells):
     """The weight of the nearest of the lattice's 64 colours under a soft assignment of temperature 0.02."""
-    words = F.array(*[F.array(*[F.lit(v) for v in w]) for _, *w in codebook.lattice_book()])
-    d = F.transform(words, lambda w: (F.col("r") - w[0]) * (F.col("r") - w[0]) + (F.col("g") - w[1]) * (F.col("g") - w[1]) + (F.col("b") - w[2]) * (F.col("b") - w[2]))
-    rows = cells.select("t", "y", "x", d.alias("d")).withColumn("m", F.array_min("d"))
-    return rounded(rows.select("t", "y", "x", (1 / F.aggregate("d", F.lit(0.0), lambda z, v: z + F.exp(-(v - F.col("m")) / 0.02))).alias("best")))
+    best = centroids.softness([w for _, *w in codebook.lattice_book()], 0.02)
+    return rounded(cells.select("t", "y", "x", best("r", "g", "b").alias("best")))
 
 
 @query("SELECT bt, by_, bx, round(lgamma(65) - sum(lgamma(n + 1)), 6) AS ln_w FROM (SELECT t // 4 AS bt, y // 4 AS by_, x // 4 AS bx, idx, count(*) AS n FROM cube GROUP BY ALL) GROUP BY ALL HAVING sum(n) = 64")
