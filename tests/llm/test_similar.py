@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -85,3 +87,56 @@ def test_nulls_blanks_and_extra_columns(spark):
     kept = similar.drop_similar(df)
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 7]
     assert similar.similar_documents(df.limit(0)).count() == 0
+
+
+def test_bit_sliced_distances_equal_plain_ones():
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 1 << 63, (150, similar.WIDE), dtype=np.uint64)
+    for k in range(1, 150, 2):  # copies of the row before with up to 300 bits turned
+        turned = np.zeros(512, np.uint8)
+        turned[rng.choice(512, 2 * k, replace=False)] = 1
+        sig[k] = sig[k - 1] ^ np.packbits(turned, bitorder="little").view(np.uint64)
+    n = rng.integers(1, 200, 150)
+    apart = np.array([[sum(int(a ^ b).bit_count() for a, b in zip(x, y)) for y in sig.tolist()] for x in sig[:40].tolist()])
+    small = np.minimum(n[:40, None], n[None, :]) < similar.SMALL
+    want = apart <= np.where(small, similar._most_apart((4, 5), True), similar._most_apart((4, 5), False))
+    blocks = [(sig[:40], n[:40], sig, n), (sig[:3], n[:3], sig[:0], n[:0]), (sig[3:9], n[3:9], sig[5:70], n[5:70])]
+    for pairs in (1, 1 << 15):
+        got = list(similar._judge((4, 5), pairs)(blocks))
+        assert (got[0] == want).all() and got[1].shape == (3, 0) and (got[2] == want[3:9, 5:70]).all()
+    assert 40 < want.sum() < want.size
+
+
+def test_small_sets_differ_in_no_more_bits_than_the_bound_says():
+    """The chance that a bit differs, for all sets below SMALL with a similarity of 0.8 or more, by counting."""
+    above = lambda n: [sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n for k in range(n + 2)]
+    most = 0.0
+    for both in range(1, similar.SMALL):
+        for p in range(both // 4 + 1):
+            for q in range(p, both // 4 - p + 1):
+                n, m, share = both + p, both + q, 0.0
+                for c in range(both + 1):
+                    x, y = (above(e)[min(e + 1, max(0, size // 2 + 1 - c))] for e, size in ((p, n), (q, m)))
+                    share += math.comb(both, c) / 2**both * (x * (1 - y) + y * (1 - x))
+                most = max(most, share)
+    assert most <= similar.SMALL_SHARE
+
+
+def test_large_groups_send_forests(spark, monkeypatch):
+    """Groups of near copies beyond a block's chunk: the pairs that left a task grew with the square of a group."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(3):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+        for i in range(80):
+            copy = list(base)
+            for at in rng.sample(range(60), rng.choice((1, 2, 3))):
+                copy[at] = f"v{rng.randrange(10**9)}"
+            rows.append((1000 * g + i, " ".join(copy)))
+    made = []
+    whole = similar._links_within
+    monkeypatch.setattr(similar, "_links_within", lambda *a: made.append(whole(*a)) or made[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(df, chunk=16, chunk_members=500).collect()}
+    assert got == brute(rows)
+    assert made and made[0].count() <= 10 * len(rows)
