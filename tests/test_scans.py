@@ -180,6 +180,23 @@ def test_plans_of_transport(spark):
     assert all(cost[c, t, "cheapest"] <= v + 1e-9 for (c, t, _), v in cost.items())
 
 
+def test_plans_of_many_pairs_are_made_together(spark):
+    """Plans were made pair by pair; now those of one shape at once, with the same columns."""
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 4), (4, 1), (5, 5), (7, 3)):
+        cost = rng.integers(0, 6, (50, n, m)).astype(float)
+        for name, one in transport.PLANS.items():
+            assert (transport._AT_ONCE[name](cost) == np.array([one(c) for c in cost])).all()
+    df = spark.createDataFrame([(c, t, y, x) for c in range(3) for t in range(8) for y in range(4) for x in range(4) if rng.random() < 0.4], "c int, t int, y int, x int")
+    pairs = transport.paired(df, "c", 8)
+    want = {(r.c, r.t, r.plan): (r.matches, r.cost) for r in transport.plans(pairs, "c").collect()}
+    got = transport.costs(pairs, "c", ["greedy", "reduced", "cheapest"]).collect()
+    assert len(want) == 3 * len(got)
+    for r in got:
+        for name in transport.PLANS:
+            assert r.matches == want[r.c, r.t, name][0] and abs(r[name] - want[r.c, r.t, name][1]) < 1e-9
+
+
 def test_connected_groups_of_odd_frames(spark):
     from voxlake.operators import groups
 

@@ -13,62 +13,85 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _greedy(cost: np.ndarray) -> np.ndarray:
+    """greedy() of many matrices (many, n, m) of one shape, row by row for all at once."""
+    cost, out, own = cost.astype(float), np.full(cost.shape[:2], -1), np.arange(len(cost))
+    for r in range(min(cost.shape[1:])):
+        out[:, r] = cost[:, r].argmin(1)
+        cost[own, :, out[:, r]] = np.inf
+    return out
+
+
 def greedy(cost: np.ndarray) -> np.ndarray:
     """Column of each row in turn: the cheapest that is left, the first on ties; -1 where none is."""
-    cost, out = cost.astype(float), np.full(len(cost), -1)
-    for r in range(min(cost.shape)):
-        out[r] = cost[r].argmin()
-        cost[:, out[r]] = np.inf
-    return out
+    return _greedy(cost[None])[0]
+
+
+def _reduced(cost: np.ndarray) -> np.ndarray:
+    n = min(cost.shape[1:])
+    square = cost[:, :n, :n] - cost[:, :n, :n].min(2, keepdims=True) if n else cost[:, :n, :n]
+    return _greedy(square - square.min(1, keepdims=True) if n else square)
 
 
 def reduced(cost: np.ndarray) -> np.ndarray:
     """Columns of the first n rows and columns, n the lesser side, greedily after each row's and then each column's least is
     taken off."""
-    n = min(cost.shape)
-    square = cost[:n, :n] - cost[:n, :n].min(1, keepdims=True) if n else cost[:n, :n]
-    return greedy(square - square.min(0, keepdims=True) if n else square)
+    return _reduced(cost[None])[0]
 
 
-def cheapest(cost: np.ndarray) -> np.ndarray:
-    """Column of each row (-1 for rows without) in a plan of least total cost that matches the lesser side wholly: shortest
-    augmenting paths under dual prices (Jonker and Volgenant, 1987)."""
-    if cost.shape[0] > cost.shape[1]:
-        back = cheapest(cost.T)
-        out = np.full(cost.shape[0], -1)
-        out[back] = np.arange(len(back))
+def _cheapest(cost: np.ndarray) -> np.ndarray:
+    """cheapest() of many matrices (many, n, m) of one shape: each row's paths grow for all whose path has not ended."""
+    many, rows, columns = cost.shape
+    if rows > columns:
+        back = _cheapest(cost.transpose(0, 2, 1))
+        out = np.full((many, rows), -1)
+        np.put_along_axis(out, back, np.broadcast_to(np.arange(columns), back.shape), 1)
         return out
-    rows, columns = cost.shape
-    price, owner = np.zeros(columns), np.full(columns, -1)
-    due = np.zeros(rows)
+    every = np.arange(many)
+    price, owner, due = np.zeros((many, columns)), np.full((many, columns), -1), np.zeros((many, rows))
     for row in range(rows):
-        reach, came, done = np.full(columns, np.inf), np.full(columns, -1), np.zeros(columns, bool)
-        at, low, column = row, 0.0, -1
-        while True:
-            length = low + cost[at] - due[at] - price
-            closer = ~done & (length < reach)
-            reach[closer], came[closer] = length[closer], column
-            column = int(np.where(done, np.inf, reach).argmin())
-            low = reach[column]
-            done[column] = True
-            if owner[column] < 0:
-                break
-            at = owner[column]
-        settled = np.flatnonzero(done)
-        settled = settled[settled != column]
-        due[row] += low
-        due[owner[settled]] += low - reach[settled]
-        price[settled] -= low - reach[settled]
-        while column >= 0:
-            before = came[column]
-            owner[column] = row if before < 0 else owner[before]
-            column = before
-    out = np.full(rows, -1)
-    out[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+        reach, came, done = np.full((many, columns), np.inf), np.full((many, columns), -1), np.zeros((many, columns), bool)
+        low, last = np.zeros(many), np.full(many, -1)
+        live, at, column = every, np.full(many, row), np.full(many, -1)
+        while len(live):
+            length = low[live, None] + cost[live, at] - due[live, at][:, None] - price[live]
+            ended, near = done[live], reach[live]
+            closer = ~ended & (length < near)
+            near = np.where(closer, length, near)
+            reach[live], came[live] = near, np.where(closer, column[:, None], came[live])
+            column = np.where(ended, np.inf, near).argmin(1)
+            low[live] = reach[live, column]
+            done[live, column] = True
+            last[live] = column
+            at = owner[live, column]
+            on = at >= 0
+            live, at, column = live[on], at[on], column[on]
+        done[every, last] = False
+        own, settled = np.nonzero(done)
+        more = low[own] - reach[own, settled]
+        due[:, row] += low
+        due[own, owner[own, settled]] += more
+        price[own, settled] -= more
+        live, column = every, last
+        while len(live):
+            before = came[live, column]
+            owner[live, column] = np.where(before < 0, row, owner[live, before])
+            on = before >= 0
+            live, column = live[on], before[on]
+    out = np.full((many, rows), -1)
+    own, column = np.nonzero(owner >= 0)
+    out[own, owner[own, column]] = column
     return out
 
 
+def cheapest(cost: np.ndarray) -> np.ndarray:
+    """Column of each row (-1 for rows without) in a plan of least total cost that matches the lesser side wholly: shortest
+    augmenting paths under dual prices (Jonker and Volgenant, 1987)."""
+    return _cheapest(cost[None])[0]
+
+
 PLANS = {"greedy": greedy, "reduced": reduced, "cheapest": cheapest}
+_AT_ONCE = {"greedy": _greedy, "reduced": _reduced, "cheapest": _cheapest}
 
 
 def paired(cells: DataFrame, group: str, frames: int) -> DataFrame:
@@ -78,6 +101,56 @@ def paired(cells: DataFrame, group: str, frames: int) -> DataFrame:
     return own.join(after, [group, "t"])
 
 
+def _sides(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of a and of b: where each row's places begin, and all places (y, x)."""
+    sides = []
+    for c in ("a", "b"):
+        lists = batch.column(batch.schema.get_field_index(c))
+        flat = lists.flatten()
+        sides.append((np.append(0, np.cumsum(np.asarray(lists.value_lengths()))), np.column_stack([flat.field(k).to_numpy() for k in ("y", "x")]).astype(np.int64)))
+    return sides
+
+
+def _planned(sides: list[tuple[np.ndarray, np.ndarray]], kinds: list[str], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """(rows, cost, columns by kind) of rows with equally many places on both sides, whose plans are made together; at most
+    so many costs at a time."""
+    sizes = np.column_stack([np.diff(cut) for cut, _ in sides])
+    shapes, own = np.unique(sizes, axis=0, return_inverse=True)
+    order = np.argsort(own.ravel(), kind="stable")
+    ends = np.cumsum(np.bincount(own.ravel(), minlength=len(shapes)))
+    for (n, m), low, high in zip(shapes, [0, *ends[:-1]], ends):
+        step = max(1, most // max(1, n * m))
+        for k in range(low, high, step):
+            rows = order[k : min(k + step, high)]
+            a, b = (places[cut[rows][:, None] + np.arange(size)] for (cut, places), size in zip(sides, (n, m)))
+            cost = np.sqrt(((a[:, :, None] - b[:, None]) ** 2).sum(3))
+            yield rows, cost, {kind: _AT_ONCE[kind](cost) for kind in kinds}
+
+
+def _total(cost: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Cost of each plan's matches."""
+    taken = np.take_along_axis(cost[:, : to.shape[1]], np.maximum(to, 0)[:, :, None], 2)[:, :, 0]
+    return np.where(to >= 0, taken, 0).sum(1)
+
+
+def costs(pairs: DataFrame, group: str, kinds: list[str]) -> DataFrame:
+    """(group, t, matches, and a column a kind of plan): the number of matches, the same for every plan, and their total
+    distance by plan."""
+    kind = dict(pairs.dtypes)[group]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = _sides(batch)
+            total = {k: np.zeros(batch.num_rows) for k in kinds}
+            for rows, cost, plan in _planned(sides, kinds):
+                for k, to in plan.items():
+                    total[k][rows] = _total(cost, to)
+            matches = np.minimum(*[np.diff(cut) for cut, _ in sides]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(matches), *(pa.array(v) for v in total.values())], [group, "t", "matches", *kinds])
+
+    return pairs.select(group, "t", "a", "b").mapInArrow(run, f"{group} {kind}, t int, matches int, {', '.join(f'{k} double' for k in kinds)}")
+
+
 def plans(pairs: DataFrame, group: str) -> DataFrame:
     """(group, t, plan, matches, cost, y, x, v, u): for each pair of frames and kind of plan the number and total distance of
     matches, and the matches as arrays of places."""
@@ -87,18 +160,13 @@ def plans(pairs: DataFrame, group: str) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             keys = [batch.column(batch.schema.get_field_index(c)) for c in (group, "t")]
-            sides = []
-            for c in ("a", "b"):
-                lists = batch.column(batch.schema.get_field_index(c))
-                flat = lists.flatten()
-                sides.append((np.append(0, np.cumsum(np.asarray(lists.value_lengths()))), np.column_stack([flat.field(k).to_numpy() for k in ("y", "x")]).astype(np.int64)))
-            for k in range(batch.num_rows):
-                a, b = (places[cut[k] : cut[k + 1]] for cut, places in sides)
-                cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
-                for name, plan in PLANS.items():
-                    to = plan(cost)
-                    of = np.flatnonzero(to >= 0)
-                    out.append((k, name, len(of), float(cost[of, to[of]].sum()), a[of, 0], a[of, 1], b[to[of], 0], b[to[of], 1]))
+            sides = _sides(batch)
+            for rows, cost, found in _planned(sides, list(PLANS)):
+                for name, plan in found.items():
+                    for k, to, whole in zip(rows, plan, _total(cost, plan)):
+                        a, b = (places[cut[k] : cut[k + 1]] for cut, places in sides)
+                        of = np.flatnonzero(to >= 0)
+                        out.append((k, name, len(of), float(whole), a[of, 0], a[of, 1], b[to[of], 0], b[to[of], 1]))
             rows = pa.array([o[0] for o in out], pa.int64())
             lists = [pa.array([o[i].tolist() for o in out], pa.list_(pa.int32())) for i in range(4, 8)]
             yield pa.RecordBatch.from_arrays(

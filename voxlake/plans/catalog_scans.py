@@ -127,22 +127,20 @@ def j15_refine_far_blocks(cells):
 # Transport
 
 
-def _plans(cells):
-    return transport.plans(transport.paired(cells.withColumn("c", F.col("idx") % 64), "c", SIDE), "c")
+def _pairs(cells):
+    return transport.paired(cells.withColumn("c", F.col("idx") % 64), "c", SIDE)
 
 
 @query(None)
 def e27_greedy_transport(cells):
     """Matches and cost of each colour from a frame to the next, each place taking the nearest that is left."""
-    return rounded(_plans(cells).where("plan = 'greedy'").select("c", "t", "matches", "cost"))
+    return rounded(transport.costs(_pairs(cells), "c", ["greedy"]).withColumnRenamed("greedy", "cost").select("c", "t", "matches", "cost"))
 
 
 @query(None)
 def e28_assignment_transport(cells):
     """The same by greedy choice on reduced costs, and the least cost of all plans."""
-    p = _plans(cells)
-    reduced, least = (p.where(F.col("plan") == k).select("c", "t", "matches", F.col("cost").alias(k)) for k in ("reduced", "cheapest"))
-    return rounded(reduced.join(least, ["c", "t", "matches"]))
+    return rounded(transport.costs(_pairs(cells), "c", ["reduced", "cheapest"]).select("c", "t", "matches", "reduced", "cheapest"))
 
 
 _VAR = "v AS (SELECT t, var_pop(r) + var_pop(g) + var_pop(b) AS lam, s >= 0.5 AS front FROM cube GROUP BY t, s >= 0.5)"
