@@ -5,9 +5,10 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxlake.functions import colour
-from voxlake.operators import codebook, descent, ground, lineage
+from voxlake.operators import codebook, descent, ground, lineage, mixtures
 from voxlake.plans import catalog, catalog_files, catalog_fits, catalog_meters  # noqa: F401  the others add their queries
 
 D = "/root/testdata/sf0.001"
@@ -126,3 +127,46 @@ def test_soft_weights_are_no_fold_of_rows(spark):
     df = catalog.QUERIES["n34_soft_assignment"](spark, D)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan
+
+
+def test_fits_of_many_groups_are_no_interpreted_folds(spark):
+    """64 steps were folds of expressions over each group's values; now they are taken for many groups at once, and groups of
+    unlike size, of one value, and of two phases far apart keep their fits."""
+    rng = np.random.default_rng(4)
+    groups = {0: [0.5], 1: [0.25, 0.75], 2: [0.5] * 9, 3: [*rng.normal(0.1, 0.01, 300), *rng.normal(0.9, 0.01, 100)], 4: rng.integers(0, 9, 256) / 8, 5: [0.0, 0.0, 1.0]}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "t int, s double")
+    fitted = mixtures.fit(mixtures.counted(df, "s", ["t"]))
+    assert "aggregate(" not in fitted._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.t: r.fit for r in fitted.collect()}
+    assert got[0] is None
+    for g in range(1, 6):
+        v = np.sort(groups[g])
+        n, half = len(v), len(v) // 2
+        mf, mb, pb, sd = v[half:].mean(), v[:half].mean(), 0.5, max(1e-9, v.std())
+        for _ in range(64):
+            with np.errstate(all="ignore"):
+                r = 1 / (1 + np.exp(-(np.log(pb / (1 - pb)) + ((v - mf) ** 2 - (v - mb) ** 2) / (2 * sd * sd))))
+            if not 0 < r.sum() < n:
+                break
+            mf, mb, pb = ((1 - r) * v).sum() / (1 - r).sum(), (r * v).sum() / r.sum(), r.mean()
+            sd = max(1e-9, np.sqrt((r * (v - mb) ** 2 + (1 - r) * (v - mf) ** 2).sum() / n))
+        want = (mf, mb, pb, sd) if mf >= mb else (mb, mf, 1 - pb, sd)
+        assert np.allclose(tuple(got[g]), want, atol=1e-6)
+
+
+def test_three_rungs_deal_cells_once(spark):
+    """Cells met their blocks' nodes by a join, and were packed by frame after it."""
+    frames = spark.range(6).select(F.col("id").cast("int").alias("t"))
+    leaf = frames.crossJoin(spark.range(128).select(F.col("id").cast("int").alias("leaf")))
+    leaves = leaf.select("t", "leaf", (F.col("leaf") / 127).alias("ll"), F.lit(0.0).alias("la"), F.lit(0.0).alias("lb"))
+    nodes16 = leaves.groupBy("t", F.shiftright("leaf", 3).alias("node")).agg(*[F.avg(c).alias(c) for c in ("ll", "la", "lb")])
+    at = spark.range(6 * 256).select(*[F.expr(e).cast("int").alias(c) for c, e in (("t", "id div 256"), ("y", "id div 16 % 16"), ("x", "id % 16"))])
+    cells = at.select("*", (F.expr("(y div 2 * 8 + x div 2) / 64")).alias("ll"), F.lit(0.0).alias("la"), F.lit(0.0).alias("lb"))
+    placed = descent.three_rungs(cells, descent.books(leaves, nodes16, ["t"]))
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2  # of books, and of layers with them: none of cells with blocks
+    rows = placed.collect()
+    assert len(rows) == 6 * 256 and {r.t for r in rows} == set(range(6))
+    for r in rows:
+        d = [(k / 127 - r.ll) ** 2 for k in range(128)]
+        assert abs(r.d - (r.leaf / 127 - r.ll) ** 2) < 1e-12 and r.d <= min(d) + 2 / 127**2
