@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import colour
-from voxlake.operators import codebook, descent, ground, lineage, mixtures
+from voxlake.operators import codebook, descent, ground, lineage, mixtures, sweep
 from voxlake.plans import catalog, catalog_files, catalog_fits, catalog_meters  # noqa: F401  the others add their queries
 
 D = "/root/testdata/sf0.001"
@@ -170,3 +170,16 @@ def test_three_rungs_deal_cells_once(spark):
     for r in rows:
         d = [(k / 127 - r.ll) ** 2 for k in range(128)]
         assert abs(r.d - (r.leaf / 127 - r.ll) ** 2) < 1e-12 and r.d <= min(d) + 2 / 127**2
+
+
+def test_sweeps_are_shared(spark):
+    """The objectives after one and after four sweeps took two passes over all blocks."""
+    rng = np.random.default_rng(9)
+    cells = [(t, y, x, *map(float, rng.random(3)), int(rng.integers(0, 12)), True) for t in range(4) for y in range(8) for x in range(4)]
+    packed = sweep.most_used(sweep.blocks(spark.createDataFrame(cells, "t int, y int, x int, ll double, la double, lb double, code int, far boolean"), "code"))
+    books = spark.createDataFrame([(0, [tuple(map(float, rng.random(3))) for _ in range(12)])], "t int, colours array<struct<ll:double,la:double,lb:double>>")
+    both = {(r.by, r.bx): r for r in sweep.refine(packed, books, 4, (1,)).collect()}
+    one, four = ({(r.by, r.bx): r for r in sweep.refine(packed, books, k).collect()} for k in (1, 4))
+    assert len(both) == 2
+    for k, r in both.items():
+        assert r.before == one[k].before and abs(r.after1 - one[k].after) < 1e-12 and abs(r.after - four[k].after) < 1e-12 and r.codes == four[k].codes

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,20 +62,40 @@ def blocks(cells: DataFrame, code: str) -> DataFrame:
     return rows.where(F.col("n") == CELLS).drop("n")
 
 
+def _top(codes: np.ndarray) -> np.ndarray:
+    """(blocks, 8): of each row of codes those that most of it has, the lowest on ties; fewer are repeated in turn."""
+    block = np.repeat(np.arange(len(codes)), codes.shape[1])
+    order = np.lexsort((codes.ravel(), block))
+    block, code = block[order], codes.ravel()[order]
+    first = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (code[1:] != code[:-1]))[: len(block)])
+    count = np.diff(np.append(first, len(block)))
+    block, code = block[first], code[first]
+    order = np.lexsort((code, -count, block))
+    code, many = code[order], np.bincount(block, minlength=len(codes))
+    start = np.cumsum(many) - many
+    return code[start[:, None] + np.arange(CANDIDATES) % np.minimum(many, CANDIDATES)[:, None]]
+
+
 def most_used(blocks: DataFrame) -> DataFrame:
     """blocks with codes, the eight codes that most of a block's cells have, the lowest on ties; fewer are repeated in turn."""
-    used = F.transform(F.array_distinct(F.col("cells.code")), lambda c: F.struct((-F.size(F.filter("cells", lambda x: x["code"] == c))).alias("n"), c.alias("code")))
-    top = F.slice(F.array_sort(used), 1, CANDIDATES).getField("code")
-    return blocks.withColumn("_top", top).withColumn("codes", F.transform(F.sequence(F.lit(0), F.lit(CANDIDATES - 1)), lambda k: F.element_at("_top", (k % F.size("_top") + 1).cast("int")))).drop("_top")
 
+    @F.pandas_udf("array<int>")
+    def top(codes: pd.Series) -> pd.Series:
+        return pd.Series(list(_top(np.stack(codes.to_numpy())).astype(np.int32))) if len(codes) else pd.Series([], dtype=object)
+
+    return blocks.withColumn("codes", top(F.col("cells.code")))
 
-def refine(blocks: DataFrame, books: DataFrame, sweeps: int = 4) -> DataFrame:
+
+def refine(blocks: DataFrame, books: DataFrame, sweeps: int = 4, also: tuple[int, ...] = ()) -> DataFrame:
     """(bt, by, bx, before, after, codes): the objective of each block of most_used() before and after so many sweeps, and the
-    cells' codes by then. books(t, colours): the colour (ll, la, lb) of every code, in order, of a frame; a block reads that
-    of its first. A cell whose code is none of the eight begins with the first of them; targets are centred on their mean."""
+    cells' codes by then. also: lesser numbers of sweeps, in order, whose objectives are columns after1 and so on besides.
+    books(t, colours): the colour (ll, la, lb) of every code, in order, of a frame; a block reads that of its first. A cell whose code is none of the eight begins with the first of them; targets are centred on their mean."""
     own = books.where(F.col("t") % SIDE == 0).select(F.expr(f"cast(t div {SIDE} as int)").alias("bt"), "colours")
     shown = blocks.join(own, "bt").withColumn("candidates", F.transform("codes", lambda c: F.element_at("colours", c + 1))).drop("colours")
 
+    kinds = {**dict.fromkeys(("bt", "by", "bx"), "int"), "before": "double", "after": "double", "codes": "array<int>", **{f"after{k}": "double" for k in also}}
+    names = list(kinds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -88,13 +109,16 @@ def refine(blocks: DataFrame, books: DataFrame, sweeps: int = 4) -> DataFrame:
             code = cells.field("code").to_numpy().reshape(-1, CELLS)
             start = (code[:, :, None] == codes[:, None, :]).argmax(2)
             target = target - middle
-            end = sweep(start, target, shades, sweeps)
-            row = np.arange(len(start))[:, None]
-            before, after = (objective(shades[row, q] - target) for q in (start, end))
+            row, steps = np.arange(len(start))[:, None], (0, *also, sweeps)
+            found = [start]
+            for k, more in zip(steps, steps[1:]):
+                found.append(sweep(found[-1], target, shades, more - k))
+            end = found[-1]
+            before, *between, after = (pa.array(objective(shades[row, q] - target)) for q in found)
             chosen = pa.ListArray.from_arrays(pa.array(np.arange(len(end) + 1, dtype=np.int32) * CELLS), pa.array(codes[row, end].ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([col("bt"), col("by"), col("bx"), pa.array(before), pa.array(after), chosen], ["bt", "by", "bx", "before", "after", "codes"])
+            yield pa.RecordBatch.from_arrays([col("bt"), col("by"), col("bx"), before, after, chosen, *between], names)
 
-    return shown.mapInArrow(run, "bt int, by int, bx int, before double, after double, codes array<int>")
+    return shown.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
 
 
 def placed(refined: DataFrame) -> DataFrame:

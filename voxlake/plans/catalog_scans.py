@@ -95,9 +95,9 @@ def g16_both_ways(cells):
 
 
 def colour_books(cells):
-    """(t, colours): the 256 displayed colours of each solved frame, in order."""
+    """(t, colours): the 256 displayed colours of each solved frame that is the first of its blocks, in order."""
     lab = colour.oklab(tuple(F.col(c) / 255 for c in ("r8", "g8", "b8")))
-    rows = solved(cells).table.select("t", F.struct(F.col("idx").alias("k"), *[v.alias(c) for c, v in zip(LAB, lab)]).alias("x"))
+    rows = solved(cells).table.where(F.col("t") % sweep.SIDE == 0).select("t", F.struct(F.col("idx").alias("k"), *[v.alias(c) for c, v in zip(LAB, lab)]).alias("x"))
     return rows.groupBy("t").agg(F.array_sort(F.collect_list("x")).alias("x")).select("t", F.transform("x", lambda x: F.struct(*[x[c].alias(c) for c in LAB])).alias("colours"))
 
 
@@ -110,9 +110,8 @@ def far_blocks(cells):
 def j13_exchange_sweep(cells):
     """The objective of every whole block of the solved cube before and after one and four sweeps over its eight most used
     colours."""
-    blocks, books = far_blocks(cells), colour_books(cells)
-    one, four = (sweep.refine(blocks, books, k).select("bt", "by", "bx", "before", F.col("after").alias(f"after{k}")) for k in (1, 4))
-    return rounded(one.join(four.drop("before"), ["bt", "by", "bx"]), 8)
+    swept = sweep.refine(far_blocks(cells), colour_books(cells), 4, (1,))
+    return rounded(swept.select("bt", "by", "bx", "before", "after1", F.col("after").alias("after4")), 8)
 
 
 @query(None)
