@@ -183,3 +183,11 @@ def test_sweeps_are_shared(spark):
     assert len(both) == 2
     for k, r in both.items():
         assert r.before == one[k].before and abs(r.after1 - one[k].after) < 1e-12 and abs(r.after - four[k].after) < 1e-12 and r.codes == four[k].codes
+
+
+def test_hausdorff_makes_no_rows_of_pairs(spark):
+    """Each pair of places of a colour was a row of an aggregation that one task's memory held."""
+    df = catalog.QUERIES["e21_hausdorff"](spark, D)
+    assert "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
+    got, want = beside_sql(spark, "e21_hausdorff", D)
+    assert got == want and got

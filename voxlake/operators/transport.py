@@ -94,11 +94,12 @@ PLANS = {"greedy": greedy, "reduced": reduced, "cheapest": cheapest}
 _AT_ONCE = {"greedy": _greedy, "reduced": _reduced, "cheapest": _cheapest}
 
 
-def paired(cells: DataFrame, group: str, frames: int) -> DataFrame:
-    """(group, t, a, b): the places (y, x) that a group has in frame t and in the next one of its capture, in order."""
+def paired(cells: DataFrame, group: str, frames: int | None) -> DataFrame:
+    """(group, t, a, b): the places (y, x) that a group has in frame t and in the next one of its capture, in order; frames is
+    a capture's, or None where frames follow one another throughout."""
     own = cells.groupBy(group, "t").agg(F.array_sort(F.collect_list(F.struct("y", "x"))).alias("a"))
-    after = own.select(group, (F.col("t") - 1).alias("t"), F.col("a").alias("b")).where((F.col("t") + 1) % frames != 0)
-    return own.join(after, [group, "t"])
+    after = own.select(group, (F.col("t") - 1).alias("t"), F.col("a").alias("b"))
+    return own.join(after if frames is None else after.where((F.col("t") + 1) % frames != 0), [group, "t"])
 
 
 def _sides(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -175,3 +176,18 @@ def plans(pairs: DataFrame, group: str) -> DataFrame:
             )
 
     return pairs.select(group, "t", "a", "b").mapInArrow(run, f"{group} {kind}, t int, plan string, matches int, cost double, y array<int>, x array<int>, v array<int>, u array<int>")
+
+
+def hausdorff(pairs: DataFrame, group: str) -> DataFrame:
+    """(group, t, hausdorff): the greatest distance of a place of either side to the nearest place of the other, for each row
+    of pairs(group, t, a, b)."""
+    kind = dict(pairs.dtypes)[group]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros(batch.num_rows)
+            for rows, cost, _ in _planned(_sides(batch), []):
+                found[rows] = np.maximum(cost.min(2).max(1), cost.min(1).max(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], [group, "t", "hausdorff"])
+
+    return pairs.select(group, "t", "a", "b").mapInArrow(run, f"{group} {kind}, t int, hausdorff double")

@@ -199,12 +199,10 @@ def e20_overlap(cells):
 
 @query(f"+ {_pair}, d AS (SELECT a.c, a.t, a.y AS ay, a.x AS ax, b.y AS by_, b.x AS bx, pow(a.y - b.y, 2) + pow(a.x - b.x, 2) AS d FROM c a JOIN c b ON a.c = b.c AND b.t = a.t + 1), f AS (SELECT c, t, max(m) AS m FROM (SELECT c, t, min(d) AS m FROM d GROUP BY c, t, ay, ax) GROUP BY 1, 2 UNION ALL SELECT c, t, max(m) FROM (SELECT c, t, min(d) AS m FROM d GROUP BY c, t, by_, bx) GROUP BY 1, 2) SELECT c, t, round(sqrt(max(m)), 6) AS hausdorff FROM f GROUP BY 1, 2")
 def e21_hausdorff(cells):
-    g = graphs(cells)
-    b = g.select("c", (F.col("t") - 1).alias("t"), F.struct("y", "x").alias("b"))
-    d = g.select("c", "t", F.struct("y", "x").alias("a")).join(b, ["c", "t"])
-    d2 = F.pow(F.col("a.y") - F.col("b.y"), 2) + F.pow(F.col("a.x") - F.col("b.x"), 2)
-    ways = [d.groupBy("c", "t", side).agg(F.min(d2).alias("m")).groupBy("c", "t").agg(F.max("m").alias("m")) for side in ("a", "b")]
-    return rounded(ways[0].unionByName(ways[1]).groupBy("c", "t").agg(F.sqrt(F.max("m")).alias("hausdorff")))
+    """A colour's places in two frames are one row, so no pair of places is a row of its own."""
+    from voxlake.operators import transport
+
+    return rounded(transport.hausdorff(transport.paired(graphs(cells), "c", None), "c"))
 
 
 @query(f"+ {_pair} SELECT a.c, a.t, round(avg(sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2))), 6) AS mean FROM c a JOIN c b ON a.c = b.c AND a.t = b.t AND (a.y <> b.y OR a.x <> b.x) GROUP BY 1, 2")
@@ -352,9 +350,6 @@ def g12_epoch_quotas(cells):
     return g.join(bounds, ["t", "c"]).select("t", "y", "x", own[0]["e"].alias("epoch"))
 
 
-# Enumeration and recursion
-
-
 @query("SELECT range // 256 AS t, (range // 16) % 16 AS y, range % 16 AS x FROM range(4096)", on_cube=False)
 def i01_coordinate_grid(spark, sf_dir):
     return spark.range(4096).select(F.expr("id div 256").alias("t"), F.expr("(id div 16) % 16").alias("y"), (F.col("id") % 16).alias("x"))
