@@ -191,3 +191,12 @@ def test_hausdorff_makes_no_rows_of_pairs(spark):
     assert "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
     got, want = beside_sql(spark, "e21_hausdorff", D)
     assert got == want and got
+
+
+def test_epoch_quotas_join_nothing(spark):
+    """Cells met their colour's quotas by a join, whose sorts grew with the table; now frames are dealt to bounded tasks."""
+    plan = catalog.QUERIES["g12_epoch_quotas"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("InMemoryRelation")[0] and "RepartitionByExpression" in plan
+    got, want = beside_sql(spark, "g12_epoch_quotas", D)
+    assert got == want and got
+    assert lineage.tasks(1 << 28) == 1 << 10 and lineage.tasks(0) == 32

@@ -77,19 +77,23 @@ def epoch_targets(total: Column, chances: list[Column]) -> Column:
     return F.transform(F.array_sort(full), lambda x: F.struct((-x["m"]).alias("n"), x["e"].alias("e")))
 
 
-def thread_epochs(cells: DataFrame, side: int, by: list[str]) -> DataFrame:
+def thread_epochs(cells: DataFrame, side: int, by: list[str], mean: float | None = None, tasks: int | None = None) -> DataFrame:
     """cells(t, y, x, s, ...) with epoch: of the cells of each frame's group by, in order of falling s and place, the first
-    go to the epoch of most targets, and so on. Targets follow the group's mean s and the frame's place in its capture."""
+    go to the epoch of most targets, and so on. Targets follow the group's mean s, or the mean given, and the frame's place in
+    its capture; they are made at a group's first cell. tasks: frames are dealt to so many, so that none sorts too much."""
     group = Window.partitionBy("t", *by)
-    rows = cells.withColumn("_n", F.count("*").over(group)).withColumn("_m", F.avg("s").over(group))
-    rows = rows.withColumn("_k", F.row_number().over(group.orderBy(F.desc("s"), "y", "x")))
+    ordered = group.orderBy(F.desc("s"), "y", "x")
+    dealt = cells if tasks is None else cells.repartition(tasks, "t")
+    rows = dealt.withColumn("_n", F.count("*").over(group)).withColumn("_m", F.avg("s").over(group) if mean is None else F.lit(mean))
+    rows = rows.withColumn("_k", F.row_number().over(ordered))
     chances = {f"_p{k}": p for k, p in enumerate(lattice.epoch_probabilities(F.col("t") % side, F.col("_m"), side))}
-    rows = rows.withColumns(chances).withColumn("_targets", epoch_targets(F.col("_n"), [F.col(p) for p in chances]))
+    rows = rows.withColumns(chances).withColumn("_first", F.when(F.col("_k") == 1, epoch_targets(F.col("_n"), [F.col(p) for p in chances])))
+    rows = rows.withColumn("_targets", F.first("_first").over(ordered))
     found = F.aggregate(
         "_targets", F.struct(F.lit(0).cast("long").alias("to"), F.lit(-1).alias("e")),
         lambda z, x: F.struct((z["to"] + x["n"]).alias("to"), F.when((z["e"] < 0) & (F.col("_k") <= z["to"] + x["n"]), x["e"]).otherwise(z["e"]).alias("e")), lambda z: z["e"],
     )
-    return rows.withColumn("epoch", found).drop("_n", "_m", "_k", "_targets", *chances)
+    return rows.withColumn("epoch", found).drop("_n", "_m", "_k", "_first", "_targets", *chances)
 
 
 def scaled_target(n: int) -> list[int]:

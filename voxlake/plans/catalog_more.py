@@ -335,19 +335,10 @@ u AS (SELECT *, sum(quota) OVER (PARTITION BY t, c ORDER BY quota DESC, e) AS up
 SELECT g.t, g.y, g.x, u.e AS epoch FROM g JOIN u ON u.t = g.t AND u.c = g.c AND g.k <= u.upto AND g.k > u.upto - u.quota""")
 def g12_epoch_quotas(cells):
     """Pixels of one colour, nearest first, are dealt to epochs in order of quota; quotas follow the epochs' chances."""
-    from voxlake.operators.codebook import largest_remainder
-
-    side = SIDE
-    c = (F.col("idx") % 64).alias("c")
-    g = cells.select("t", c, "y", "x", F.row_number().over(Window.partitionBy("t", F.col("idx") % 64).orderBy(F.desc("s"), "y", "x")).alias("k"))
-    chance = F.array(*[F.struct(F.lit(e).alias("e"), p.alias("p")) for e, p in enumerate(lattice.epoch_probabilities(F.col("t") % side, F.lit(0.5), side))])
-    sizes = g.groupBy("t", "c").agg(F.count("*").alias("n")).select("*", F.explode(chance).alias("w")).select("t", "c", "n", "w.e", "w.p")
-    quota = largest_remainder(sizes, ["t", "c"], "e", "p", F.col("n"))
-    upto = F.sum("quota").over(Window.partitionBy("t", "c").orderBy(F.desc("quota"), "e"))
-    # Four bounds for each colour of a frame travel as one array, so the join is by key and the range is an expression.
-    bounds = quota.withColumn("upto", upto).groupBy("t", "c").agg(F.array_sort(F.collect_list(F.struct("upto", "quota", "e"))).alias("b"))
-    own = F.filter("b", lambda b: (F.col("k") <= b["upto"]) & (F.col("k") > b["upto"] - b["quota"]))
-    return g.join(bounds, ["t", "c"]).select("t", "y", "x", own[0]["e"].alias("epoch"))
+    from voxlake.operators import lineage, scans
+
+    coded = cells.select("t", "y", "x", "s", (F.col("idx") % 64).alias("c"))
+    return scans.thread_epochs(coded, SIDE, ["c"], 0.5, lineage.tasks(cells.count())).select("t", "y", "x", "epoch")
 
 
 @query("SELECT range // 256 AS t, (range // 16) % 16 AS y, range % 16 AS x FROM range(4096)", on_cube=False)
