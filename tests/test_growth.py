@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import colour
 from voxlake.operators import codebook, descent, ground, lineage, mixtures, sweep
-from voxlake.plans import catalog, catalog_files, catalog_fits, catalog_meters  # noqa: F401  the others add their queries
+from voxlake.plans import catalog, catalog_files, catalog_fits, catalog_meters, catalog_scans  # noqa: F401  the others add their queries
 
 D = "/root/testdata/sf0.001"
 
@@ -200,3 +200,9 @@ def test_epoch_quotas_join_nothing(spark):
     got, want = beside_sql(spark, "g12_epoch_quotas", D)
     assert got == want and got
     assert lineage.tasks(1 << 28) == 1 << 10 and lineage.tasks(0) == 32
+
+
+def test_diffused_epochs_deal_frames(spark):
+    """Targets were made anew for every cell; they are made at a group's first, and frames dealt to tasks by their number."""
+    plan = catalog.QUERIES["g11_diffused_epochs"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [t" in plan and "CASE WHEN (_k" in plan

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxlake.functions import colour, lattice
-from voxlake.operators import scans, sweep, transport
+from voxlake.operators import lineage, scans, sweep, transport
 from voxlake.operators.pairtree import LAB
 
 from .catalog import query, rounded
@@ -25,7 +25,7 @@ def g17_error_diffusion(cells):
 @query(None)
 def g11_diffused_epochs(cells):
     """The index of each cell: colour levels by diffusion with bounded errors, epochs by rank of depth in the colour."""
-    threaded = scans.thread_epochs(scans.diffuse(cells, SIDE), SIDE, ["a", "b", "c"])
+    threaded = scans.thread_epochs(scans.diffuse(cells, SIDE), SIDE, ["a", "b", "c"], tasks=lineage.tasks(cells.count()))
     return threaded.select("t", "y", "x", (F.col("epoch") * 64 + F.col("a") * 16 + F.col("b") * 4 + F.col("c")).cast("int").alias("index"))
 
 
