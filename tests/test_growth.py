@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import colour
-from voxlake.operators import codebook, descent, ground, lineage, mixtures, sweep
+from voxlake.operators import centroids, codebook, descent, ground, lineage, mixtures, sweep
 from voxlake.plans import catalog, catalog_files, catalog_fits, catalog_meters, catalog_scans  # noqa: F401  the others add their queries
 
 D = "/root/testdata/sf0.001"
@@ -206,3 +206,23 @@ def test_diffused_epochs_deal_frames(spark):
     """Targets were made anew for every cell; they are made at a group's first, and frames dealt to tasks by their number."""
     plan = catalog.QUERIES["g11_diffused_epochs"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [t" in plan and "CASE WHEN (_k" in plan
+
+
+def test_lloyd_steps_are_taken_in_one_task(spark):
+    """Each step was a join of all points and a written table; now a group's points are dealt once and no job runs before."""
+    rng = np.random.default_rng(9)
+    places = [(t, i, *np.round(rng.random(3), 2).tolist()) for t, n in ((0, 40), (1, 3), (2, 700)) for i in range(n)]
+    points = spark.createDataFrame(places, "t int, i int, r double, g double, b double")
+    found = centroids.lloyd(points, ["t"], ["r", "g", "b"], [F.col("g"), F.col("i")], 8)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    got = {r.t: [tuple(c) for c in r.centres] for r in found.collect()}
+    for t, n in ((0, 40), (1, 3), (2, 700)):
+        mine = sorted((g, i, r, b) for k, i, r, g, b in places if k == t)
+        own = [(r, g, b) for g, _, r, b in mine]
+        centres = [own[j * n // 8] for j in range(8)]
+        for _ in range(8):
+            near = [min(range(8), key=lambda j: (round(sum((a - c) ** 2 for a, c in zip(p, centres[j])), 9), j)) for p in own]
+            held = [[p for p, k in zip(own, near) if k == j] for j in range(8)]
+            centres = [tuple(round(sum(x) / len(h), 9) for x in zip(*h)) if h else c for h, c in zip(held, centres)]
+        assert np.allclose(got[t], centres, atol=2e-9)
