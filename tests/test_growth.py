@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxlake.functions import colour
 from voxlake.operators import centroids, codebook, descent, ground, lineage, mixtures, sweep
 from voxlake.plans import catalog, catalog_files, catalog_fits, catalog_meters, catalog_scans  # noqa: F401  the others add their queries
+from voxlake.sources import corpora
 
 D = "/root/testdata/sf0.001"
 
@@ -226,3 +227,12 @@ def test_lloyd_steps_are_taken_in_one_task(spark):
             held = [[p for p, k in zip(own, near) if k == j] for j in range(8)]
             centres = [tuple(round(sum(x) / len(h), 9) for x in zip(*h)) if h else c for h, c in zip(held, centres)]
         assert np.allclose(got[t], centres, atol=2e-9)
+
+
+def test_samples_are_made_once(spark):
+    """Filters pushed below the projections repeated a sample's expressions, its JSON and its parse in each of them."""
+    pairs = spark.range(3).select(*[F.col("id").cast("string").alias(c) for c in ("source", "token", "target")], F.col("id").cast("int").alias("steps"))
+    samples, _ = corpora.from_lines(corpora.to_lines(pairs), corpora.PAIR)
+    plan = samples._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructsToJsonEvaluator") == 1 and plan.count("from_json(") == 1
+    assert sorted(r.steps for r in samples.collect()) == [0, 1, 2]

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Trees: a frame's nodes in the order of their depth and path, and what colours to find in it.
@@ -21,14 +21,19 @@ PAIR = "source string, token string, target string, steps int"
 _BAD = "_line"
 
 
+def _once(x: Column) -> Column:
+    """x as a generated column: filters on it don't repeat the expression, as they do where they are pushed below a projection."""
+    return F.explode(F.array(x))
+
+
 def to_lines(samples: DataFrame) -> DataFrame:
     """(value): one JSON object a row, null fields left out."""
-    return samples.select(F.to_json(F.struct("*")).alias("value"))
+    return samples.select(_once(F.to_json(F.struct("*"))).alias("value"))
 
 
 def from_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     """(samples, bad): rows of the schema from lines(value), and the lines (value) that are none. Empty lines are neither."""
-    full = lines.where(F.trim("value") != "").select("value", F.from_json("value", f"{schema}, {_BAD} string", {"columnNameOfCorruptRecord": _BAD, "mode": "PERMISSIVE"}).alias("x"))
+    full = lines.where(F.trim("value") != "").select("value", _once(F.from_json("value", f"{schema}, {_BAD} string", {"columnNameOfCorruptRecord": _BAD, "mode": "PERMISSIVE"})).alias("x"))
     bad = F.col("x").isNull() | F.col(f"x.{_BAD}").isNotNull()
     return full.where(~bad).select("x.*").drop(_BAD), full.where(bad).select("value")
 
