@@ -46,3 +46,14 @@ def test_checked_keeps_other_columns(spark):
     rows = bpe.checked(df, bpe.tokenizer(spark)).collect()
     assert sorted((r.doc_id or 0, r.lang, r.n_tokens > 0, r.decoded) for r in rows) == [(0, "a", False, ""), (2, None, True, "naïve  x"), (2, None, True, "naïve  x")]
     assert all(len(r.tokens) == r.n_tokens for r in rows)
+
+
+def test_plans_do_not_spell_the_rank_map(spark):
+    """The map was a literal of the plan, whose text the driver wrote again and again: megabytes each time."""
+    docs = spark.createDataFrame([(0, "some words")], "doc_id long, text string")
+    plan = bpe.digests(docs, bpe.tokenizer(spark))._jdf.queryExecution().optimizedPlan()
+    seen = [plan]
+    for node in seen:
+        inner = node.children()
+        seen += [inner.apply(k) for k in range(inner.size())]
+        assert len(node.simpleString(25)) < 300_000

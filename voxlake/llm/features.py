@@ -95,7 +95,7 @@ def labelled_sample(docs: DataFrame, grades: DataFrame, bits: int, rows: int, ce
     doc, grade = (got.column(c).to_numpy() for c in ("doc_id", "grade"))
     lists = [got.column(c).combine_chunks() for c in ("term", "count")]
     cuts = np.append(0, np.cumsum(np.asarray(lists[0].value_lengths())))
-    term, count = np.asarray(lists[0].flatten()).astype(np.int64), np.asarray(lists[1].flatten()).astype(np.float64)
+    term, count = (np.asarray(x.flatten()) for x in lists)  # packed() widens them, once
     have = dict(zip(*(x.tolist() for x in np.unique(grade, return_counts=True))))
     return [
         (d, g, counts[g] / have[g], term[a:b], count[a:b]) for d, g, a, b in zip(doc.tolist(), grade.tolist(), cuts[:-1].tolist(), cuts[1:].tolist())
@@ -107,8 +107,8 @@ def packed(sample: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     grade = np.array([s[1] for s in sample], np.int64)
     weight = np.array([s[2] for s in sample])
     start = np.append(0, np.cumsum([len(s[3]) for s in sample])).astype(np.int64)
-    term = np.concatenate([s[3] for s in sample]) if sample else np.zeros(0, np.int64)
-    count = np.concatenate([s[4] for s in sample]) if sample else np.zeros(0)
+    term = np.concatenate([s[3] for s in sample], dtype=np.int64) if sample else np.zeros(0, np.int64)
+    count = np.concatenate([s[4] for s in sample], dtype=np.float64) if sample else np.zeros(0)
     return grade, weight / weight.mean() if len(weight) else weight, start, term, count
 
 
