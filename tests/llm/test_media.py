@@ -215,3 +215,23 @@ def test_odd_rows(spark):
     assert media.read_back(media.store(df.limit(0))).count() == 0
     shapes = {r.doc_id: (r.height, r.width, len(r.rgb)) for r in media.tensors(stored.where("doc_id < 6")).collect()}
     assert shapes[5] == (8, 8, 192) and shapes[1] == (8, 8, 192)
+
+
+def test_stored_files_have_colour(spark):
+    """Files were grey, so that no chroma was stored, decoded or brought to full resolution; the features are the tensor's."""
+    texts = ["a", "x" * 64, "y" * 65, "Some words. " * 40, "z\x00é" * 3000, "w" * 1_700_000]
+    stored = media.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    files = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    got = {r.doc_id: r for r in media.read_back(stored).collect()}
+    for i, t in enumerate(texts):
+        d = media.Decoder([files[i]])
+        assert [(c.h, c.v) for c in d.images[0].components] == [(2, 2), (1, 1), (1, 1)]
+        raw = t.encode()
+        assert media.payloads(d)[0] == raw + bytes(-len(raw) % 64)
+        if i == 5:
+            continue
+        pixels = media.rgb(d, d.images[0]).reshape(-1, 3).astype(float)
+        means = [f"{c}={m:.4f}/{v:.4f}" for c, m, v in zip("rgb", pixels.mean(0), pixels.std(0))]
+        assert got[i].feature == f"{d.images[0].width}x{d.images[0].height} {' '.join(means)}"
+    chroma = media.rgb(d := media.Decoder([files[3]]), d.images[0]).astype(int)
+    assert np.ptp(chroma, axis=2).max() > 0

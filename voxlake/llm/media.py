@@ -5,8 +5,9 @@ coefficient array: every restart interval is a lane, and lanes read one Huffman
 are dequantized and inverse-transformed, chroma is upsampled, and colours become RGB. Any baseline-free progressive file
 with 8-bit samples, one or three components and integer sampling ratios can be read.
 
-A payload is stored in a grey image's coefficients, the format's own unit, 64 bytes a block in zigzag order; a byte b is
-the coefficient b + 2, which is not zero in any scan.
+A payload is stored in the coefficients, the format's own unit, of a colour image whose chroma has half the resolution both
+ways, 64 bytes a block in zigzag order: the luma's blocks first, then those of the two chroma components. A payload of one
+block is an image of 8 x 8 whose chroma is filled up. A byte b is the coefficient b + 2, which is not zero in any scan.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from .text import pieces, utf8
 
 BLOCK = 64
 INTERVAL = 4  # blocks between restart markers
-WIDEST = 8000  # blocks
+WIDEST = 4000  # units of 16 x 16 pixels
+SAMPLING = ((2, 2), (1, 1), (1, 1))  # of the components, across and down
 OFFSET = 2
 
 # The zigzag order by its rule: anti-diagonals in turn, odd ones downwards.
@@ -112,22 +114,26 @@ def _stream(value: np.ndarray, bits: np.ndarray, interval: np.ndarray, last: np.
 
 def encode(data: np.ndarray, blocks: np.ndarray) -> list[bytes]:
     """Progressive JPEG files of payloads: data holds their bytes one after another, blocks the number of 64-byte blocks."""
-    tall = -(-blocks // WIDEST)
-    wide = -(-blocks // tall)
-    room = wide * tall
+    units = -(-blocks // sum(h * v for h, v in SAMPLING))
+    tall = -(-units // WIDEST)
+    wide = -(-units // tall)
+    single = blocks == 1
+    each = np.stack([np.where(single, 1, wide * tall * h * v) for h, v in SAMPLING], 1)  # blocks of each file's components
+    room = each.ravel()
     start = np.append(0, np.cumsum(room))
     coef = np.full((int(start[-1]), BLOCK), OFFSET, np.int64)
     own = np.repeat(np.arange(len(blocks)), blocks)
     inner = np.arange(len(own)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    coef[start[own] + inner] = data.reshape(-1, BLOCK) + np.int64(OFFSET)
-    file = np.repeat(np.arange(len(blocks)), room)
-    within = np.arange(len(file)) - start[file]
-    per_file = -(-room // INTERVAL)
-    first_interval = np.append(0, np.cumsum(per_file))
-    interval = first_interval[file] + within // INTERVAL
-    owner = np.repeat(np.arange(len(blocks)), per_file)
+    coef[start[len(SAMPLING) * own] + inner] = data.reshape(-1, BLOCK) + np.int64(OFFSET)
+    # Each component is a row of blocks of its own: all scans are of one component.
+    part = np.repeat(np.arange(len(room)), room)
+    within = np.arange(len(part)) - start[part]
+    per_part = -(-room // INTERVAL)
+    first_interval = np.append(0, np.cumsum(per_part))
+    interval = first_interval[part] + within // INTERVAL
+    owner = np.repeat(np.arange(len(room)), per_part)
     number = np.arange(len(owner)) - first_interval[owner]
-    last = number == per_file[owner] - 1
+    last = number == per_part[owner] - 1
     (dc, dc_len), (ac, ac_len) = codes(DC_TABLE), codes(AC_TABLE)
     scans = []
     for ss, se, high, low in SCANS:
@@ -150,16 +156,18 @@ def encode(data: np.ndarray, blocks: np.ndarray) -> list[bytes]:
             bits, where = np.tile([ac_len[0], 32, 31], len(coef)), np.repeat(interval, 3)
         scans.append(_stream(value, bits, where, last, number % 8))
     head = _segment(0xDB, bytes([0] + [1] * 64)) + _segment(0xC4, b"\x00" + DC_TABLE) + _segment(0xC4, b"\x10" + AC_TABLE) + _segment(0xDD, struct.pack(">H", INTERVAL))
-    orders = [_segment(0xDA, bytes([1, 1, 0, ss, se, high << 4 | low])) for ss, se, high, low in SCANS]
+    orders = [[_segment(0xDA, bytes([1, c + 1, 0, ss, se, high << 4 | low])) for c in range(len(SAMPLING))] for ss, se, high, low in SCANS]
     raw = [(out.tobytes(), begin[first_interval].tolist()) for out, begin in scans]
+    shape = b"".join(bytes([c + 1, h << 4 | v, 0]) for c, (h, v) in enumerate(SAMPLING))
+    side = np.where(single, 8, 16)
     return [
         b"".join(
             [
                 b"\xff\xd8",
                 _segment(0xFE, struct.pack(">Q", int(blocks[i]))),
-                _segment(0xC2, struct.pack(">BHHB", 8, 8 * int(tall[i]), 8 * int(wide[i]), 1) + bytes([1, 0x11, 0])),
+                _segment(0xC2, struct.pack(">BHHB", 8, int(side[i] * tall[i]), int(side[i] * wide[i]), len(SAMPLING)) + shape),
                 head,
-                *(x for order, (r, b) in zip(orders, raw) for x in (order, r[b[i] : b[i + 1]])),
+                *(x for order, (r, b) in zip(orders, raw) for c, o in enumerate(order) for x in (o, r[b[len(order) * i + c] : b[len(order) * i + c + 1]])),
                 b"\xff\xd9",
             ]
         )
@@ -440,6 +448,31 @@ def rgb(d: Decoder, image: Image) -> np.ndarray:
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
+def channel_sums(d: Decoder) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, sums of squares), (images, 3), of the full-resolution R, G and B of images that encode() made: rgb() for all at
+    once, a quarter of each unit of 16 x 16 pixels at a time."""
+    luma, chroma = ([i.components[k] for i in d.images] for k in (0, 1))
+    units = np.array([c.stride for c in chroma]) * [c.tall for c in chroma]
+    own = np.repeat(np.arange(len(units)), units)
+    k = np.arange(len(own)) - np.repeat(np.cumsum(units) - units, units)
+    across = np.array([c.stride for c in chroma])[own]
+    y, x = k // across, k % across
+    first, stride, tall, wide = (np.array([getattr(c, name) for c in luma])[own] for name in ("first", "stride", "tall", "wide"))
+    s = samples(d.coef, 1)
+    cb, cr = (s[np.array([i.components[c].first for i in d.images])[own] + k].astype(np.float32) - 128 for c in (1, 2))
+    one, two = np.zeros((len(units), 3)), np.zeros((len(units), 3))
+    for j in range(2):
+        for i in range(2):
+            inside = np.flatnonzero((2 * y + j < tall) & (2 * x + i < wide))
+            light = s[(first + (2 * y + j) * stride + 2 * x + i)[inside]].astype(np.float32)
+            b, r = (c[inside, 4 * j : 4 * j + 4, 4 * i : 4 * i + 4].repeat(2, 1).repeat(2, 2) for c in (cb, cr))
+            for c, v in enumerate((light + 1.402 * r, light - 0.344136 * b - 0.714136 * r, light + 1.772 * b)):
+                v = np.clip(np.rint(v), 0, 255).astype(np.int32).reshape(len(v), BLOCK)
+                one[:, c] += np.bincount(own[inside], v.sum(1), len(units))
+                two[:, c] += np.bincount(own[inside], (v * v).sum(1), len(units))
+    return one, two
+
+
 def payloads(d: Decoder) -> list[bytes]:
     """The bytes that encode() stored in each file."""
     raw = (d.coef - OFFSET).astype(np.uint8)
@@ -488,14 +521,12 @@ def read_back(media: DataFrame) -> DataFrame:
             files = batch.column(2).to_pylist()
             d = Decoder(files)
             got = payloads(d)
-            # All images here are grey, in one component with blocks of ones to divide by: their samples at once.
-            s = samples(d.coef, 1)
-            one, two = s.sum((1, 2), dtype=np.int64), np.square(s, dtype=np.int64).sum((1, 2))
-            first = np.array([i.components[0].first for i in d.images])
-            one, two = np.add.reduceat(one, first), np.add.reduceat(two, first)
-            pixels = [i.height * i.width for i in d.images]
-            means = [f"{int(a) / n:.4f}/{max(0, int(b) / n - (int(a) / n) ** 2) ** 0.5:.4f}" for a, b, n in zip(one, two, pixels)]
-            feature = [f"{i.width}x{i.height} r={m} g={m} b={m}" for i, m in zip(d.images, means)]
+            one, two = (x.tolist() for x in channel_sums(d))
+            feature = []
+            for i, a, b in zip(d.images, one, two):
+                n = i.height * i.width
+                means = [f"{c}={p / n:.4f}/{max(0, q / n - (p / n) ** 2) ** 0.5:.4f}" for c, p, q in zip("rgb", a, b)]
+                feature.append(f"{i.width}x{i.height} {' '.join(means)}")
             sha = lambda x: hashlib.sha256(x).hexdigest()
             cols = [
                 pa.array([len(p) for p in got]), pa.array([sha(p) for p in got]), pa.array([zlib.crc32(p[-BLOCK:]) for p in got], pa.int64()),
