@@ -67,18 +67,20 @@ def tables(parsed: DataFrame) -> DataFrame:
     """(capture, i, idx, r8, g8, b8): the 256 colours of every parsed frame."""
     number = lambda k: F.get("numbers", F.lit(k))
     key = F.struct("capture", "i").alias("t")
-    frames = parsed.select(key, "version", *[number(k).alias(c) for k, c in enumerate(NUMBERS)], (number(12) != 0).alias("capped"), "hue")
-    frames = frames.withColumn("axes", pairtree.axes()).withColumn("steps", pairtree.generations())
-    trees = pairtree.figures(frames.where("version = 3"), ["t"])
-    points = pairtree.displayed(pairtree.shells(frames.where("version < 3"), ["t"]))
-    start = F.element_at(F.array(*[F.lit(sum(pairtree.LADDER[:k])) for k in range(len(pairtree.LADDER))]), F.col("level") + 1)
-    leaves = trees.unionByName(points.select("t", (start + F.col("j")).alias("leaf"), *LAB, "r8", "g8", "b8"))
-    first = leaves.where("leaf = 0").select("t", F.col("ll").alias("light"))
     old = F.col("version") == 1
     # A law that is neither capped nor fitted maps log chroma without a bound, which a cap at infinity is.
-    laws = frames.join(first, "t").select(
-        "t", (~old & F.coalesce("hue.fitted", F.lit(False))).alias("fitted"), F.when(old, solve.PRIOR["light"] - F.col("light")).otherwise(F.col("delta_l")).alias("delta_l"),
-        F.when(old, solve.PRIOR["alpha"]).otherwise(F.col("alpha")).alias("alpha"), F.when(old, solve.PRIOR["beta"]).otherwise(F.col("beta")).alias("beta"),
-        F.when(old, 1.0).otherwise(F.coalesce("hue.a", F.lit(1.0))).alias("rot_a"), F.when(old, 0.0).otherwise(F.coalesce("hue.b", F.lit(0.0))).alias("rot_b"), (old | F.col("capped")).alias("capped"),
-    )
-    return solve.table(leaves, laws).select("t.capture", "t.i", "idx", "r8", "g8", "b8")
+    laws = {
+        "fitted": ~old & F.coalesce(F.col("hue.fitted"), F.lit(False)), "capped": old | (number(12) != 0), "delta_l": number(9), "alpha": F.when(old, solve.PRIOR["alpha"]).otherwise(number(10)),
+        "beta": F.when(old, solve.PRIOR["beta"]).otherwise(number(11)), "rot_a": F.when(old, 1.0).otherwise(F.coalesce("hue.a", F.lit(1.0))), "rot_b": F.when(old, 0.0).otherwise(F.coalesce("hue.b", F.lit(0.0))),
+    }
+    frames = parsed.select(key, "version", *[number(k).alias(c) for k, c in enumerate((*LAB, *COVARIANCE))], *[laws[c].alias(c) for c in solve.LAW])
+    # A row of a frame carries its law to its leaves, so that no leaf is joined.
+    by = ["t", *solve.LAW]
+    trees = pairtree.figures(frames.where("version = 3").withColumn("axes", pairtree.axes()).withColumn("steps", pairtree.generations()), by)
+    points = pairtree.displayed(pairtree.shells(frames.where("version < 3").withColumn("axes", pairtree.axes()), [*by, "version"]))
+    start = F.element_at(F.array(*[F.lit(sum(pairtree.LADDER[:k])) for k in range(len(pairtree.LADDER))]), F.col("level") + 1)
+    leaf = (start + F.col("j")).alias("leaf")
+    first = points.where("version = 1 and level = 0").select("t", F.col("ll").alias("light"))
+    shown = points.join(first, "t", "left").withColumn("delta_l", F.coalesce(solve.PRIOR["light"] - F.col("light"), "delta_l"))
+    leaves = trees.unionByName(shown.select(*by, leaf, *LAB, "r8", "g8", "b8"))
+    return solve.table(leaves).select("t.capture", "t.i", "idx", "r8", "g8", "b8")
