@@ -58,3 +58,14 @@ def test_bytes_have_the_colours_of_the_expressions(spark):
     rows = spark.createDataFrame([(int(n),) for n in rgb], "n int")
     want = rows.select("n", *[c.alias(k) for c, k in zip(colour.oklab(tuple(F.shiftright("n", k).bitwiseAND(255) / 255 for k in (16, 8, 0))), "lab")]).collect()
     assert np.allclose(colour.oklab_of(np.array([r.n for r in want], np.int32)), [r[1:] for r in want], rtol=0, atol=1e-14)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_indices_take_one_deal_of_frames(solved):
+    """Cells were dealt for the rungs, written, and dealt again for the dither."""
+    plan = plan_of(solved[0].cells.select("t", "y", "x", "index"))
+    assert plan.count("Join Inner") == 1 and plan.count("MapInArrow") == 1 and plan.count("collect_list(struct(") == 2
+    assert "collect_list(struct(capture" in plan and "place" in plan
