@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import colour
-from voxlake.operators import lineage, packing, solve
-from voxlake.plans import catalog_solve
+from voxlake.operators import descent, lineage, packing, pairtree, solve
+from voxlake.operators.pairtree import LAB
+from voxlake.plans import catalog, catalog_solve
 from voxlake.plans.cube import cube
 
 D = "/root/testdata/sf0.001"
@@ -69,3 +70,29 @@ def test_indices_take_one_deal_of_frames(solved):
     plan = plan_of(solved[0].cells.select("t", "y", "x", "index"))
     assert plan.count("Join Inner") == 1 and plan.count("MapInArrow") == 1 and plan.count("collect_list(struct(") == 2
     assert "collect_list(struct(capture" in plan and "place" in plan
+
+
+@pytest.mark.parametrize("names", [("best",), ("best", "greedy")])
+def test_ways_of_descent_share_the_deal(solved, names):
+    """Cells with their indices were dealt by frame once more for the exhaustive search, and again for the greedy one."""
+    done = solved[0]
+    ways = {"best": descent.all_leaves, "greedy": descent.by_means}
+    rows = done.assigned(**{n: ways[n] for n in names})
+    assert plan_of(rows).count("Join Inner") == 1 and plan_of(rows).count("MapInArrow") == 1
+    books = descent.books(done.leaves, done.nodes16, ["t"])
+    cells = done.cells.select("t", "y", "x", *LAB)
+    alone = {"best": descent.exhaustive(cells, books, ["t"])}
+    if "greedy" in names:
+        alone["greedy"] = descent.greedy(cells, books, pairtree.nodes(done.frames, ["t"], 1, 1), ["t"])
+    got = {(r.t, r.y, r.x): r for r in rows.collect()}
+    assert len(got) == 6000
+    for n in names:
+        want = alone[n].collect()
+        assert len(want) == 6000 and all((lambda g: g[n] == r.leaf and abs(g[f"{n}_d"] - r.d) < 1e-12)(got[r.t, r.y, r.x]) for r in want)
+
+
+@pytest.mark.parametrize("name", ["e02_assign_roles"])
+def test_searches_of_leaves_deal_no_cells(spark, solved, monkeypatch, name):
+    monkeypatch.setattr(catalog_solve, "solved", lambda cells: solved[0])
+    plan = plan_of(catalog.QUERIES[name](spark, D))
+    assert plan.count("collect_list(") == 2 and plan.count("MapInArrow") == 1
