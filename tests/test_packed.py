@@ -91,7 +91,7 @@ def test_ways_of_descent_share_the_deal(solved, names):
         assert len(want) == 6000 and all((lambda g: g[n] == r.leaf and abs(g[f"{n}_d"] - r.d) < 1e-12)(got[r.t, r.y, r.x]) for r in want)
 
 
-@pytest.mark.parametrize("name", ["e02_assign_roles", "e05_exhaustive_leaf"])
+@pytest.mark.parametrize("name", ["e02_assign_roles", "e03_three_rungs", "e04_greedy_descent", "e05_exhaustive_leaf"])
 def test_searches_of_leaves_deal_no_cells(spark, solved, monkeypatch, name):
     monkeypatch.setattr(catalog_solve, "solved", lambda cells: solved[0])
     plan = plan_of(catalog.QUERIES[name](spark, D))
