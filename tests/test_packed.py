@@ -1,13 +1,16 @@
 """Cells and leaves that lie and travel packed by frame."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import colour
-from voxlake.operators import descent, lineage, packing, pairtree, solve
+from voxlake.operators import descent, lineage, packing, pairtree, solve, sweep
 from voxlake.operators.pairtree import LAB
-from voxlake.plans import catalog, catalog_solve
+from voxlake.plans import catalog, catalog_scans, catalog_solve
 from voxlake.plans.cube import cube
 
 D = "/root/testdata/sf0.001"
@@ -96,3 +99,38 @@ def test_searches_of_leaves_deal_no_cells(spark, solved, monkeypatch, name):
     monkeypatch.setattr(catalog_solve, "solved", lambda cells: solved[0])
     plan = plan_of(catalog.QUERIES[name](spark, D))
     assert plan.count("collect_list(") == 2 and plan.count("MapInArrow") == 1
+
+
+def test_far_blocks_are_refined_in_place(spark, monkeypatch):
+    """Cells were dealt to blocks and joined to all cells again. Whole and part-filled blocks, far ones and others; all places
+    stay, and only those of whole far blocks move."""
+    rng = np.random.default_rng(3)
+    cells = []
+    for t, y, x in np.argwhere(np.ones((6, 8, 8), bool)).tolist():
+        far = (t // 4 + y // 4 + x // 4) % 2 == 0
+        cells.append((t, y, x, int(rng.integers(128, 160)), 0.99 if far or rng.random() < 0.5 else 0.5, *map(float, rng.random(3))))
+    df = spark.createDataFrame(cells, "t int, y int, x int, index int, pull double, ll double, la double, lb double")
+
+    def run(batches):
+        for batch in [b for b in batches if b.num_rows]:
+            place = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+            yield pa.RecordBatch.from_arrays(sweep.arrays(place, dict(zip(("code", "pull", *LAB), batch.columns[3:]))), ["bt", "by", "bx", "cells"])
+
+    cell = "struct<v:int,code:int,pull:double,ll:double,la:double,lb:double>"
+    blocks = df.coalesce(1).mapInArrow(run, f"bt int, by int, bx int, cells array<{cell}>")
+    table = spark.createDataFrame([(t, i, *map(int, rng.integers(0, 256, 3))) for t in range(6) for i in range(256)], "t int, idx int, r8 int, g8 int, b8 int")
+    monkeypatch.setattr(catalog_scans, "solved", lambda cells: SimpleNamespace(blocks=blocks, table=table))
+    found = catalog.QUERIES["j15_refine_far_blocks"](spark, D)
+    assert "LeftOuter" not in plan_of(found)
+    whole = sweep.most_used(sweep.blocks(df.withColumn("far", F.col("pull") >= 31 / 32), "index").where(F.forall("cells", lambda c: c["far"])))
+    want = {c[:3]: c[3] for c in cells}
+    moved = {(r.t, r.y, r.x): r.code for r in sweep.placed(sweep.refine(whole, catalog_scans.colour_books(None))).collect()}
+    assert len(moved) == 2 * 64 and any(want[k] != v for k, v in moved.items())
+    got = [((r.t, r.y, r.x), r["index"]) for r in found.collect()]
+    assert len(got) == len(cells) and dict(got) == want | moved
+
+
+def test_blocks_of_the_solve_are_its_cells(solved):
+    rows = sweep.unpacked(solved[0].blocks).collect()
+    assert len(rows) == 6000 and {tuple(r) for r in rows} == {tuple(r) for r in solved[0].cells.select("t", "y", "x", "index").collect()}
+    assert "collect_list(struct(v" not in plan_of(solved[0].blocks)

@@ -62,6 +62,18 @@ def blocks(cells: DataFrame, code: str) -> DataFrame:
     return rows.where(F.col("n") == CELLS).drop("n")
 
 
+def arrays(place: np.ndarray, columns: dict[str, pa.Array]) -> list[pa.Array]:
+    """The columns bt, by, bx and cells of blocks() for cells at place (n, 3: t, y, x), all in one batch: each cell has its
+    place v in its block, and the columns given."""
+    key, v = place // SIDE, place[:, 2] % SIDE + SIDE * (place[:, 1] % SIDE + SIDE * (place[:, 0] % SIDE))
+    order = np.lexsort((v, *key.T[::-1]))
+    key = key[order]
+    first = np.flatnonzero((np.diff(key, axis=0, prepend=-1) != 0).any(1))
+    own = pa.array(order)
+    cells = pa.StructArray.from_arrays([pa.array(v[order].astype(np.int32)), *[c.take(own) for c in columns.values()]], ["v", *columns])
+    return [*[pa.array(k.astype(np.int32)) for k in key[first].T], pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), cells)]
+
+
 def _top(codes: np.ndarray) -> np.ndarray:
     """(blocks, 8): of each row of codes those that most of it has, the lowest on ties; fewer are repeated in turn."""
     block = np.repeat(np.arange(len(codes)), codes.shape[1])
@@ -123,6 +135,14 @@ def refine(blocks: DataFrame, books: DataFrame, sweeps: int = 4, also: tuple[int
 
 def placed(refined: DataFrame) -> DataFrame:
     """(t, y, x, code) of refined(bt, by, bx, codes)."""
-    rows = refined.select("bt", "by", "bx", F.posexplode("codes").alias("v", "code"))
+    return _at(refined.select("bt", "by", "bx", F.posexplode("codes").alias("v", "code")))
+
+
+def unpacked(blocks: DataFrame) -> DataFrame:
+    """(t, y, x, code) of blocks(bt, by, bx, cells), which need not be whole."""
+    return _at(blocks.select("bt", "by", "bx", F.inline("cells")))
+
+
+def _at(rows: DataFrame) -> DataFrame:
     at = {"t": "bt * 4 + v div 16", "y": "by * 4 + v div 4 % 4", "x": "bx * 4 + v % 4"}
     return rows.select(*[F.expr(f"cast({e} as int)").alias(c) for c, e in at.items()], "code")

@@ -101,26 +101,22 @@ def colour_books(cells):
     return rows.groupBy("t").agg(F.array_sort(F.collect_list("x")).alias("x")).select("t", F.transform("x", lambda x: F.struct(*[x[c].alias(c) for c in LAB])).alias("colours"))
 
 
-def far_blocks(cells):
-    far = (F.col("pull") >= 31 / 32) & (F.col("index") >= 128)
-    return sweep.most_used(sweep.blocks(solved(cells).cells.withColumn("far", far), "index"))
-
-
 @query(None)
 def j13_exchange_sweep(cells):
     """The objective of every whole block of the solved cube before and after one and four sweeps over its eight most used
     colours."""
-    swept = sweep.refine(far_blocks(cells), colour_books(cells), 4, (1,))
+    whole = solved(cells).blocks.where(F.size("cells") == sweep.CELLS)
+    swept = sweep.refine(sweep.most_used(whole), colour_books(cells), 4, (1,))
     return rounded(swept.select("bt", "by", "bx", "before", "after1", F.col("after").alias("after4")), 8)
 
 
 @query(None)
 def j15_refine_far_blocks(cells):
     """The solved cube's indices, those of blocks that are far throughout after four sweeps."""
-    far = far_blocks(cells).where(F.forall("cells", lambda x: x["far"]))
-    moved = sweep.placed(sweep.refine(far, colour_books(cells)))
-    kept = solved(cells).cells.select("t", "y", "x", "index").join(moved, ["t", "y", "x"], "left")
-    return kept.select("t", "y", "x", F.coalesce("code", "index").alias("index"))
+    blocks = solved(cells).blocks
+    far = F.forall("cells", lambda x: F.coalesce((x["pull"] >= 31 / 32) & (x["code"] >= 128), F.lit(False))) & (F.size("cells") == sweep.CELLS)
+    moved = sweep.placed(sweep.refine(sweep.most_used(blocks.where(far)), colour_books(cells)))
+    return sweep.unpacked(blocks.where(~far)).unionByName(moved).withColumnRenamed("code", "index")
 
 
 # Transport
