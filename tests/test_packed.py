@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxlake.functions import colour
 from voxlake.operators import descent, lineage, packing, pairtree, solve, sweep
 from voxlake.operators.pairtree import LAB
-from voxlake.plans import catalog, catalog_scans, catalog_solve
+from voxlake.plans import catalog, catalog_files, catalog_scans, catalog_solve
 from voxlake.plans.cube import cube
 
 D = "/root/testdata/sf0.001"
@@ -134,3 +134,11 @@ def test_blocks_of_the_solve_are_its_cells(solved):
     rows = sweep.unpacked(solved[0].blocks).collect()
     assert len(rows) == 6000 and {tuple(r) for r in rows} == {tuple(r) for r in solved[0].cells.select("t", "y", "x", "index").collect()}
     assert "collect_list(struct(v" not in plan_of(solved[0].blocks)
+
+
+def test_palettes_need_no_indices(spark, solved, monkeypatch):
+    """The first frames' palettes were read beside all indices, which were made a second time."""
+    monkeypatch.setattr(catalog_files, "solved", lambda cells: solved[0])
+    found = catalog.QUERIES["a06_gif_palette"](spark, D)
+    assert plan_of(found).count("collect_list(struct(capture") == 1
+    assert [tuple(r) for r in found.collect()] == [(0, True)]  # the second capture's last frame is part-filled
