@@ -142,3 +142,26 @@ def test_palettes_need_no_indices(spark, solved, monkeypatch):
     found = catalog.QUERIES["a06_gif_palette"](spark, D)
     assert plan_of(found).count("collect_list(struct(capture") == 1
     assert [tuple(r) for r in found.collect()] == [(0, True)]  # the second capture's last frame is part-filled
+
+
+def test_tables_of_traces_meet_frame_by_frame(spark, solved, monkeypatch):
+    """Colours met one by one, and leaves their laws; now rows of frames carry both."""
+    monkeypatch.setattr(catalog_files, "solved", lambda cells: solved[0])
+    rows = catalog.QUERIES["a09_trace_tables"](spark, D)
+    joins = [line for line in plan_of(rows).splitlines() if "Join" in line]
+    assert sum("FullOuter" in line for line in joins) == 1 and not any("idx" in line for line in joins)
+    assert sum("fitted" in line for line in joins) == 0 and dict(rows.dtypes) == dict.fromkeys(("t", "colours", "differ"), "bigint")
+    assert sorted(tuple(r) for r in rows.collect()) == [(t, 256, 0) for t in range(24)]
+
+
+def test_colours_that_traces_lack_or_change_differ(spark, solved, monkeypatch):
+    """A frame that only one side has, a colour that one side lacks, and one that differs."""
+    ours = [(t, i, i, 7, t) for t in range(3) for i in range(4)]
+    theirs = [(0, t, i, i, 7 + (t == 1 and i == 2), t) for t in (1, 2, 3) for i in range(4) if (t, i) != (2, 3)]
+    table = spark.createDataFrame(ours, "t int, idx int, r8 int, g8 int, b8 int")
+    monkeypatch.setattr(catalog_files, "solved", lambda cells: SimpleNamespace(table=table))
+    monkeypatch.setattr(catalog_files, "traces", lambda cells: None)
+    monkeypatch.setattr(catalog_files.trace, "parse", lambda df: None)
+    monkeypatch.setattr(catalog_files.trace, "tables", lambda df: spark.createDataFrame(theirs, "capture long, i int, idx int, r8 int, g8 int, b8 int"))
+    got = sorted(tuple(r) for r in catalog.QUERIES["a09_trace_tables"](spark, D).collect())
+    assert got == [(0, 4, 4), (1, 4, 1), (2, 4, 1), (3, 4, 4)]

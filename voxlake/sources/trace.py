@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.operators import mixtures, pairtree, solve
+from voxlake.operators.lineage import spread
 from voxlake.operators.pairtree import COVARIANCE, LAB
 
 NUMBERS = (*LAB, *COVARIANCE, "delta_l", "alpha", "beta")
@@ -73,7 +74,8 @@ def tables(parsed: DataFrame) -> DataFrame:
         "fitted": ~old & F.coalesce(F.col("hue.fitted"), F.lit(False)), "capped": old | (number(12) != 0), "delta_l": number(9), "alpha": F.when(old, solve.PRIOR["alpha"]).otherwise(number(10)),
         "beta": F.when(old, solve.PRIOR["beta"]).otherwise(number(11)), "rot_a": F.when(old, 1.0).otherwise(F.coalesce("hue.a", F.lit(1.0))), "rot_b": F.when(old, 0.0).otherwise(F.coalesce("hue.b", F.lit(0.0))),
     }
-    frames = parsed.select(key, "version", *[number(k).alias(c) for k, c in enumerate((*LAB, *COVARIANCE))], *[laws[c].alias(c) for c in solve.LAW])
+    # A line is short, so that few tasks would take all frames, but their trees cost much.
+    frames = spread(parsed, "capture", "i").select(key, "version", *[number(k).alias(c) for k, c in enumerate((*LAB, *COVARIANCE))], *[laws[c].alias(c) for c in solve.LAW])
     # A row of a frame carries its law to its leaves, so that no leaf is joined.
     by = ["t", *solve.LAW]
     trees = pairtree.figures(frames.where("version = 3").withColumn("axes", pairtree.axes()).withColumn("steps", pairtree.generations()), by)
