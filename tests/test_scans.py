@@ -65,6 +65,52 @@ def test_epochs_follow_quotas_and_depth(spark):
             assert [got[t, y, x] for _, y, x in own] == want
 
 
+def plain_epochs(rows, side):
+    """(t, y, x, code, epoch) of rows(t, y, x, s, code), sorted; -1 where no target reaches."""
+    groups = {}
+    for t, y, x, s, code in rows:
+        groups.setdefault((t, code), []).append((s is None, s is None or -s if s == s else -np.inf, y, x))
+    out = []
+    for (t, code), own in groups.items():
+        known = [np.nan if v == -np.inf else -v for empty, v, _, _ in own if not empty]
+        quota = {}
+        if t is not None and known:
+            mean, n = sum(known) / len(known), len(own)
+            raw = [np.exp(-((t % side - c * (side - 1) / 8) ** 2) / (2 * ((2 - mean) * (side - 1) / 8) ** 2)) for c in (1, 3, 5, 7)]
+            exact = [n * v / sum(raw) for v in raw]
+            base = [0 if v != v else int(v) for v in exact]
+            rest = [0 if v != v else round(v - b, 9) for v, b in zip(exact, base)]
+            more = sorted(range(4), key=lambda e: (-rest[e], e))[: n - sum(base)]
+            quota = {e: base[e] + (e in more) for e in range(4)}
+        served = [e for e in sorted(quota, key=lambda e: (-quota[e], e)) for _ in range(quota[e])]
+        for k, (_, _, y, x) in enumerate(sorted(own)):
+            out.append((t, y, x, code, served[k] if k < len(served) else -1))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("tasks", [None, 3])
+def test_epochs_of_odd_cells(spark, tasks):
+    """Depths that are null or NaN, null frames and codes, cells that come twice, groups of one cell, and no cell at all."""
+    rng = np.random.default_rng(8)
+    rows = [(t, y, x, float(rng.random()), int(rng.integers(0, 4))) for t in (0, 3, 17) for y in range(7) for x in range(7)]
+    rows += [(3, 9, x, None, int(rng.integers(0, 4))) for x in range(5)] + rows[:30]
+    rows += [(5, 0, x, None, 1) for x in range(6)] + [(6, 0, x, float("nan") if x % 2 else 0.3, 1) for x in range(7)] + [(7, 0, 0, float("nan"), 2), (7, 0, 1, None, 2)]
+    rows += [(None, 0, x, 0.4, 1) for x in range(5)] + [(8, 0, x, 0.1 * x, None) for x in range(9)] + [(t, 0, 0, 0.7, 3) for t in range(9, 16)]
+    df = spark.createDataFrame(rows, "t int, y int, x int, s double, code int")
+    got = scans.thread_epochs(df, 16, ["code"], tasks=tasks)
+    assert got.columns == ["t", "y", "x", "s", "code", "epoch"]
+    assert sorted(((r.t, r.y, r.x, r.code, r.epoch) for r in got.collect()), key=str) == plain_epochs(rows, 16)
+    assert scans.thread_epochs(df.where("y < 0"), 16, ["code"], tasks=tasks).count() == 0
+
+
+def test_epochs_take_one_sort_and_no_array(spark):
+    """Cells were sorted twice, and targets were arrays that interpreted functions made, sorted and folded for every cell."""
+    df = spark.createDataFrame([(0, 0, 0, 0.5, 1)], "t int, y int, x int, s double, code int")
+    plan = scans.thread_epochs(df, 16, ["code"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
+    assert "lambda" not in plan and "array" not in plan
+
+
 def test_greedy_bins_equal_plain_loops(spark):
     rng = np.random.default_rng(3)
     groups = {k: [rng.integers(0, 5, 14).tolist() for _ in range(n)] for k, n in enumerate((1, 7, 300))}

g13_threaded_epochs: targets of epochs are plain columns, and one sort serves all windows

Symptom: At 36 copies of sf0.1's lineitem g13_threaded_epochs took 796 CPU seconds, 588 of them in the stage that ranks cells and deals them to epochs; cells were sorted there twice.
Evidence: At 6 copies (3,600,000 cells) sort, count, mean and rank took 12 CPU seconds; arrays of targets, built, sorted and folded by interpreted functions, brought it to 95 and 114 in two runs.
Fix: Count, mean and rank are windows of one order, targets are comparisons of plain columns made at a group's first cell, and a second window of that order hands them on; the shuffle stays dealt by frame and code.
Effect: at 1 GB of input CPU 740 -> 544 s, shuffle 1.76 -> 1.76 GB, spill 0.00 -> 0.00 GB, read 4.75 -> 4.75 GB, longest task 35 -> 12 s, most memory of a task 638 -> 302 MB; at 6 GB of input CPU 3358 -> 1805 s, shuffle 10.80 -> 10.80 GB, spill 2.73 -> 0.00 GB, read 30.39 -> 30.42 GB, longest task 54 -> 14 s, most memory of a task 805 -> 369 MB; with hot keys, at 1 GB of input CPU 834 -> 573 s, shuffle 1.75 -> 1.75 GB, spill 0.00 -> 0.00 GB, read 4.66 -> 4.66 GB, longest task 38 -> 12 s, most memory of a task 638 -> 302 MB.

@@ -67,33 +67,40 @@ def diffuse(cells: DataFrame, side: int, most: float | None = 0.2, nearest: bool
     return packed.mapInArrow(run, "t int, y int, x int, s double, a int, b int, c int")
 
 
-def epoch_targets(total: Column, chances: list[Column]) -> Column:
-    """Array of (n, e): total dealt to four epochs by their chances, what truncation leaves to the largest remainders (the
-    first on ties), the epoch of most first."""
-    exact = F.array(*[F.struct(F.floor(total * p).alias("n"), (-F.round(total * p - F.floor(total * p), 9)).alias("r"), F.lit(e).alias("e")) for e, p in enumerate(chances)])
-    left = total - F.aggregate(exact, F.lit(0).cast("long"), lambda z, x: z + x["n"])
-    by_rest = F.array_sort(F.transform(exact, lambda x: F.struct(x["r"].alias("r"), x["e"].alias("e"), x["n"].alias("n"))))
-    full = F.transform(by_rest, lambda x, k: F.struct((-(x["n"] + F.when(k < left, 1).otherwise(0))).alias("m"), x["e"].alias("e")))
-    return F.transform(F.array_sort(full), lambda x: F.struct((-x["m"]).alias("n"), x["e"].alias("e")))
+def gone_before(sizes: list[Column], e: int, counts: list[Column]) -> Column:
+    """Sum of the counts of those that are served before entry e: of greater size, or of equal size and named earlier."""
+    served = [(sizes[f] >= sizes[e] if f < e else sizes[f] > sizes[e], n) for f, n in enumerate(counts) if f != e]
+    return sum((F.when(first, n).otherwise(0) for first, n in served), F.lit(0))
+
+
+def epoch_targets(total: Column, chances: list[Column]) -> list[Column]:
+    """How many of total go to each of four epochs by its chance; what truncation leaves goes to the largest remainders, one
+    each (the first on ties). Plain columns: Spark interprets functions over arrays, which took most of a scan's time."""
+    whole = [F.floor(total * p) for p in chances]
+    rest = [F.round(total * p - n, 9) for p, n in zip(chances, whole)]
+    left = total - sum(whole, F.lit(0))
+    one = [F.lit(1)] * len(chances)
+    return [n + F.when(gone_before(rest, e, one) < left, 1).otherwise(0) for e, n in enumerate(whole)]
 
 
 def thread_epochs(cells: DataFrame, side: int, by: list[str], mean: float | None = None, tasks: int | None = None) -> DataFrame:
     """cells(t, y, x, s, ...) with epoch: of the cells of each frame's group by, in order of falling s and place, the first
     go to the epoch of most targets, and so on. Targets follow the group's mean s, or the mean given, and the frame's place in
-    its capture; they are made at a group's first cell. tasks: frames are dealt to so many, so that none sorts too much."""
-    group = Window.partitionBy("t", *by)
-    ordered = group.orderBy(F.desc("s"), "y", "x")
+    its capture; they are made at a group's first cell. tasks: frames are dealt to so many, so that none sorts too much. A cell
+    that no target reaches has epoch -1, as where the mean is null or NaN."""
+    ordered = Window.partitionBy("t", *by).orderBy(F.desc("s"), "y", "x")
+    group = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the same order: one sort for all
     dealt = cells if tasks is None else cells.repartition(tasks, "t")
-    rows = dealt.withColumn("_n", F.count("*").over(group)).withColumn("_m", F.avg("s").over(group) if mean is None else F.lit(mean))
-    rows = rows.withColumn("_k", F.row_number().over(ordered))
-    chances = {f"_p{k}": p for k, p in enumerate(lattice.epoch_probabilities(F.col("t") % side, F.col("_m"), side))}
-    rows = rows.withColumns(chances).withColumn("_first", F.when(F.col("_k") == 1, epoch_targets(F.col("_n"), [F.col(p) for p in chances])))
-    rows = rows.withColumn("_targets", F.first("_first").over(ordered))
-    found = F.aggregate(
-        "_targets", F.struct(F.lit(0).cast("long").alias("to"), F.lit(-1).alias("e")),
-        lambda z, x: F.struct((z["to"] + x["n"]).alias("to"), F.when((z["e"] < 0) & (F.col("_k") <= z["to"] + x["n"]), x["e"]).otherwise(z["e"]).alias("e")), lambda z: z["e"],
-    )
-    return rows.withColumn("epoch", found).drop("_n", "_m", "_k", "_first", "_targets", *chances)
+    rows = dealt.withColumns({"_n": F.count("*").over(group), "_m": F.avg("s").over(group) if mean is None else F.lit(mean), "_k": F.row_number().over(ordered)})
+    rows = rows.withColumn("_m", F.when(F.col("_k") == 1, F.col("_m")))  # null elsewhere, and what follows from it costs nothing
+    rows = rows.withColumns({f"_p{e}": p for e, p in enumerate(lattice.epoch_probabilities(F.col("t") % side, F.col("_m"), side))})
+    names = [f"_q{e}" for e in range(4)]
+    rows = rows.withColumns(dict(zip(names, epoch_targets(F.col("_n"), [F.col(f"_p{e}") for e in range(4)]))))
+    rows = rows.withColumns({q: F.first(q).over(group) for q in names})
+    targets = [F.col(q) for q in names]
+    spans = [(gone_before(targets, e, targets), n) for e, n in enumerate(targets)]
+    epoch = F.coalesce(*[F.when((F.col("_k") > low) & (F.col("_k") <= low + n), e) for e, (low, n) in enumerate(spans)], F.lit(-1))
+    return rows.withColumn("epoch", epoch).drop("_n", "_m", "_k", *names, *[f"_p{e}" for e in range(4)])
 
 
 def scaled_target(n: int) -> list[int]:
